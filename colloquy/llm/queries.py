@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from colloquy.llm import line_dedup as lines
 from colloquy.llm import quality_rules as quality
+from colloquy.llm import secrets
 from colloquy.llm.common import small_batches, store
 
 
@@ -21,7 +23,24 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(ruled).select("doc_id", *quality.NAMES, "base_failed", "kept")
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules}
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.line_dedup(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secrets.secret_scan(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "secret_spans")
+    base = F.filter("secret_spans", lambda s: s["kind"] != "novel")
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter("secret_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return out.select("doc_id", *(count(k) for k in ("assign", "access", "hex")), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secret_spans")).alias("spans"))
+
+
+QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
+    "op5_line_dedup": op5_line_dedup,
+    "op8_secret_scan": op8_secret_scan,
+}
 
 _WORDS = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
 
@@ -49,4 +68,15 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 from r join v on r.source is not distinct from v.source
 """
 
-ORACLES = {"op1_quality_rules": OP1_SQL}
+OP5_SQL = r"""
+with l as (select doc_id, coalesce(nullif(text, ''), '') as text from documents),
+lines as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as i from l),
+k as (select *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from lines),
+often as (select key, max(doc_id) as keeper from k where length(key) >= 40 group by key having count(distinct doc_id) >= 5),
+d as (select k.*, often.key is not null and k.doc_id <> keeper as dropped from k left join often using (key))
+select doc_id, count(*) as n_lines, count(*) filter (dropped) as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by i) filter (not dropped), '')) as kept_sha256
+from d group by doc_id
+"""
+
+ORACLES = {"op1_quality_rules": OP1_SQL, "op5_line_dedup": OP5_SQL}
