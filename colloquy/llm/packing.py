@@ -8,6 +8,7 @@ the counts allow. Documents are then dealt to the plan by their rank among those
 from __future__ import annotations
 
 import json
+import os
 import re
 import sys
 import zlib
@@ -24,6 +25,8 @@ from tokenizers import Tokenizer
 
 from colloquy.llm.common import column_udf, store
 
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
+
 CAPACITY = 2048
 END_ID = 0
 NODES = 3000  # of the search for one completion

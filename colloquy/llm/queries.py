@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from colloquy.llm import bpe
 from colloquy.llm import line_dedup as lines
 from colloquy.llm import packing
 from colloquy.llm import quality_rules as quality
@@ -38,6 +39,13 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *(count(k) for k in ("assign", "access", "hex")), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secret_spans")).alias("spans"))
 
 
+def op9_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    out = bpe.bpe_decode(bpe.bpe_encode(table(spark, sf_dir, "documents", "doc_id", "text"), path), path)
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return packing.best_fit_packing(docs, public_tokenizers.path("byte_bpe_50k.json"))
@@ -47,6 +55,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op5_line_dedup": op5_line_dedup,
     "op8_secret_scan": op8_secret_scan,
+    "op9_bpe_tree": op9_bpe_tree,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
