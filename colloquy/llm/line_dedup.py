@@ -2,7 +2,7 @@
 
 One pass fills two filters: hashes seen in one document and hashes seen in two or more. Only lines in the second
 are suspects; only their 16-byte digests are shuffled, counted exactly, and given back to the documents that hold
-them. The filters' size follows the number of lines up to MAX_FILTER_BITS; beyond that more lines are suspects,
+them. The filters' size follows the number of lines up to bloom.MAX_BITS; beyond that more lines are suspects,
 which costs shuffle but changes no result.
 """
 
@@ -11,20 +11,15 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from colloquy.llm import bloom
 from colloquy.llm.common import SPACE, column_udf, store, without
 
 MIN_CHARS = 40
 MIN_DOCS = 5
-BITS_PER_LINE = 10
-MAX_FILTER_BITS = 1 << 28
-SEGMENT = 1 << 16  # bytes of a filter that travel together
-PROBES = 3
-FAN_IN = 16
 
 
 def keys(text: str | None, min_chars: int) -> list[bytes | None]:
@@ -44,71 +39,7 @@ def digest(key: bytes) -> bytes:
     return hashlib.blake2b(key, digest_size=16).digest()
 
 
-def probes(h: np.ndarray, bits: int) -> list[np.ndarray]:
-    a, b = h & np.uint64(bits - 1), (h >> np.uint64(32)) | np.uint64(1)
-    return [((a + b * np.uint64(i)) & np.uint64(bits - 1)).astype(np.int64) for i in range(PROBES)]
-
-
-def contains(bitmap: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
-    hit = np.ones(len(h), bool)
-    for p in probes(h, bits):
-        hit &= (bitmap[p >> 3] >> (p & 7).astype(np.uint8)) & 1 > 0
-    return hit
-
-
-def add(bitmap: np.ndarray, h: np.ndarray, bits: int) -> None:
-    for p in probes(h, bits):
-        for b in range(8):
-            bitmap[p[(p & 7) == b] >> 3] |= np.uint8(1 << b)
-
-
-def _segments(once: np.ndarray, twice: np.ndarray, slot: int) -> pa.RecordBatch:
-    rows = [(slot, s // SEGMENT, once[s : s + SEGMENT].tobytes(), twice[s : s + SEGMENT].tobytes()) for s in range(0, len(once), SEGMENT) if once[s : s + SEGMENT].any()]
-    cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["slot", "seg", "once", "twice"])
-
-
-_SEGMENTS = "slot long, seg long, once binary, twice binary"
-
-
-def filters(docs: DataFrame, text: str, bits: int, min_chars: int) -> DataFrame:
-    """Rows (seg, once, twice): the merged filters in segments."""
-
-    def fill(batches):
-        once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
-        slot = 0
-        for batch in batches:
-            found = [np.fromiter(s, np.uint64, len(s)) for s in (hashes(t, min_chars) for t in batch.column(0).to_pylist())]
-            if not (h := np.concatenate([*found, np.zeros(0, np.uint64)])).size:
-                continue
-            slot ^= int(h[0])
-            h, n = np.unique(h, return_counts=True)
-            add(twice, h[(n > 1) | contains(once, h, bits)], bits)
-            add(once, h, bits)
-        yield _segments(once, twice, slot % 4096)
-
-    def merge(batches):
-        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        slot = 0
-        for batch in batches:
-            for slot, seg, o, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                o, t = np.frombuffer(o, np.uint8), np.frombuffer(t, np.uint8)
-                if seg in held:
-                    a, b = held[seg]
-                    b |= t | (a & o)
-                    a |= o
-                else:
-                    held[seg] = o.copy(), t.copy()
-        for seg, (o, t) in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([slot]), pa.array([seg]), pa.array([o.tobytes()]), pa.array([t.tobytes()])], ["slot", "seg", "once", "twice"])
-
-    parts = docs.select(text).mapInArrow(fill, _SEGMENTS)
-    for key in (F.pmod("slot", F.lit(FAN_IN)), F.lit(0)):  # a tree: no task merges the filters of all tasks
-        parts = parts.repartition(key, "seg").mapInArrow(merge, _SEGMENTS)
-    return parts.select("seg", "twice")
-
-
-def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, max_filter_bits: int = MAX_FILTER_BITS) -> DataFrame:
+def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, max_filter_bits: int = bloom.MAX_BITS) -> DataFrame:
     """docs with text replaced by its kept lines, and n_lines and n_dropped.
 
     A line's key is the line without ASCII white space at its ends, A-Z lower-cased. Keys of min_chars code points
@@ -119,10 +50,9 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_
     spark = docs.sparkSession
     rest = without(docs, text, "n_lines", "n_dropped", "_drop", "_id", "_out", "_suspect")
     lines = docs.agg(F.sum(F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1)).first()[0] or 0
-    bits = min(max(1 << 19, 1 << int(BITS_PER_LINE * lines - 1).bit_length()), max_filter_bits) if lines else 1 << 19
-    twice = np.zeros(bits // 8, np.uint8)
-    for seg, t in filters(docs, text, bits, min_chars).collect():  # max_filter_bits / 8 bytes at most
-        twice[seg * SEGMENT : seg * SEGMENT + len(t)] = np.frombuffer(t, np.uint8)
+    bits = bloom.bits_for(lines, max_filter_bits)
+    own = lambda texts: [np.fromiter(h, np.uint64, len(h)) for h in (hashes(t, min_chars) for t in texts)]
+    twice = bloom.gather(bloom.fill(docs.select(text), own, bits), "twice", bits)
     sent = spark.sparkContext.broadcast(twice)
 
     def suspects(texts):
@@ -131,7 +61,7 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_
             own = {k for k in keys(t, min_chars) if k is not None}
             if own:
                 own = list(own)
-                hit = contains(sent.value, np.fromiter((xxhash.xxh3_64_intdigest(k) for k in own), np.uint64, len(own)), bits)
+                hit = bloom.contains(sent.value, np.fromiter((xxhash.xxh3_64_intdigest(k) for k in own), np.uint64, len(own)), bits)
                 own = [digest(k) for k, x in zip(own, hit, strict=True) if x]
             out.append(list(own))
         return out
