@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from colloquy.llm import bpe
 from colloquy.llm import line_dedup as lines
-from colloquy.llm import packing
+from colloquy.llm import minhash, packing
 from colloquy.llm import quality_rules as quality
 from colloquy.llm import secrets
 from colloquy.llm.common import small_batches, store
@@ -26,6 +26,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(ruled).select("doc_id", *quality.NAMES, "base_failed", "kept")
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), shingle=4)
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.line_dedup(table(spark, sf_dir, "documents", "doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
@@ -53,6 +57,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_minhash": op2_minhash,
     "op5_line_dedup": op5_line_dedup,
     "op8_secret_scan": op8_secret_scan,
     "op9_bpe_tree": op9_bpe_tree,
