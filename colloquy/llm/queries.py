@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import bpe
+from colloquy.llm import ann, bpe
 from colloquy.llm import line_dedup as lines
 from colloquy.llm import minhash, packing
 from colloquy.llm import quality_rules as quality
@@ -30,6 +30,11 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), shingle=4)
 
 
+def op3_one_bit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return ann.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.line_dedup(table(spark, sf_dir, "documents", "doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
@@ -58,6 +63,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_minhash": op2_minhash,
+    "op3_one_bit_codes": op3_one_bit_codes,
     "op5_line_dedup": op5_line_dedup,
     "op8_secret_scan": op8_secret_scan,
     "op9_bpe_tree": op9_bpe_tree,
@@ -101,4 +107,12 @@ select doc_id, count(*) as n_lines, count(*) filter (dropped) as n_dropped,
 from d group by doc_id
 """
 
-ORACLES = {"op1_quality_rules": OP1_SQL, "op5_line_dedup": OP5_SQL}
+OP3_SQL = """
+with v as (select vec_id, cast(embedding as double[]) as e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s as (select q.vec_id as query_id, v.vec_id, list_inner_product(q.e, v.e) as score from v q join v on q.vec_id % 20 = 0 and q.vec_id <> v.vec_id),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 20
+"""
+
+ORACLES = {"op3_one_bit_codes": OP3_SQL, "op1_quality_rules": OP1_SQL, "op5_line_dedup": OP5_SQL}
