@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from colloquy.llm import ann, bpe
 from colloquy.llm import line_dedup as lines
-from colloquy.llm import minhash, packing
+from colloquy.llm import maxent_lm, minhash, packing
+from colloquy.llm import quality_classifier
 from colloquy.llm import quality_rules as quality
-from colloquy.llm import secrets
+from colloquy.llm import secrets, toxicity
 from colloquy.llm.common import small_batches, store
 
 
@@ -35,11 +36,25 @@ def op3_one_bit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
 
 
+def op4_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality")
+    return quality_classifier.classify(docs, labels).select("doc_id", "held_out", "score", "predicted")
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.line_dedup(table(spark, sf_dir, "documents", "doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op6_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic")
+    return toxicity.toxicity(docs, labels).select("doc_id", "held_out", "score", "predicted")
+
+
+def op7_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent_lm.lm_scores(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secrets.secret_scan(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "secret_spans")
     base = F.filter("secret_spans", lambda s: s["kind"] != "novel")
@@ -64,7 +79,10 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_minhash": op2_minhash,
     "op3_one_bit_codes": op3_one_bit_codes,
+    "op4_subword_quality": op4_subword_quality,
     "op5_line_dedup": op5_line_dedup,
+    "op6_ftrl_toxicity": op6_ftrl_toxicity,
+    "op7_maxent_lm": op7_maxent_lm,
     "op8_secret_scan": op8_secret_scan,
     "op9_bpe_tree": op9_bpe_tree,
     "op10_best_fit_packing": op10_best_fit_packing,
