@@ -12,12 +12,18 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from colloquy.llm.common import column_udf, store
+from colloquy.llm.packing import byte_chars
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
 
@@ -25,7 +31,7 @@ LEAF = 16_384  # characters that are encoded in one go
 WINDOW = 64  # characters on either side of a join, at first
 CACHE = 300_000
 
-_SPLIT = re.compile(r"[ \n\r\t]+")
+_SPACES = re.compile("[\t\n\x0b\x0c\r \x85\xa0]+")
 
 
 class WordBPE:
@@ -45,6 +51,7 @@ class WordBPE:
             raise ValueError("a tokenizer that keeps white space")
         self.at_marks = re.compile("(" + "|".join(map(re.escape, sorted(self.marks, key=len, reverse=True))) + ")") if self.marks else None
         self.bare = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "added_tokens": [], "truncation": None, "padding": None}))
+        self.plain = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
         self.whole.no_truncation()
         self.whole.no_padding()
         vocab = spec["model"]["vocab"] | self.marks
@@ -54,26 +61,53 @@ class WordBPE:
         suffix = spec["model"]["end_of_word_suffix"] or ""
         # in such vocabularies one printable character stands for one byte
         self.size = [len(w.removesuffix(suffix)) if suffix else len(w) for w in self.names]
-        self.cache: dict[str, list[int]] = {}
+        self.cache: dict[str, bytes] = {}
+        self.one = _single_words(spec, suffix)
 
     def normal(self, text: str) -> str:
+        if self.plain:
+            try:  # Latin-1 is composed already, and its lower case depends on nothing else
+                text.encode("latin-1")
+                return _SPACES.sub(" ", text.lower())
+            except UnicodeEncodeError:
+                pass
         return self.whole.normalizer.normalize_str(text)
 
-    def encode(self, text: str) -> list[int]:
-        """Words between spaces are independent: no pre-token holds white space."""
+    def _quick(self, word: str) -> bytes | None:
+        """ids of a word of letters, with a comma or full stop perhaps; None if it needs the tokenizer."""
+        if self.one is None or not word.isascii() and max(word) >= "Ԁ":
+            return None
+        if word.isalpha():
+            parts = (word,)
+        elif word[-1:] in (",", ".") and word[:-1].isalpha():
+            parts = (word[:-1], word[-1])
+        else:
+            return None
+        ids: list[int] = []
+        for p in parts:
+            ids += self.one(p.encode() + _END)
+        return array("i", ids).tobytes()
+
+    def encode_bytes(self, text: str) -> bytes:
+        """int32 ids. Words between spaces are independent: no pre-token holds white space."""
         words = text.split(" ")
         cache = self.cache
         if len(cache) > CACHE:
             cache.clear()
         new = list({w for w in words if w not in cache})
-        if new:
-            for w, e in zip(new, self.bare.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                cache[w] = e.ids
-        out: list[int] = []
-        add = out.extend
-        for w in words:
-            add(cache[w])
-        return out
+        odd = []
+        for w in new:
+            ids = self._quick(w)
+            if ids is None:
+                odd.append(w)
+            else:
+                cache[w] = ids
+        for w, e in zip(odd, self.bare.encode_batch_fast(odd, add_special_tokens=False) if odd else (), strict=True):
+            cache[w] = array("i", e.ids).tobytes()
+        return b"".join(map(cache.__getitem__, words))
+
+    def encode(self, text: str) -> list[int]:
+        return array("i", self.encode_bytes(text)).tolist()
 
     def segments(self, text: str) -> list[str | int]:
         """text without special tokens, normalized, and the ids of those between."""
@@ -81,6 +115,13 @@ class WordBPE:
             return [self.normal(text)]
         return [self.marks[p] if i % 2 else self.normal(p) for i, p in enumerate(self.at_marks.split(text))]
 
+    def text_bytes(self, text: str, leaf: int = LEAF) -> bytes:
+        """encode_text as int32 bytes."""
+        parts = self.segments(text)
+        if len(parts) == 1 and len(parts[0]) <= leaf:
+            return self.encode_bytes(parts[0])
+        return array("i", self.encode_text(text, leaf)).tobytes()
+
     def encode_text(self, text: str, leaf: int = LEAF) -> list[int]:
         out: list[int] = []
         for part in self.segments(text):
@@ -155,6 +196,29 @@ class WordBPE:
         return " ".join(map(self.names.__getitem__, ids))
 
 
+_END = b"\xff"  # no UTF-8 text holds this byte; it stands for the end of a word
+
+
+def _single_words(spec: dict, suffix: str):
+    """A faster encoder of single pre-tokens with the same merges, or None if the vocabulary's order forbids it.
+
+    With ids in merge order, "x</w>" can be spelt as the bytes of x and an end byte: these 256 merges come first.
+    """
+    vocab = spec["model"]["vocab"]
+    order = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in spec["model"]["merges"]]
+    if suffix != "</w>" or order != sorted(order) or order[0] < 512:
+        return None
+    chars = byte_chars()
+    added = {t["id"] for t in spec["added_tokens"]}
+    ranks = {}
+    for w, i in vocab.items():
+        if i not in added:
+            ranks[bytes(chars[c] for c in w.removesuffix(suffix)) + (_END if w.endswith(suffix) else b"")] = i
+    if len(ranks) != len(vocab.keys() - {t["content"] for t in spec["added_tokens"]}):
+        return None
+    return tiktoken.Encoding("words", pat_str=r".+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+
+
 def _bytes(text: str) -> int:
     """UTF-8 bytes without white space: what tokens cover."""
     return len("".join(text.split()).encode("utf-8", "surrogatepass"))
@@ -178,6 +242,12 @@ def loaded(tokenizer_json: str) -> WordBPE:
     return _loaded[key]
 
 
+def _lists(rows: list[bytes]) -> pa.Array:
+    """A list array of int32 from rows of int32 bytes."""
+    ends = np.concatenate([[0], np.cumsum([len(r) // 4 for r in rows])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(rows))]))
+
+
 def _spec(df: DataFrame, tokenizer: str):
     with open(tokenizer, encoding="utf-8") as f:
         return df.sparkSession.sparkContext.broadcast(f.read())
@@ -190,7 +260,7 @@ def bpe_encode(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: st
     spec = _spec(docs, tokenizer)
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     long = F.coalesce(F.length("text") > leaf, F.lit(False))
-    whole = column_udf(lambda t: [loaded(spec.value).encode_text(x or "") for x in t], "array<int>")
+    whole = column_udf(lambda t: _lists([loaded(spec.value).text_bytes(x or "", leaf) for x in t]), "array<int>")
     short = own.where(~long).select("doc_id", whole(F.col("text")).alias("ids"))
 
     def split(texts):
@@ -233,5 +303,12 @@ def bpe_encode(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: st
 def bpe_decode(encoded: DataFrame, tokenizer: str, ids: str = "ids") -> DataFrame:
     """encoded with column decoded: the text of ids, special tokens included; null ids decode as none."""
     spec = _spec(encoded, tokenizer)
-    decode = column_udf(lambda rows: [loaded(spec.value).decode(r or []) for r in rows], "string")
+
+    def texts(lists):
+        names = pa.array(loaded(spec.value).names, pa.string())
+        words = names.take(lists.flatten())
+        sizes = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))]).astype(np.int32)
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(sizes), words), " ")
+
+    decode = column_udf(texts, "string", raw=True)
     return encoded.select(*[c for c in encoded.columns if c.lower() != "decoded"], decode(F.col(ids)).alias("decoded"))

@@ -47,13 +47,14 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)
 
 
-def column_udf(fn: Callable, kind: T.DataType | str) -> Callable[..., Column]:
-    """fn(list of Python values, ...) -> list or Arrow array, evaluated once a row over Arrow batches."""
+def column_udf(fn: Callable, kind: T.DataType | str, raw: bool = False) -> Callable[..., Column]:
+    """fn(list of Python values, ...) -> list or Arrow array, evaluated once a row over Arrow batches. raw: fn gets
+    Arrow arrays."""
     kind = T._parse_datatype_string(kind) if isinstance(kind, str) else kind
     arrow = to_arrow_type(kind)
 
     def batch(*cols):
-        out = fn(*(c.to_pylist() for c in cols))
+        out = fn(*(c if raw else c.to_pylist() for c in cols))
         return out if isinstance(out, pa.Array) else pa.array(out, arrow)
 
     return arrow_udf(batch, kind, ArrowUDFType.SCALAR).asNondeterministic()

@@ -56,7 +56,7 @@ class ByteBPE:
         order = [vocab[a + b] for a, b in pairs]
         if order != sorted(order) or min(order, default=256) < 256 or spec.get("normalizer"):
             raise ValueError("the vocabulary is not in merge order")
-        chars = _byte_chars()
+        chars = byte_chars()
         added = {t["id"] for t in spec["added_tokens"]}
         ranks = {bytes(chars[c] for c in w): i for w, i in vocab.items() if i not in added}
         self.fast = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -103,7 +103,7 @@ class ByteBPE:
         return b"".join(out)
 
 
-def _byte_chars() -> dict[str, int]:
+def byte_chars() -> dict[str, int]:
     """The printable characters that stand for bytes in such vocabularies."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in plain]
