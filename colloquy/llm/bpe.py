@@ -220,8 +220,8 @@ def _single_words(spec: dict, suffix: str):
 
 
 def _bytes(text: str) -> int:
-    """UTF-8 bytes without white space: what tokens cover."""
-    return len("".join(text.split()).encode("utf-8", "surrogatepass"))
+    """UTF-8 bytes without spaces, the only white space of normalized text: what tokens cover."""
+    return len(text.replace(" ", "").encode("utf-8", "surrogatepass"))
 
 
 def halves(text: str, leaf: int) -> list[str]:
