@@ -11,7 +11,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm.common import column_udf
@@ -102,9 +102,15 @@ def hash_ids(ids: list) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(str(i)) for i in ids), np.uint64, len(ids))
 
 
-def possibly(df: DataFrame, key: str, ids: DataFrame, n: int):
-    """A boolean Column over df: false where df[key] is surely not in ids (n rows of one column)."""
+def sent(ids: DataFrame, n: int) -> Callable[[list], np.ndarray]:
+    """For workers: which of a list of ids may be among ids (n rows of one column); all that are, are."""
     bits = bits_for(n)
     bitmap = gather(fill(ids, lambda rows: [hash_ids(rows)], bits), "once", bits)
-    sent = df.sparkSession.sparkContext.broadcast(bitmap)
-    return column_udf(lambda rows: pa.array(contains(sent.value, hash_ids(rows), bits)), "boolean")(F.col(key))
+    held = ids.sparkSession.sparkContext.broadcast(bitmap)
+    return lambda rows: contains(held.value, hash_ids(rows), bits)
+
+
+def possibly(df: DataFrame, key: str, ids: DataFrame, n: int) -> Column:
+    """A boolean column over df: false where df[key] is surely not in ids."""
+    likely = sent(ids, n)
+    return column_udf(lambda rows: pa.array(likely(rows)), "boolean")(F.col(key))

@@ -22,14 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from colloquy.llm.common import column_udf, store
+from colloquy.llm.common import column_udf, keep, store
 from colloquy.llm.packing import byte_chars
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
 
 LEAF = 16_384  # characters that are encoded in one go
 WINDOW = 64  # characters on either side of a join, at first
-CACHE = 300_000
+CACHE = 150_000
 
 _SPACES = re.compile("[\t\n\x0b\x0c\r \x85\xa0]+")
 
@@ -231,15 +231,8 @@ def halves(text: str, leaf: int) -> list[str]:
     return halves(text[:mid], leaf) + halves(text[mid:], leaf)
 
 
-_loaded: dict[int, WordBPE] = {}
-
-
 def loaded(tokenizer_json: str) -> WordBPE:
-    key = hash(tokenizer_json)
-    if key not in _loaded:
-        _loaded.clear()
-        _loaded[key] = WordBPE(tokenizer_json)
-    return _loaded[key]
+    return keep("bpe", hash(tokenizer_json), lambda: WordBPE(tokenizer_json))
 
 
 def _lists(rows: list[bytes]) -> pa.Array:

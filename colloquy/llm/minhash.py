@@ -21,15 +21,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm import bloom
-from colloquy.llm.common import column_udf, store
+from colloquy.llm.common import column_udf, keep, store
 from colloquy.llm.components import link
 
 SHINGLE = 5
 PERCENT = 80
 BANDS, ROWS = 64, 8  # a pair of similarity 0.8 shares no band with probability 8e-6
 DIM = 1 << 20
-HUB_ROUNDS = 3
-CACHE = 300_000
+#: How many hubs each text is compared with in each round; rounds end when nothing is left or nothing new links.
+HUBS = (1, 4, 8, 8, 8, 8, 8, 8)
+CACHE = 150_000
 
 _FACTORS = np.random.default_rng(11).integers(1 << 62, (1 << 63) - 1, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -40,9 +41,6 @@ class _Words(dict):
         return h
 
 
-_words = _Words()
-
-
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -55,9 +53,10 @@ def shingles(text: str | None, size: int) -> np.ndarray:
     n = len(words)
     if not n:
         return np.zeros(0, np.uint64)
-    if len(_words) > CACHE:
-        _words.clear()
-    w = np.fromiter(map(_words.__getitem__, words), np.uint64, n)
+    held = keep("minhash", "words", _Held).words
+    if len(held) > CACHE:
+        held.clear()
+    w = np.fromiter(map(held.__getitem__, words), np.uint64, n)
     k = min(n, size)
     h = np.full(n - k + 1, k, np.uint64)
     for i in range(k):
@@ -82,11 +81,14 @@ class Circulant:
         return out
 
 
-_circulant: dict[tuple, Circulant] = {}
+class _Held:
+    def __init__(self):
+        self.words, self.circulant = _Words(), {}
 
 
 def band_hashes(h: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    c = _circulant.get((bands, rows)) or _circulant.setdefault((bands, rows), Circulant(bands * rows))
+    made = keep("minhash", "words", _Held).circulant
+    c = made.get(bands * rows) or made.setdefault(bands * rows, Circulant(bands * rows))
     s = c.signature(h).astype(np.uint64).reshape(bands, rows)
     return _mix((s * _FACTORS[:rows]).sum(axis=1, dtype=np.uint64) + np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.int64)
 
@@ -137,23 +139,24 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     shared = store(banded.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("band"), "shared")
     members = store(banded.join(shared, "band"), "members")  # band, node, n
     nodes = store(members.select("node").distinct(), "nodes")
-    n_nodes = nodes.count()
-    # only texts that share a band are read again for their sets
-    maybe = own.where(bloom.possibly(own, "doc_id", nodes, n_nodes)).join(nodes.withColumnRenamed("node", "doc_id"), "doc_id")
-    bytes_of = column_udf(lambda t: [shingles(x, shingle).tobytes() for x in t], "binary")
-    sets = maybe.select(F.col("doc_id").alias("node"), bytes_of(F.col("text")).alias("set"))
-    sets = store(sets, "sets")
+    # only texts that share a band are read again for their sets: a filter of ids leaves few others
+    likely = bloom.sent(nodes, nodes.count())
+
+    def bytes_of(ids, texts):
+        return [shingles(t, shingle).tobytes() if hit else None for t, hit in zip(texts, likely(ids), strict=True)]
+
+    sets = own.select(F.col("doc_id").alias("node"), column_udf(bytes_of, "binary")(F.col("doc_id"), F.col("text")).alias("set"))
+    sets = store(sets.where("set is not null").join(nodes, "node"), "sets")
 
     labels = nodes.select("node", F.col("node").alias("label"))
-    for k in range(HUB_ROUNDS):
-        labelled = members.join(labels, "node")
-        # a hub of each bucket: the smallest member, then pseudo-random ones; members compare with one hub each
-        rank = F.col("node") if k == 0 else F.xxhash64("node", F.lit(k))
-        hubs = members.groupBy("band").agg(F.min(F.struct(rank.alias("r"), "node", "n")).alias("hub")).select("band", F.col("hub.node").alias("b"), F.col("hub.n").alias("nb"))
-        hubs = store(hubs.join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b"), "hubs")
-        pairs = labelled.join(hubs, "band").where("label <> lb").groupBy("node").agg(F.min(F.struct(F.xxhash64("b", F.lit(k)).alias("r"), "b", "nb", F.col("n").alias("na"))).alias("p"))
-        pairs = pairs.select(F.col("node").alias("a"), "p.b", "p.na", "p.nb")
-        labels = link(labels, store(_similar(pairs, sets, percent), "links"))
+    for k, most in enumerate(HUBS):
+        pairs = store(_to_hubs(members, labels, k, most, percent), "pairs")
+        if pairs.isEmpty():
+            break
+        links = store(_similar(pairs, sets, percent), "links")
+        if links.isEmpty():
+            break
+        labels = link(labels, links)
     labels = link(labels, store(_similar(_across(members, labels), sets, percent), "links"))
 
     found = classes.join(labels.withColumnRenamed("node", "doc_id"), classes["node"] == F.col("doc_id"), "left").select("digest", F.coalesce("label", "node").alias("component"))
@@ -162,6 +165,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
 
 
+def _to_hubs(members: DataFrame, labels: DataFrame, k: int, most: int, percent: int) -> DataFrame:
+    """Pairs (a, b, na, nb) of texts with hubs of their buckets that are in other components: for each text the
+    `most` hubs that it shares most buckets with. A bucket's hub is its smallest member, in later rounds a
+    pseudo-random one."""
+    rank = F.col("node") if k == 0 else F.xxhash64("node", F.lit(k))
+    hubs = members.groupBy("band").agg(F.min(F.struct(rank.alias("r"), "node", "n")).alias("hub")).select("band", F.col("hub.node").alias("b"), F.col("hub.n").alias("nb"))
+    hubs = store(hubs.join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b"), "hubs")
+    met = members.join(labels, "node").join(hubs, "band").where("label <> lb").where(100 * F.least("n", "nb") >= percent * F.greatest("n", "nb"))
+    met = met.groupBy("node", "n", "b", "nb").agg(F.count(F.lit(1)).alias("c"))
+    # a text has as many hubs as bands at most
+    best = met.groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct((-F.col("c")).alias("c"), F.xxhash64("b", F.lit(k)).alias("r"), "b", "nb"))).alias("hubs"))
+    return best.select(F.col("node").alias("a"), F.col("n").alias("na"), F.explode(F.slice("hubs", 1, most)).alias("h")).select("a", "h.b", "na", "h.nb")
+
+
 def _across(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs (a, b, na, nb) that share a bucket and are still in different components."""
     labelled = members.join(labels, "node")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from colloquy.llm.common import column_udf, store
+from colloquy.llm.common import column_udf, keep, store
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
 
@@ -32,7 +32,7 @@ END_ID = 0
 NODES = 3000  # of the search for one completion
 REPLANS = 24
 BUCKETS = 64  # parts of the documents of one length
-CACHE = 400_000
+CACHE = 150_000
 
 _ODD_SPACE = re.compile(r" \s| $")
 _SPLIT = re.compile(r" (?=\S)")
@@ -110,15 +110,8 @@ def byte_chars() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-_loaded: dict[int, ByteBPE] = {}
-
-
 def loaded(tokenizer_json: str) -> ByteBPE:
-    key = hash(tokenizer_json)
-    if key not in _loaded:
-        _loaded.clear()
-        _loaded[key] = ByteBPE(tokenizer_json)
-    return _loaded[key]
+    return keep("packing", hash(tokenizer_json), lambda: ByteBPE(tokenizer_json))
 
 
 _PIECES = "array<struct<piece:int,start:long,length:long,ids_crc32:long{}>>"

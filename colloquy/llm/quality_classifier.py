@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import column_udf, without
+from colloquy.llm.common import column_udf, keep, without
 from colloquy.llm.labels import fold, sample
 
 BUCKETS = 1 << 17
@@ -26,7 +26,7 @@ NGRAMS = (3, 4, 5)
 PER_LABEL = 1000  # labelled documents of either kind that training reads at most
 EPOCHS = 6
 RATE = 0.5
-CACHE = 200_000
+CACHE = 150_000
 CHUNK = 20_000  # words whose n-grams are hashed in one go
 _PAIR, _SAME = np.uint64(0x9E3779B97F4A7C15), (1, 2)
 _PLACES = np.random.default_rng(17).integers(1 << 62, (1 << 63) - 1, max(NGRAMS) + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -168,9 +168,6 @@ def fit(labelled: DataFrame) -> tuple[np.ndarray, float]:
     return np.frombuffer(row["margins"], "<f4"), row["bias"]
 
 
-_scorers: dict[tuple, Scorer] = {}
-
-
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 4, held_out: int = 2, per_label: int = PER_LABEL, threshold: float = 0.7, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with held_out, score (0 to 1, higher: label 1 likelier) and predicted (1 from threshold on).
 
@@ -181,11 +178,7 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus
     sent = docs.sparkSession.sparkContext.broadcast((margins, bias))
 
     def score(texts):
-        key = (id(sent), bias)
-        s = _scorers.get(key)
-        if s is None:
-            _scorers.clear()
-            s = _scorers[key] = Scorer(*sent.value)
+        s = keep("quality", bias, lambda: Scorer(*sent.value))
         return pa.array(s.score_all(texts), pa.float64())
 
     rest = without(docs, "held_out", "score", "predicted")

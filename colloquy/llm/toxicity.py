@@ -13,14 +13,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import column_udf, without
+from colloquy.llm.common import column_udf, keep, without
 from colloquy.llm.labels import fold, sample
 
 BUCKETS = 1 << 22
 PER_LABEL = 4000  # labelled documents of either kind that training reads at most
 EPOCHS = 6
 ALPHA, BETA, L1, L2 = 4.0, 1.0, 6.0, 0.0
-CACHE = 200_000
+CACHE = 150_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _EDGES = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -106,9 +106,6 @@ def fit(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
     return np.frombuffer(row["at"], np.int32), np.frombuffer(row["w"], np.float32), row["bias"]
 
 
-_scorers: dict[tuple, Scorer] = {}
-
-
 def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 3, held_out: int = 1, per_label: int = PER_LABEL, threshold: float = 0.7, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with held_out, score (0 to 1, higher: label 1 likelier) and predicted (1 from threshold on).
 
@@ -120,11 +117,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus:
     bias = model[2]
 
     def score(texts):
-        key = (id(sent), bias)
-        s = _scorers.get(key)
-        if s is None:
-            _scorers.clear()
-            s = _scorers[key] = Scorer(*sent.value)
+        s = keep("toxicity", bias, lambda: Scorer(*sent.value))
         return pa.array([s.score(t) for t in texts], pa.float64())
 
     rest = without(docs, "held_out", "score", "predicted")
