@@ -6,9 +6,11 @@ the text's slots. Two permutations thus serve for all coordinates, and the coord
 contiguous stretch of the second. Coordinates are banded; texts that share a band are candidates, and candidates
 are linked only after comparing their full sets.
 
-Texts with the same set are one class from the start. Among class representatives no bucket is expanded into all
-pairs: in each bucket the members are compared with one hub, confirmed links merge components, further hubs follow,
-and only pairs that are in different components after that are compared one by one.
+Texts with the same set are one class from the start. Among class representatives no bucket is expanded into rows
+of pairs: in each bucket the members are compared with one hub, confirmed links merge components, and buckets that
+lie in one component are done. Further hubs follow as long as they link. What is left are buckets of texts that are
+alike, but mostly not enough; there the sets themselves are compared in blocks of bounded size, and each block gives
+no more links than it has members.
 """
 
 from __future__ import annotations
@@ -28,8 +30,12 @@ SHINGLE = 5
 PERCENT = 80
 BANDS, ROWS = 64, 8  # a pair of similarity 0.8 shares no band with probability 8e-6
 DIM = 1 << 20
-#: How many hubs each text is compared with in each round; rounds end when nothing is left or nothing new links.
+#: How many hubs each text is compared with in each round; rounds end when they link few of the texts left.
 HUBS = (1, 4, 8, 8, 8, 8, 8, 8)
+FEW = 0.01
+#: Members and bytes of sets in one block of a bucket, about.
+BLOCK, BLOCK_BYTES = 500, 8 << 20
+COLUMNS = 4096  # shingles that blocks are compared on at a time
 CACHE = 150_000
 
 _FACTORS = np.random.default_rng(11).integers(1 << 62, (1 << 63) - 1, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -151,13 +157,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     labels = nodes.select("node", F.col("node").alias("label"))
     for k, most in enumerate(HUBS):
         pairs = store(_to_hubs(members, labels, k, most, percent), "pairs")
-        if pairs.isEmpty():
-            break
         links = store(_similar(pairs, sets, percent), "links")
-        if links.isEmpty():
+        n_links = links.count()
+        if n_links:
+            labels = link(labels, links)
+            members = store(_unsettled(members, labels), "members")
+        if n_links <= FEW * members.select("node").distinct().count():
             break
-        labels = link(labels, links)
-    labels = link(labels, store(_similar(_across(members, labels), sets, percent), "links"))
+    labels = link(labels, store(_in_blocks(members, labels, sets, percent), "links"))
 
     found = classes.join(labels.withColumnRenamed("node", "doc_id"), classes["node"] == F.col("doc_id"), "left").select("digest", F.coalesce("label", "node").alias("component"))
     out = sketched.select("doc_id", "n", "digest").join(store(found, "found"), "digest", "left")
@@ -179,16 +186,72 @@ def _to_hubs(members: DataFrame, labels: DataFrame, k: int, most: int, percent:
     return best.select(F.col("node").alias("a"), F.col("n").alias("na"), F.explode(F.slice("hubs", 1, most)).alias("h")).select("a", "h.b", "na", "h.nb")
 
 
-def _across(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs (a, b, na, nb) that share a bucket and are still in different components."""
-    labelled = members.join(labels, "node")
-    mixed = store(labelled.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band"), "mixed")
-    rest = store(labelled.join(mixed, "band"), "rest")  # band, node, n, label
-    kinds = store(rest.select("band", "label").distinct(), "kinds")
-    couples = kinds.withColumnRenamed("label", "la").join(kinds.withColumnRenamed("label", "lb"), "band").where("la < lb")
-    a = rest.select("band", F.col("label").alias("la"), F.col("node").alias("a"), F.col("n").alias("na"))
-    b = rest.select("band", F.col("label").alias("lb"), F.col("node").alias("b"), F.col("n").alias("nb"))
-    return couples.join(a, ["band", "la"]).join(b, ["band", "lb"]).select("a", "b", "na", "nb").distinct()
+def _unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """members of the buckets that lie in several components."""
+    mixed = members.join(labels, "node").groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band")
+    return members.join(mixed, "band")
+
+
+def block_links(ids: list[int], labels: list[int], sides: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that join the components of a block: pairs of similar sets, a spanning forest of them. Sets of sides 0
+    and 1 are compared across, those of side 0 alone among themselves."""
+    roots = {x: x for x in labels}
+
+    def root(x):
+        while roots[x] != x:
+            roots[x] = x = roots[roots[x]]
+        return x
+
+    sizes = np.array([len(s) for s in sets], np.int64)
+    tokens, at, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = often > 1
+    column = np.cumsum(shared) - 1
+    owner, hit = np.repeat(np.arange(len(sets)), sizes), shared[at]
+    owner, at = owner[hit], column[at[hit]]
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    same = np.zeros((len(sets), len(sets)), np.int64)
+    for lo in range(0, int(shared.sum()), COLUMNS):
+        i, j = np.searchsorted(at, [lo, lo + COLUMNS])
+        m = np.zeros((len(sets), min(COLUMNS, int(shared.sum()) - lo)), np.float32)
+        m[owner[i:j], at[i:j] - lo] = 1
+        same += (m @ m.T).astype(np.int64)  # exact: a chunk has fewer columns than float32 has integers
+    near = 100 * same >= percent * (sizes[:, None] + sizes[None, :] - same)
+    own, side = np.array(labels), np.array(sides)
+    near &= own[:, None] != own[None, :]
+    near &= side[:, None] < side[None, :] if side.any() else np.triu(np.ones_like(near), 1)
+    out = []
+    for x, y in zip(*np.nonzero(near), strict=True):
+        p, q = root(labels[x]), root(labels[y])
+        if p != q:
+            roots[p] = q
+            out.append((ids[x], ids[y]))
+    return out
+
+
+def _in_blocks(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between the components in each bucket. A bucket's members are dealt into blocks by hash, as many
+    as its size needs, and every pair of blocks is one group of bounded size."""
+    parts = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") * 8 / BLOCK_BYTES)).cast("long")
+    dealt = members.join(members.groupBy("band").agg(parts.alias("parts")), "band").join(labels, "node").join(sets, "node")
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    lo, hi = F.least("own", "other"), F.greatest("own", "other")
+    groups = dealt.groupBy("band", lo.alias("lo"), hi.alias("hi")).agg(F.collect_list(F.struct("node", "label", (F.col("own") != lo).cast("int").alias("side"), "set")).alias("block"))
+
+    def found(blocks):
+        out = []
+        for b in blocks:
+            b = sorted(b, key=lambda r: r["node"])
+            if len({r["label"] for r in b}) < 2:
+                out.append([])
+                continue
+            links = block_links([r["node"] for r in b], [r["label"] for r in b], [r["side"] for r in b], [np.frombuffer(r["set"], np.uint64) for r in b], percent)
+            out.append([{"a": a, "b": b} for a, b in links])
+        return out
+
+    # two blocks of which one is empty have nothing to compare
+    groups = groups.where((F.col("lo") == F.col("hi")) | (F.exists("block", lambda r: r["side"] == 0) & F.exists("block", lambda r: r["side"] == 1)))
+    return groups.select(F.explode(column_udf(found, "array<struct<a:long,b:long>>")(F.col("block"))).alias("l")).select("l.a", "l.b").distinct()
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
