@@ -5,9 +5,9 @@ sums of hashed rows: one for the previous word, one for the previous two, one fo
 (a skip), one for no context. The most frequent CLASSES * PLACES - 1 tokens have places of their own; all others
 share one, and are told apart by their add-one shares among the others, so that probabilities sum to one.
 
-Documents are packed into blocks with a dictionary each. Every training token of the corpus is counted: a block
-contributes each of its words once, so no word, however frequent, has more rows than there are blocks. Weights are
-learned by tasks that each take gradient steps over their own blocks; the tasks' rows are averaged by how often
+Documents are packed into blocks with a dictionary each, sorted by word hash. Every training token of the corpus is
+counted: a block sends each range of hashes its words and their counts as one row, and gets the corpus's counts back
+in the same order. A word, however frequent, comes once from each block. Weights are learned by tasks that each take gradient steps over their own blocks; the tasks' rows are averaged by how often
 each was updated, in a tree of tasks, and the next round starts from there. Words are identified by 64-bit hashes.
 """
 
@@ -21,8 +21,10 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from colloquy.llm.common import store
 
@@ -30,14 +32,15 @@ CLASSES, PLACES = 32, 32
 CLASS_ROWS, PLACE_ROWS = 1 << 13, 1 << 15
 FEATURES = 4
 BLOCK = 8_000_000  # characters
-BATCH = 8192  # positions of one gradient step
+BATCH = 16384  # positions of one gradient step
 RATE = 0.2
 ROUNDS = 2  # of training; each round reads its share of the blocks
+RANGE = 2_000_000  # words of blocks that are counted together, about
 END = b""
 _START = np.uint64(0x51ED270B0A1F3C29)
 _K = np.random.default_rng(23).integers(1 << 62, (1 << 63) - 1, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-_BLOCKS = "block long, doc_ids array<long>, train array<boolean>, lengths array<int>, tokens binary, hashes binary, counts binary"
+_BLOCKS = "block long, doc_ids array<long>, train array<boolean>, lengths array<int>, tokens binary, hashes binary, counts binary, n_words long"
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -59,8 +62,12 @@ def _pack(batches, modulus: int, held_out: int) -> Iterator[pa.RecordBatch]:
     def row():
         flat = np.concatenate(at).astype("<i4")
         words = np.fromiter(map(xxhash.xxh3_64_intdigest, known), np.uint64, len(known))
+        order = np.argsort(words)
+        place = np.empty(len(words), "<i4")
+        place[order] = np.arange(len(words))
+        words, flat = words[order], place[flat]
         counts = np.bincount(flat[np.repeat(train, lengths)], minlength=len(known)).astype("<i4")
-        return pa.RecordBatch.from_arrays([pa.array([part << 32 | n]), pa.array([ids], pa.list_(pa.int64())), pa.array([train], pa.list_(pa.bool_())), pa.array([lengths], pa.list_(pa.int32())), pa.array([zstandard.compress(flat.tobytes(), 1)]), pa.array([words.tobytes()]), pa.array([counts.tobytes()])], ["block", "doc_ids", "train", "lengths", "tokens", "hashes", "counts"])
+        return pa.RecordBatch.from_arrays([pa.array([part << 32 | n]), pa.array([ids], pa.list_(pa.int64())), pa.array([train], pa.list_(pa.bool_())), pa.array([lengths], pa.list_(pa.int32())), pa.array([zstandard.compress(flat.tobytes(), 1)]), pa.array([words.tobytes()]), pa.array([counts.tobytes()]), pa.array([len(words)])], ["block", "doc_ids", "train", "lengths", "tokens", "hashes", "counts", "n_words"])
 
     for batch in batches:
         for i, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -135,10 +142,18 @@ class Model:
             own = item[i : i + BATCH]
             cls, place = own // PLACES, own % PLACES
             rc, rp = self.rows(f[:, i : i + BATCH], cls)
-            out[i : i + BATCH] = _log(self.c[rc].sum(axis=0), cls) + _log(self.p[rp].sum(axis=0), place)
+            out[i : i + BATCH] = _log(_summed(self.c, rc), cls) + _log(_summed(self.p, rp), place)
         return out
 
 
+def _summed(w: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Sums of w's rows, feature by feature."""
+    z = w.take(rows[0], axis=0)
+    for r in rows[1:]:
+        z += w.take(r, axis=0)
+    return z
+
+
 def _log(z: np.ndarray, at: np.ndarray) -> np.ndarray:
     top = z.max(axis=1)
     return z[np.arange(len(z)), at] - top - np.log(np.exp(z - top[:, None]).sum(axis=1))
@@ -157,19 +172,22 @@ class Learner:
             own = item[i : i + BATCH]
             cls, place = own // PLACES, own % PLACES
             for k, (w, rows, at) in enumerate(zip((self.m.c, self.m.p), self.m.rows(f[:, i : i + BATCH], cls), (cls, place), strict=True)):
-                z = w[rows].sum(axis=0)
-                g = np.exp(z - z.max(axis=1)[:, None])
+                g = _summed(w, rows)
+                g -= g.max(axis=1)[:, None]
+                np.exp(g, out=g)
                 g /= g.sum(axis=1)[:, None]
                 g[np.arange(len(g)), at] -= 1
-                flat = rows.ravel()
-                order = np.argsort(flat, kind="stable")
-                heads = np.flatnonzero(np.diff(flat[order], prepend=-1))
-                sums = np.add.reduceat(g[order % len(own)], heads, axis=0)
-                at_rows = flat[order[heads]]
-                size = np.diff(heads, append=len(flat))
-                self.sq[k][at_rows] += sums * sums
-                w[at_rows] -= RATE * sums / (np.sqrt(self.sq[k][at_rows]) + 1e-3)
-                self.n[k][at_rows] += size
+                seen = np.bincount(rows.ravel(), minlength=len(w))
+                at_rows = np.flatnonzero(seen)
+                compact = np.zeros(len(w), np.int64)
+                compact[at_rows] = np.arange(len(at_rows))
+                flat = compact[rows].ravel()
+                # each row gets the gradients of the positions it took part in, added column by column
+                sums = np.stack([np.bincount(flat, np.tile(c, FEATURES), len(at_rows)) for c in np.ascontiguousarray(g.T, dtype=np.float64)], axis=1).astype(np.float32)
+                sq = self.sq[k][at_rows] + sums * sums
+                self.sq[k][at_rows] = sq
+                w[at_rows] -= RATE * sums / (np.sqrt(sq) + np.float32(1e-3))
+                self.n[k] += seen
 
 
 def _state(slot: int, tables) -> pa.RecordBatch:
@@ -222,6 +240,58 @@ def train(blocks: DataFrame, vocabulary: np.ndarray, rounds: int = ROUNDS) -> Mo
     return model
 
 
+_COUNTED = "block long, part int, c binary, types long, total long, top array<struct<h:long,c:long>>"
+
+
+def _counted(blocks: DataFrame) -> DataFrame:
+    """For each block and range of hashes a row with the corpus's counts of the block's words there; for each range
+    a row without block: how many words and tokens training has there, and its most frequent words."""
+    words = blocks.agg(F.sum("n_words")).first()[0] or 0
+    parts = max(1, -(-words // RANGE))
+
+    def send(batches):
+        for batch in batches:
+            for block, hashes, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                h, n = np.frombuffer(hashes, np.uint64), np.frombuffer(counts, "<i4")
+                part = ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+                edges = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]])
+                for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                    yield pa.RecordBatch.from_arrays([pa.array([int(part[i])], pa.int32()), pa.array([block], pa.int64()), pa.array([h[i:j].tobytes()]), pa.array([n[i:j].tobytes()])], ["part", "block", "h", "n"])
+
+    schema = to_arrow_schema(T._parse_datatype_string(_COUNTED))
+
+    def row(block, part, c, types, total, top):
+        return pa.RecordBatch.from_pylist([{"block": block, "part": part, "c": c, "types": types, "total": total, "top": top}], schema)
+
+    def count(part: int, held: list):
+        h = np.concatenate([np.frombuffer(x, np.uint64) for _, x, _ in held])
+        own, at = np.unique(h, return_inverse=True)
+        c = np.bincount(at, np.concatenate([np.frombuffer(x, "<i4") for _, _, x in held]), len(own)).astype("<i8")
+        i = 0
+        for block, x, _ in held:
+            yield row(block, part, zstandard.compress(c[at[i : i + len(x) // 8]].tobytes(), 1), None, None, None)
+            i += len(x) // 8
+        own = own.view(np.int64)
+        top = np.lexsort((own, -c))[: CLASSES * PLACES]
+        yield row(None, part, None, int((c > 0).sum()), int(c.sum()), [{"h": int(own[k]), "c": int(c[k])} for k in top if c[k]])
+
+    def add(batches):
+        """Rows come sorted by range."""
+        held, at = [], None
+        for batch in batches:
+            for part, block, h, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part != at and held:
+                    yield from count(at, held)
+                    held = []
+                at = part
+                held.append((block, h, n))
+        if held:
+            yield from count(at, held)
+
+    sent = blocks.select("block", "hashes", "counts").mapInArrow(send, "part int, block long, h binary, n binary")
+    return sent.repartition("part").sortWithinPartitions("part").mapInArrow(add, _COUNTED)
+
+
 def lm_scores(docs: DataFrame, modulus: int = 7, held_out: int = 2, rounds: int = ROUNDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row for each row of docs.
 
@@ -232,22 +302,11 @@ def lm_scores(docs: DataFrame, modulus: int = 7, held_out: int = 2, rounds: int
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     blocks = store(own.mapInArrow(lambda batches: _pack(batches, modulus, held_out), _BLOCKS), "blocks")
 
-    def words(batches):
-        for batch in batches:
-            for block, hashes, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                h, n = np.frombuffer(hashes, np.int64), np.frombuffer(counts, "<i4")
-                for i in range(0, len(h), 50_000):
-                    j = min(i + 50_000, len(h))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(j - i, block)), pa.array(np.arange(i, j, dtype=np.int32)), pa.array(h[i:j]), pa.array(n[i:j])], ["block", "at", "h", "n"])
-
-    by_word = Window.partitionBy("h")
-    listed = blocks.select("block", "hashes", "counts").mapInArrow(words, "block long, at int, h long, n int")
-    counted = listed.select("block", "at", "h", F.sum(F.col("n").cast("long")).over(by_word).alias("c"), (F.row_number().over(by_word.orderBy("block")) == 1).alias("one"))
-    counted = store(counted, "counted")
-    types = counted.where("one and c > 0")
-    frequent = types.orderBy(F.desc("c"), "h").select("h", "c").limit(CLASSES * PLACES - 1).collect()
-    total = types.agg(F.count(F.lit(1)), F.sum("c")).first()
-    v, n = total[0], total[1] or 0
+    counted = store(_counted(blocks), "counted")
+    types = counted.where("block is null").select(F.explode("top").alias("t")).select("t.*")
+    frequent = types.orderBy(F.desc("c"), "h").limit(CLASSES * PLACES - 1).collect()
+    total = counted.agg(F.sum("types"), F.sum("total")).first()
+    v, n = total[0] or 0, total[1] or 0
     rest = n - sum(r["c"] for r in frequent), v - len(frequent)
     vocabulary = np.array([r["h"] for r in frequent], np.int64).view(np.uint64)
     model = train(blocks, vocabulary, rounds)
@@ -256,10 +315,9 @@ def lm_scores(docs: DataFrame, modulus: int = 7, held_out: int = 2, rounds: int
     def score(batches):
         vocab, m = Vocabulary(sent.value[0]), Model(*sent.value[1:])
         for batch in batches:
-            for ids, flags, lengths, toks, hashes, at, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            for ids, flags, lengths, toks, hashes, known in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 b = Block(lengths, toks, hashes)
-                counts = np.zeros(len(b.hashes), np.int64)
-                counts[np.frombuffer(at, ">i4")] = np.frombuffer(c, ">i8")
+                counts = np.frombuffer(b"".join(zstandard.decompress(k["c"]) for k in known), "<i8")
                 item = vocab.item(b.hashes)
                 base = np.log10((counts + 1) / (n + v + 1))
                 share = np.where(item == 0, np.log10((counts + 1) / (rest[0] + rest[1] + 1)), 0.0)
@@ -268,27 +326,6 @@ def lm_scores(docs: DataFrame, modulus: int = 7, held_out: int = 2, rounds: int
                 cols = [pa.array(ids, pa.int64()), pa.array([not x for x in flags]), pa.array(b.lengths), pa.array(total((counts > 0)[b.flat].astype(np.int64))), pa.array(np.full(len(ids), n, np.int64)), pa.array(total(base[b.flat])), pa.array(total(logs))]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    def gather(batches):
-        """Rows (block, at, c), sorted by block, to one row a block."""
-        held, block = [], None
-
-        def row():
-            at, c = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
-            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([at.astype(">i4").tobytes()]), pa.array([c.astype(">i8").tobytes()])], ["block", "at", "c"])
-
-        for batch in batches:
-            b, at, c = (x.to_numpy() for x in batch.columns)
-            for i, j in zip(edges := [0, *(np.flatnonzero(np.diff(b)) + 1), len(b)], edges[1:], strict=False):
-                if i == j:
-                    continue
-                if block is not None and b[i] != block:
-                    yield row()
-                    held = []
-                block = int(b[i])
-                held.append((at[i:j], c[i:j]))
-        if held:
-            yield row()
-
-    known = counted.where("c > 0").select("block", "at", "c").repartition("block").sortWithinPartitions("block").mapInArrow(gather, "block long, at binary, c binary")
-    joined = blocks.join(known, "block", "left").select("doc_ids", "train", "lengths", "tokens", "hashes", F.coalesce("at", F.lit(b"")), F.coalesce("c", F.lit(b"")))
+    known = counted.where("block is not null").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("part", "c"))).alias("known"))
+    joined = blocks.join(known, "block").select("doc_ids", "train", "lengths", "tokens", "hashes", "known")
     return joined.mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
