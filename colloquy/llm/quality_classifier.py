@@ -165,6 +165,8 @@ def fit(labelled: DataFrame) -> tuple[np.ndarray, float]:
         yield pa.RecordBatch.from_arrays([pa.array([m.margins().astype("<f4").tobytes()]), pa.array([float(m.bias[1] - m.bias[0])])], ["margins", "bias"])
 
     row = labelled.select("text", "label").repartition(1).mapInArrow(run, "margins binary, bias double").first()
+    if row is None:  # no labels
+        return np.zeros(BUCKETS, "<f4"), 0.0
     return np.frombuffer(row["margins"], "<f4"), row["bias"]
 
 

@@ -103,6 +103,8 @@ def fit(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
         yield pa.RecordBatch.from_arrays([pa.array([at.tobytes()]), pa.array([w.tobytes()]), pa.array([bias])], ["at", "w", "bias"])
 
     row = labelled.select("text", "label").repartition(1).mapInArrow(run, "at binary, w binary, bias double").first()
+    if row is None:  # no labels
+        return np.zeros(0, np.int32), np.zeros(0, np.float32), 0.0
     return np.frombuffer(row["at"], np.int32), np.frombuffer(row["w"], np.float32), row["bias"]
 
 
