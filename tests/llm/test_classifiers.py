@@ -82,11 +82,11 @@ def test_toxic_features_are_words_pairs_and_skips():
 
 @pytest.mark.parametrize(("run", "label"), [(quality_classifier.classify, "quality"), (toxicity.toxicity, "toxic")])
 def test_nulls_repeats_long_texts_empty_tables_and_clashing_columns(spark, run, label):
-    marks = spark.createDataFrame([(i, i % 2) for i in range(30)], f"doc_id long, {label} int")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(300)], f"doc_id long, {label} int")
     none = spark.createDataFrame([], f"doc_id long, {label} int")
     schema = SCHEMA + ", SCORE string, label int, held_out int, _id int"
     assert run(spark.createDataFrame([], schema), marks).collect() == []
-    rows = [(i, ("bad " if i % 2 == 0 else "good ") * 9, "s", 1, 2, 3) for i in range(30)] + [(100, None, "s", 1, 2, 3), (100, "", "s", 1, 2, 3), (None, "x", "s", 1, 2, 3), (101, "good " * 200_000, "s", 1, 2, 3)]
+    rows = [(i, ("bad " if i % 2 == 0 else "good ") * 9, "s", 1, 2, 3) for i in range(300)] + [(100, None, "s", 1, 2, 3), (100, "", "s", 1, 2, 3), (None, "x", "s", 1, 2, 3), (101, "good " * 200_000, "s", 1, 2, 3)]
     out = run(spark.createDataFrame(rows, schema), marks)
     assert sorted(out.columns) == ["_id", "doc_id", "held_out", "label", "predicted", "score", "text"]
     got = {(r["doc_id"], r["text"]): r for r in out.collect()}
