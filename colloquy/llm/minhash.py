@@ -8,7 +8,7 @@ are linked only after comparing their full sets.
 
 Texts with the same set are one class from the start. Among class representatives no bucket is expanded into rows
 of pairs: in each bucket the members are compared with one hub, confirmed links merge components, and buckets that
-lie in one component are done. Further hubs follow as long as they link. What is left are buckets of texts that are
+lie in one component are done. Crowded buckets meet further hubs as long as these link. What is left are buckets of texts that are
 alike, but mostly not enough; there the sets themselves are compared in blocks of bounded size, and each block gives
 no more links than it has members.
 """
@@ -156,13 +156,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     labels = nodes.select("node", F.col("node").alias("label"))
     for k, most in enumerate(HUBS):
-        pairs = store(_to_hubs(members, labels, k, most, percent), "pairs")
+        # after the first hub, buckets that fit in one block are left to it
+        met = members if k == 0 else store(_crowded(members), "crowded")
+        pairs = store(_to_hubs(met, labels, k, most, percent), "pairs")
         links = store(_similar(pairs, sets, percent), "links")
         n_links = links.count()
         if n_links:
             labels = link(labels, links)
             members = store(_unsettled(members, labels), "members")
-        if n_links <= FEW * members.select("node").distinct().count():
+        if n_links <= FEW * met.select("node").distinct().count():
             break
     labels = link(labels, store(_in_blocks(members, labels, sets, percent), "links"))
 
@@ -192,6 +194,11 @@ def _unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
     return members.join(mixed, "band")
 
 
+def _crowded(members: DataFrame) -> DataFrame:
+    """members of the buckets that have more than one block."""
+    return members.join(members.groupBy("band").count().where(F.col("count") > BLOCK).select("band"), "band")
+
+
 def block_links(ids: list[int], labels: list[int], sides: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links that join the components of a block: pairs of similar sets, a spanning forest of them. Sets of sides 0
     and 1 are compared across, those of side 0 alone among themselves."""

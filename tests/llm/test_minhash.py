@@ -49,10 +49,10 @@ def corpus(seed=5, groups=12, copies=14):
     return list(enumerate(docs, 10))
 
 
-@pytest.mark.parametrize("block", [500, 3])
-def test_components_equal_those_of_all_pairs(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "hubs"), [(500, 8), (3, 1), (3, 8)])
+def test_components_equal_those_of_all_pairs(spark, monkeypatch, block, hubs):
     monkeypatch.setattr(minhash, "BLOCK", block)
-    monkeypatch.setattr(minhash, "HUBS", (1,) if block == 3 else minhash.HUBS)
+    monkeypatch.setattr(minhash, "HUBS", minhash.HUBS[:hubs])
     docs = corpus()
     want = brute(docs, 4)
     got = minhash.near_duplicates(spark.createDataFrame(docs, SCHEMA), shingle=4).collect()
