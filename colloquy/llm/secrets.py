@@ -8,6 +8,7 @@ dictionary of common identifiers. Names, paths and words cost few marginal bytes
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
 import zstandard
 from pyspark.sql import DataFrame
@@ -65,22 +66,50 @@ class Novelty:
         return 8 * (len(self.zip.compress(a + c)) - len(self.zip.compress(a))) / len(c)
 
 
+def _blanked(text: str, s: int, e: int, spans: list[tuple[int, int]]) -> str:
+    """text[s:e] with the spans (ascending, none within another) replaced by a space each."""
+    s, out = max(0, s), []
+    for a, b in spans[bisect_right(spans, s, key=lambda x: x[1]) :]:
+        if a >= e:
+            break
+        out.append(text[s : max(s, a)])
+        s = min(b, e)
+    return " ".join([*out, text[s:e]])
+
+
 def novel_spans(text: str, taken: list[tuple[str, int, int]], novelty: Novelty, min_bits: float = MIN_BITS) -> list[tuple[str, int, int]]:
-    """Candidates shortly after a sensitive word that the fixed shapes miss and that hardly compress."""
+    """Candidates shortly after a sensitive word that the fixed shapes miss and that hardly compress.
+
+    One secret does not make another known: the compressor sees neither the fixed shapes nor the other candidates,
+    nor later copies. A string that is news at one of its places is reported at all of them.
+    """
     low = text.lower()
     if not any(w in low for w in SENSITIVE):
         return []
-    out: list[tuple[str, int, int]] = []
+    found: list[tuple[int, int]] = []
     done = 0
     for near in _NEAR.finditer(text):
         m = _CANDIDATE.search(text, max(near.end(), done))
         while m and m.start() <= near.end() + REACH:
             done, s, e = m.end(), m.start(), m.end()
             mixed = any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0])
-            if mixed and not any(s < b and a < e for _, a, b in taken) and novelty.bits(text[max(0, s - AROUND) : s] + text[e : e + AROUND], m[0]) >= min_bits:
-                out.append(("novel", s, e))
+            if mixed and not any(s < b and a < e for _, a, b in taken):
+                found.append((s, e))
             m = _CANDIDATE.search(text, done)
-    return out
+    hidden: list[tuple[int, int]] = []
+    for s, e in sorted([*found, *((a, b) for _, a, b in taken)]):
+        if hidden and s < hidden[-1][1]:
+            hidden[-1] = (hidden[-1][0], max(e, hidden[-1][1]))
+        else:
+            hidden.append((s, e))
+    news: set[str] = set()
+    for s, e in found:
+        own = text[s:e]
+        if own not in news:
+            after = _blanked(text, e, e + AROUND + len(own), hidden).replace(own, " ")[:AROUND]
+            if novelty.bits(_blanked(text, s - AROUND, s, hidden) + after, own) >= min_bits:
+                news.add(own)
+    return [("novel", s, e) for s, e in found if text[s:e] in news]
 
 
 _shared: dict[str, Novelty] = {}

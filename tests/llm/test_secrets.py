@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import string
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -45,6 +47,20 @@ def test_novel_strings_in_sensitive_places_are_found():
     assert found(f"token={KEY}") == [("assign", f"token={KEY}")]  # the base span stays alone
 
 
+def test_a_repeated_secret_is_reported_at_every_sensitive_place():
+    rng = random.Random(7)
+    places = lambda text: [(s, e) for k, s, e in secrets.scan(text) if k == "novel"]
+    for gap in range(0, 700, 7):
+        key = "".join(rng.choices(string.ascii_letters + string.digits, k=31)) + "7"
+        filler = ("the quick brown fox jumps over the lazy dog. " * 20)[:gap]
+        text = f"Authorization: Bearer {key}\n{filler}\nAuthorization: Bearer {key}\n"
+        assert places(text) == [(i, i + 32) for i in (22, text.rindex(key))]
+        assert key not in secrets.redact(text, secrets.scan(text))
+        assert places(f"token={key}\n{filler}\nBearer {key}\n")
+        assert gap < 48 or places(f"Bearer {key}\n{filler}\nrun {key}\n") == [(7, 39)]
+        assert len(places(f"Bearer {key}\n{filler}\nBearer {key}=\n")) == 2
+
+
 def test_redaction_covers_overlaps():
     assert secrets.redact("abcdefgh", [("a", 1, 4), ("b", 2, 6), ("c", 7, 8)]) == "a[SECRET]g[SECRET]"
     assert secrets.redact("abcd", [("a", 0, 2), ("b", 2, 4)]) == "[SECRET][SECRET]" and secrets.redact(None, []) is None
