@@ -2,8 +2,11 @@
 
 The next token is predicted in two steps, its class and its place in the class, each by a softmax whose logits are
 sums of hashed rows: one for the previous word, one for the previous two, one for the word before the previous
-(a skip), one for no context. The most frequent CLASSES * PLACES - 1 tokens have places of their own; all others
-share one, and are told apart by their add-one shares among the others, so that probabilities sum to one.
+(a skip), one for no context. The most frequent CLASSES * PLACES - 1 tokens have places of their own. All others
+share one, and are told apart by further steps down a tree over their hashes, WIDTH ways at each node: logits are the
+nodes' logarithmic add-one counts and hashed rows of the same contexts. The tree's depth grows with the logarithm of
+the distinct training words (1 to WIDTH of them a leaf, on average) and its table with their square root. Words of one
+leaf have their add-one shares in it, so that probabilities sum to one.
 
 Documents are packed into blocks with a dictionary each, sorted by word hash. Every training token of the corpus is
 counted: a block sends each range of hashes its words and their counts as one row, and gets the corpus's counts back
@@ -13,6 +16,7 @@ each was updated, in a tree of tasks, and the next round starts from there. Word
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -30,11 +34,14 @@ from colloquy.llm.common import store
 
 CLASSES, PLACES = 32, 32
 CLASS_ROWS, PLACE_ROWS = 1 << 13, 1 << 15
+WIDTH, DIGIT = 32, 5  # of a node of the tree, and its bits
 FEATURES = 4
 BLOCK = 8_000_000  # characters
 BATCH = 16384  # positions of one gradient step
 RATE = 0.2
+TAIL_SQ = 1.0  # squares that the tree's weights start from: one sight of a word hardly moves them
 ROUNDS = 2  # of training; each round reads its share of the blocks
+TASK = 4  # blocks of one learning task, at least
 RANGE = 2_000_000  # words of blocks that are counted together, about
 END = b""
 _START = np.uint64(0x51ED270B0A1F3C29)
@@ -123,10 +130,58 @@ def feature_hashes(one: np.ndarray, two: np.ndarray) -> np.ndarray:
     return np.stack([np.zeros(len(one), np.uint64), one * _K[0] ^ _K[4], (one * _K[1] + two * _K[2]) ^ _K[5], two * _K[3] ^ _K[6]])
 
 
+def depth_of(words: int) -> int:
+    """Levels of a tree over so many words: the most that give no more leaves than words."""
+    return max(1, (max(1, words).bit_length() - 1) // DIGIT)
+
+
+def tail_rows(words: int) -> int:
+    """Rows of the tree's table: 64 times the root of the words, as a power of two."""
+    return max(1 << 10, 1 << (64 * math.isqrt(words)).bit_length())
+
+
+class Tree:
+    """Add-one counts by leaf, the first digits of a word's hash; words that training lacks are one word of leaf 0."""
+
+    def __init__(self, mass: np.ndarray):
+        self.mass = mass
+        self.depth = (len(mass).bit_length() - 1) // DIGIT
+        with np.errstate(divide="ignore"):  # nothing leads to empty nodes
+            self.levels = [np.log(mass.reshape(WIDTH ** (k + 1), -1).sum(axis=1)).astype(np.float32).reshape(-1, WIDTH) for k in range(self.depth)]
+
+    def leaf(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> np.uint64(64 - DIGIT * self.depth)).astype(np.int64)
+
+    def steps(self, f: np.ndarray, leaf: np.ndarray, rows: int):
+        """For each level the rows, the digits to predict and what the logits start from."""
+        for k in range(self.depth):
+            node = leaf >> DIGIT * (self.depth - k)
+            own = (f + (node + (1 << DIGIT * k)).astype(np.uint64) * _K[2]) * _K[3]
+            yield ((own ^ own >> np.uint64(29)) * _K[1] >> np.uint64(32)).astype(np.int64) % rows, leaf >> DIGIT * (self.depth - k - 1) & WIDTH - 1, self.levels[k][node]
+
+
 class Model:
-    def __init__(self, classes: np.ndarray | None = None, places: np.ndarray | None = None):
+    def __init__(self, classes: np.ndarray | None = None, places: np.ndarray | None = None, tail: np.ndarray | None = None, tree: Tree | None = None):
         self.c = np.zeros((CLASS_ROWS, CLASSES), np.float32) if classes is None else classes
         self.p = np.zeros((PLACE_ROWS, PLACES), np.float32) if places is None else places
+        self.t = np.zeros((1, WIDTH), np.float32) if tail is None else tail
+        self.tree = tree
+
+    @property
+    def tables(self) -> tuple[np.ndarray, ...]:
+        return self.c, self.p, self.t
+
+    def steps(self, f: np.ndarray, item: np.ndarray, leaf: np.ndarray | None):
+        """(table, positions or None for all, rows, what to predict, what the logits start from)"""
+        cls = item // PLACES
+        rc, rp = self.rows(f, cls)
+        yield 0, None, rc, cls, None
+        yield 1, None, rp, item % PLACES, None
+        if self.tree and leaf is not None:
+            others = np.flatnonzero(item == 0)
+            if len(others):
+                for rows, at, start in self.tree.steps(f[:, others], leaf[others], len(self.t)):
+                    yield 2, others, rows, at, start
 
     @staticmethod
     def rows(f: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,22 +190,23 @@ class Model:
         own = (f + (cls.astype(np.uint64) + np.uint64(1)) * _K[4]) * _K[7]
         return c, ((own ^ own >> np.uint64(29)) * _K[0] >> np.uint64(40)).astype(np.int64) % PLACE_ROWS
 
-    def logs(self, f: np.ndarray, item: np.ndarray) -> np.ndarray:
-        """Natural-log probabilities of items after their contexts."""
-        out = np.empty(len(item))
+    def logs(self, f: np.ndarray, item: np.ndarray, leaf: np.ndarray | None = None) -> np.ndarray:
+        """Natural-log probabilities of items, and of leaves where these are given, after their contexts."""
+        out = np.zeros(len(item))
         for i in range(0, len(item), BATCH):
-            own = item[i : i + BATCH]
-            cls, place = own // PLACES, own % PLACES
-            rc, rp = self.rows(f[:, i : i + BATCH], cls)
-            out[i : i + BATCH] = _log(_summed(self.c, rc), cls) + _log(_summed(self.p, rp), place)
+            part = out[i : i + BATCH]
+            for k, which, rows, at, start in self.steps(f[:, i : i + BATCH], item[i : i + BATCH], None if leaf is None else leaf[i : i + BATCH]):
+                part[slice(None) if which is None else which] += _log(_summed(self.tables[k], rows, start), at)
         return out
 
 
-def _summed(w: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Sums of w's rows, feature by feature."""
+def _summed(w: np.ndarray, rows: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
+    """Sums of w's rows, feature by feature, and start."""
     z = w.take(rows[0], axis=0)
     for r in rows[1:]:
         z += w.take(r, axis=0)
+    if start is not None:
+        z += start
     return z
 
 
@@ -164,15 +220,14 @@ class Learner:
 
     def __init__(self, model: Model):
         self.m = model
-        self.sq = [np.zeros_like(model.c), np.zeros_like(model.p)]
-        self.n = [np.zeros(CLASS_ROWS), np.zeros(PLACE_ROWS)]
+        self.sq = [np.zeros_like(model.c), np.zeros_like(model.p), np.full_like(model.t, TAIL_SQ)]
+        self.n = [np.zeros(len(w)) for w in model.tables]
 
-    def learn(self, f: np.ndarray, item: np.ndarray) -> None:
+    def learn(self, f: np.ndarray, item: np.ndarray, leaf: np.ndarray | None = None) -> None:
         for i in range(0, len(item), BATCH):
-            own = item[i : i + BATCH]
-            cls, place = own // PLACES, own % PLACES
-            for k, (w, rows, at) in enumerate(zip((self.m.c, self.m.p), self.m.rows(f[:, i : i + BATCH], cls), (cls, place), strict=True)):
-                g = _summed(w, rows)
+            for k, _, rows, at, offset in self.m.steps(f[:, i : i + BATCH], item[i : i + BATCH], None if leaf is None else leaf[i : i + BATCH]):
+                w = self.m.tables[k]
+                g = _summed(w, rows, offset)
                 g -= g.max(axis=1)[:, None]
                 np.exp(g, out=g)
                 g /= g.sum(axis=1)[:, None]
@@ -190,64 +245,74 @@ class Learner:
                 self.n[k] += seen
 
 
-def _state(slot: int, tables) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([slot], pa.int64()), *(pa.array([t.astype("<f4").tobytes()], pa.binary()) for t in tables)], ["slot", "c", "p", "nc", "np"])
+def _state(slot: int, tables, seen) -> pa.RecordBatch:
+    """Tables as half floats, rows that were not updated left out, and how often each row was."""
+    sent = [zstandard.compress(np.where(n[:, None] > 0, w, 0).astype("<f2").tobytes(), 1) for w, n in zip(tables, seen, strict=True)]
+    sent += [zstandard.compress(n.astype("<f4").tobytes(), 1) for n in seen]
+    return pa.RecordBatch.from_arrays([pa.array([slot], pa.int64()), *(pa.array([t], pa.binary()) for t in sent)], ["slot", "c", "p", "t", "nc", "np", "nt"])
+
+
+def _unpacked(sent: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    raw = [zstandard.decompress(x) for x in sent]
+    seen = [np.frombuffer(x, "<f4") for x in raw[3:]]
+    return [np.frombuffer(x, "<f2").reshape(len(n), -1).astype(np.float32) for x, n in zip(raw[:3], seen, strict=True)], seen
 
 
-_STATE = "slot long, c binary, p binary, nc binary, np binary"
+_STATE = "slot long, c binary, p binary, t binary, nc binary, np binary, nt binary"
 
 
-def train(blocks: DataFrame, vocabulary: np.ndarray, rounds: int = ROUNDS) -> Model:
-    """Rounds of distributed gradient steps; what comes to the driver is one model, of fixed size."""
+def train(blocks: DataFrame, vocabulary: np.ndarray, rounds: int = ROUNDS, tree: Tree | None = None, rows: int = 1) -> Model:
+    """Rounds of distributed gradient steps; what comes to the driver is one model."""
     sc = blocks.sparkSession.sparkContext
-    words = sc.broadcast(vocabulary)
-    model = Model()
+    words, mass = sc.broadcast(vocabulary), sc.broadcast(tree and tree.mass)
+    model = Model(None, None, np.zeros((rows, WIDTH), np.float32), tree)
+    tasks = max(sc.defaultParallelism, -(-blocks.count() // (TASK * rounds)))
     for k in range(rounds):
-        start = sc.broadcast((model.c, model.p))
+        start = sc.broadcast(model.tables)
 
         def learn(batches, start=start):
-            m = Model(*(x.copy() for x in start.value))
+            m = Model(*(x.copy() for x in start.value), None if mass.value is None else Tree(mass.value))
             learner, vocab, slot = Learner(m), Vocabulary(words.value), 0
             for batch in batches:
                 for slot, lengths, flags, toks, hashes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     b = Block(lengths, toks, hashes)
                     use = np.repeat(np.array(flags, bool), b.lengths)
                     f = feature_hashes(*(x[use] for x in b.contexts()))
-                    learner.learn(f, vocab.item(b.hashes)[b.flat[use]])
+                    own = b.flat[use]
+                    learner.learn(f, vocab.item(b.hashes)[own], m.tree and m.tree.leaf(b.hashes)[own])
             if learner.n[0].any():
-                yield _state(slot % 4096, (m.c * learner.n[0][:, None], m.p * learner.n[1][:, None], *learner.n))
+                yield _state(slot % 4096, m.tables, learner.n)
 
         def add(batches):
             total, slot = None, 0
             for batch in batches:
-                for slot, *tables in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    tables = [np.frombuffer(t, "<f4") for t in tables]
-                    total = [t.copy() for t in tables] if total is None else [np.add(a, b, out=a) for a, b in zip(total, tables, strict=True)]
+                for slot, *sent in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    tables, seen = _unpacked(sent)
+                    tables = [np.multiply(w, n[:, None], out=w) for w, n in zip(tables, seen, strict=True)] + [n.copy() for n in seen]
+                    total = tables if total is None else [np.add(a, b, out=a) for a, b in zip(total, tables, strict=True)]
             if total:
-                yield _state(slot, total)
+                yield _state(slot, [w / np.maximum(n, 1)[:, None] for w, n in zip(total[:3], total[3:], strict=True)], total[3:])
 
-        states = blocks.where(F.pmod(F.xxhash64("block"), F.lit(rounds).cast("long")) == k).select(F.xxhash64("block").alias("slot"), "lengths", "train", "tokens", "hashes").mapInArrow(learn, _STATE)
+        states = blocks.where(F.pmod(F.xxhash64("block"), F.lit(rounds).cast("long")) == k).select(F.xxhash64("block").alias("slot"), "lengths", "train", "tokens", "hashes").coalesce(tasks).mapInArrow(learn, _STATE)
         states = store(states, "gradients")
-        for width in (64, 8):  # a tree of sums: memory of one model a task
+        for width in (w for w in (64, 8) if w < tasks):  # a tree of sums: memory of one model a task
             states = states.repartition(F.pmod("slot", F.lit(width))).mapInArrow(add, _STATE)
         row = states.coalesce(1).mapInArrow(add, _STATE).first()
         if row:
-            c, p, nc, n_p = (np.frombuffer(row[x], "<f4") for x in ("c", "p", "nc", "np"))
-            c, p = c.reshape(CLASS_ROWS, CLASSES), p.reshape(PLACE_ROWS, PLACES)
-            seen = nc > 0, n_p > 0
-            model.c[seen[0]] = c[seen[0]] / nc[seen[0], None]
-            model.p[seen[1]] = p[seen[1]] / n_p[seen[1], None]
+            for own, w, n in zip(model.tables, *_unpacked([row[x] for x in ("c", "p", "t", "nc", "np", "nt")]), strict=True):
+                own[n > 0] = w[n > 0]
     return model
 
 
-_COUNTED = "block long, part int, c binary, types long, total long, top array<struct<h:long,c:long>>"
+_COUNTED = "block long, part int, c binary, types long, total long, top array<struct<h:long,c:long>>, depth int, first long, mass binary"
 
 
 def _counted(blocks: DataFrame) -> DataFrame:
     """For each block and range of hashes a row with the corpus's counts of the block's words there; for each range
-    a row without block: how many words and tokens training has there, and its most frequent words."""
+    a row without block: how many words and tokens training has there, its most frequent words, and the add-one counts
+    by leaf of a tree that is deep enough for all words."""
     words = blocks.agg(F.sum("n_words")).first()[0] or 0
-    parts = max(1, -(-words // RANGE))
+    parts, depth = max(1, -(-words // RANGE)), depth_of(words)
 
     def send(batches):
         for batch in batches:
@@ -260,8 +325,8 @@ def _counted(blocks: DataFrame) -> DataFrame:
 
     schema = to_arrow_schema(T._parse_datatype_string(_COUNTED))
 
-    def row(block, part, c, types, total, top):
-        return pa.RecordBatch.from_pylist([{"block": block, "part": part, "c": c, "types": types, "total": total, "top": top}], schema)
+    def row(**values):
+        return pa.RecordBatch.from_pylist([values], schema)
 
     def count(part: int, held: list):
         h = np.concatenate([np.frombuffer(x, np.uint64) for _, x, _ in held])
@@ -269,11 +334,13 @@ def _counted(blocks: DataFrame) -> DataFrame:
         c = np.bincount(at, np.concatenate([np.frombuffer(x, "<i4") for _, _, x in held]), len(own)).astype("<i8")
         i = 0
         for block, x, _ in held:
-            yield row(block, part, zstandard.compress(c[at[i : i + len(x) // 8]].tobytes(), 1), None, None, None)
+            yield row(block=block, part=part, c=zstandard.compress(c[at[i : i + len(x) // 8]].tobytes(), 1))
             i += len(x) // 8
+        leaf = (own >> np.uint64(64 - DIGIT * depth)).astype(np.int64)
+        mass = np.bincount(leaf - leaf[0], np.where(c > 0, c + 1, 0)).astype("<i8")
         own = own.view(np.int64)
         top = np.lexsort((own, -c))[: CLASSES * PLACES]
-        yield row(None, part, None, int((c > 0).sum()), int(c.sum()), [{"h": int(own[k]), "c": int(c[k])} for k in top if c[k]])
+        yield row(part=part, types=int((c > 0).sum()), total=int(c.sum()), top=[{"h": int(own[k]), "c": int(c[k])} for k in top if c[k]], depth=depth, first=int(leaf[0]), mass=zstandard.compress(mass.tobytes(), 1))
 
     def add(batches):
         """Rows come sorted by range."""
@@ -307,21 +374,28 @@ def lm_scores(docs: DataFrame, modulus: int = 7, held_out: int = 2, rounds: int
     frequent = types.orderBy(F.desc("c"), "h").limit(CLASSES * PLACES - 1).collect()
     total = counted.agg(F.sum("types"), F.sum("total")).first()
     v, n = total[0] or 0, total[1] or 0
-    rest = n - sum(r["c"] for r in frequent), v - len(frequent)
     vocabulary = np.array([r["h"] for r in frequent], np.int64).view(np.uint64)
-    model = train(blocks, vocabulary, rounds)
-    sent = spark.sparkContext.broadcast((vocabulary, model.c, model.p))
+    mass = np.zeros(WIDTH ** depth_of(v), np.int64)
+    for r in counted.where("block is null").select("depth", "first", "mass").toLocalIterator():
+        own = np.frombuffer(zstandard.decompress(r["mass"]), "<i8")
+        np.add.at(mass, r["first"] + np.arange(len(own)) >> DIGIT * (r["depth"] - depth_of(v)), own)
+    np.subtract.at(mass, (vocabulary >> np.uint64(64 - DIGIT * depth_of(v))).astype(np.int64), np.array([r["c"] + 1 for r in frequent], np.int64))
+    mass[0] += 1  # what training lacks
+    tree = Tree(mass)
+    model = train(blocks, vocabulary, rounds, tree, tail_rows(v))
+    sent = spark.sparkContext.broadcast((vocabulary, mass, *model.tables))
 
     def score(batches):
-        vocab, m = Vocabulary(sent.value[0]), Model(*sent.value[1:])
+        vocab, m = Vocabulary(sent.value[0]), Model(*sent.value[2:], Tree(sent.value[1]))
         for batch in batches:
             for ids, flags, lengths, toks, hashes, known in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 b = Block(lengths, toks, hashes)
                 counts = np.frombuffer(b"".join(zstandard.decompress(k["c"]) for k in known), "<i8")
                 item = vocab.item(b.hashes)
                 base = np.log10((counts + 1) / (n + v + 1))
-                share = np.where(item == 0, np.log10((counts + 1) / (rest[0] + rest[1] + 1)), 0.0)
-                logs = m.logs(feature_hashes(*b.contexts()), item[b.flat]) / np.log(10) + share[b.flat]
+                leaf = np.where(counts > 0, m.tree.leaf(b.hashes), 0)
+                share = np.log10((counts + 1) / np.where(item == 0, m.tree.mass[leaf], counts + 1))
+                logs = m.logs(feature_hashes(*b.contexts()), item[b.flat], leaf[b.flat]) / np.log(10) + share[b.flat]
                 total = lambda x, s=b.starts: np.add.reduceat(x, s)
                 cols = [pa.array(ids, pa.int64()), pa.array([not x for x in flags]), pa.array(b.lengths), pa.array(total((counts > 0)[b.flat].astype(np.int64))), pa.array(np.full(len(ids), n, np.int64)), pa.array(total(base[b.flat])), pa.array(total(logs))]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])

@@ -98,3 +98,25 @@ def test_nulls_repeats_long_texts_empty_tables_and_other_columns(spark):
     only = [r for r in range(100) if zlib.crc32(str(r).encode()) % 7 == 2][:2]  # nothing to learn from
     alone = lm.lm_scores(spark.createDataFrame([(i, "x") for i in only], SCHEMA)).collect()
     assert [(r["train_tokens"], r["n_known"], r["base_score"]) for r in alone] == [(0, 0, 0.0)] * 2
+
+
+def test_rare_words_are_predicted_from_their_contexts(spark):
+    common = " ".join(f"common{i}" for i in range(lm.CLASSES * lm.PLACES))
+    pairs = " ".join(f"left{i} right{i}" for i in range(60))
+    docs = [(i, common) for i in range(60)] + [(100 + i, pairs) for i in range(40)]  # the pairs have no places of their own
+    asked = [(1000 + i, f"left{i} right{i}") for i in range(1, 21)] + [(2000 + i, f"left{i} right{i + 20}") for i in range(1, 21)]
+    got = {r["doc_id"]: r["score"] for r in lm.lm_scores(spark.createDataFrame(docs + asked, SCHEMA)).collect()}
+    assert sum(got[1000 + i] - got[2000 + i] for i in range(1, 21)) > 20 * 0.3
+
+
+def test_the_tree_grows_with_the_words_and_sums_to_one():
+    assert [lm.depth_of(n) for n in (0, 1023, 1024, 78_653, 2_000_000)] == [1, 1, 2, 3, 4]
+    assert lm.tail_rows(4_000_000) > lm.tail_rows(400_000) > lm.tail_rows(4000)
+    rng = np.random.default_rng(3)
+    mass = rng.integers(0, 3, lm.WIDTH**2)
+    mass[0] = 1
+    model = lm.Model(None, None, rng.standard_normal((1 << 10, lm.WIDTH)).astype(np.float32), lm.Tree(mass))
+    used = np.flatnonzero(mass)
+    f = lm.feature_hashes(np.full(len(used), 77, np.uint64), np.full(len(used), 99, np.uint64))
+    item = np.zeros(len(used), np.int64)
+    assert np.exp(model.logs(f, item, used) - model.logs(f, item)).sum() == pytest.approx(1, abs=1e-4)
