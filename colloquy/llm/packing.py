@@ -9,11 +9,13 @@ from __future__ import annotations
 
 import json
 import os
+import random
 import re
 import sys
 import zlib
 from array import array
 from bisect import bisect_right
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,7 @@ CAPACITY = 2048
 END_ID = 0
 NODES = 3000  # of the search for one completion
 REPLANS = 24
+EFFORT = 1_000_000  # nodes, at every size, of the search for fewer sequences than the first plan's
 BUCKETS = 64  # parts of the documents of one length
 CACHE = 150_000
 
@@ -145,12 +148,12 @@ def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
     return docs.select(F.col(doc_id).alias("doc_id"), F.explode(column_udf(cut, kind)(F.col(text))).alias("p")).select("doc_id", "p.*")
 
 
-def completions(room: int, counts: dict[int, int], lengths: list[int], nodes: int = NODES, want: int = 1) -> list[tuple[int, ...]]:
+def completions(room: int, counts: dict[int, int], lengths: list[int], nodes: int = NODES, want: int = 1, left_over: list[int] | None = None) -> list[tuple[int, ...]]:
     """Fillings of room by lengths (ascending, with counts), least waste first, then larger items first.
 
     The incumbent is best-fit: the largest that fits, again and again. Branches take items from large to small;
     one is cut when even filling its room entirely would not beat the best waste, and fillings that leave room
-    for another item are dominated and never kept.
+    for another item are dominated and never kept. left_over[0] is lowered by the nodes of the search.
     """
     def best_fit():
         left, used, out = room, {}, []
@@ -196,6 +199,8 @@ def completions(room: int, counts: dict[int, int], lengths: list[int], nodes: in
 
     if found[0][0] and room >= least or want > 1:
         search(room, len(lengths), [])
+    if left_over:
+        left_over[0] -= spent + 1
     return [f[1] for f in found]
 
 
@@ -209,15 +214,17 @@ def _sum(lengths: list[int], counts: dict[int, int], i: int, limit: int) -> int:
     return total
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES, replans: int = REPLANS) -> list[tuple[tuple[int, ...], int]]:
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES, replans: int = REPLANS, effort: int = EFFORT) -> list[tuple[tuple[int, ...], int]]:
     """Patterns (lengths, largest first) and how often each is used; all of histogram is used up.
 
     The largest length left takes its least wasteful completion, as often as the counts allow. If the sequences
     exceed ceil(total / capacity), the search goes back to the first choices and tries their next completions, as
-    long as what is wasted so far could still give fewer sequences.
+    long as what is wasted so far could still give fewer sequences; then to bins anywhere (improved). Effort is
+    nodes for both, at most about half for the first.
     """
     total = sum(n * c for n, c in histogram.items())
     bound = -(-total // capacity)
+    left = [effort]
 
     def run(skip: int, limit: float):
         counts = {n: c for n, c in histogram.items() if c}
@@ -225,7 +232,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES
         while lengths:
             big = lengths[-1]
             counts[big] -= 1
-            options = completions(capacity - big, counts, [n for n in lengths if counts[n]], nodes, 2 if step < skip.bit_length() and skip >> step & 1 else 1)
+            options = completions(capacity - big, counts, [n for n in lengths if counts[n]], nodes, 2 if step < skip.bit_length() and skip >> step & 1 else 1, left)
             fill = options[-1] if step < skip.bit_length() and skip >> step & 1 else options[0]
             counts[big] += 1
             pattern = (big, *fill)
@@ -246,11 +253,62 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES
         return bins, out
 
     best = run(0, float("inf"))
+    left[0] = effort
     for skip in range(1, replans + 1):
-        if best[0] <= bound or len(histogram) > 400:
+        if best[0] <= bound or left[0] <= effort // 2:
             break
         best = run(skip, best[0]) or best
-    return best[1]
+    return best[1] if best[0] <= bound else improved(best[1], capacity, bound, nodes, left[0])
+
+
+def improved(patterns: list[tuple[tuple[int, ...], int]], capacity: int, bound: int, nodes: int = NODES, effort: int = EFFORT) -> list[tuple[tuple[int, ...], int]]:
+    """patterns for the same items, never more bins and often fewer.
+
+    A few bins, wasteful ones among them, are filled again by other completions, until there are bound bins or effort
+    nodes are spent. What takes no more bins and gathers the waste in fewer of them (sum of squares) stays; a bin
+    that gathers all its room is gone.
+    """
+    rng, left, bins = random.Random(1), [effort], Counter()
+    for p, m in patterns:
+        bins[p] += m
+    count = sum(bins.values())
+    known = list(bins)
+    wasteful = [p for p in known if sum(p) < capacity]
+    waste = lambda found: sum((capacity - sum(p)) ** 2 for p in found)
+    while count > bound and left[0] > 0:
+        if len(known) > 2 * len(bins) + 16:
+            known = list(bins)
+            wasteful = [p for p in known if sum(p) < capacity]
+        picked: Counter = Counter()
+        for p in [rng.choice(wasteful) for _ in range(rng.randint(1, 4))] + [rng.choice(known) for _ in range(rng.randint(2, 10))]:
+            if picked[p] < bins[p]:
+                picked[p] += 1
+        old = list(picked.elements())
+        left[0] -= 20  # what a round costs by itself
+        counts: dict[int, int] = Counter(n for p in old for n in p)
+        lengths, new = sorted(counts), []
+        while lengths and len(new) < len(old):
+            big = lengths[-1]
+            counts[big] -= 1
+            options = completions(capacity - big, counts, [n for n in lengths if counts[n]], nodes, 3, left)
+            fill = options[min(len(options) - 1, rng.choice((0, 0, 0, 1, 2)))]
+            for n in fill:
+                counts[n] -= 1
+            lengths = [n for n in lengths if counts[n]]
+            new.append((big, *fill))
+        if not lengths and old and (len(new), -waste(new)) <= (len(old), -waste(old)):
+            bins.subtract(picked)
+            for p in old:
+                if not bins[p]:
+                    del bins[p]
+            for p in new:
+                if p not in bins:
+                    known.append(p)
+                    if sum(p) < capacity:
+                        wasteful.append(p)
+                bins[p] += 1
+            count += len(new) - len(old)
+    return list(bins.items())
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, buckets: int = BUCKETS) -> DataFrame:

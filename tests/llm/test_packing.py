@@ -97,6 +97,18 @@ def test_large_plans_waste_little():
     assert packing.plan({}) == [] and packing.plan({5: 1_000_003}, 20) == [((5, 5, 5, 5), 250_000), ((5, 5, 5), 1)]
 
 
+def test_the_search_goes_back_with_many_lengths():
+    rng, items = random.Random(1), []
+    while len(items) < 900:  # 300 sequences suffice
+        a, b = rng.randint(400, 1000), rng.randint(400, 1000)
+        items += [a, b, 2048 - a - b] if 400 <= 2048 - a - b <= 1000 else []
+    histogram = Counter(items)
+    patterns = packing.plan(dict(histogram))
+    used = Counter(n for p, m in patterns for n in p for _ in range(m))
+    assert len(histogram) > 400 and used == histogram and all(sum(p) <= 2048 for p, _ in patterns)
+    assert sum(m for _, m in patterns) <= 306
+
+
 def test_documents_are_cut_and_placed(spark, library):
     long = " ".join(f"word{i}" for i in range(5000))
     rows = [(1, "a", 9, "x"), (1, "a", 9, "x"), (2, None, 9, "x"), (3, "", 9, "x"), (4, long, 9, "x"), (None, "null id", 9, "x")]
