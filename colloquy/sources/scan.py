@@ -6,7 +6,7 @@ for one row are read by lines, sorted within their file and streamed through the
 
 from __future__ import annotations
 
-import os
+import re
 import time
 from collections.abc import Iterable, Iterator
 
@@ -87,15 +87,28 @@ def _now(now_ms: int | None) -> int:
     return int(time.time() * 1000) if now_ms is None else now_ms
 
 
+_LOCAL = "^file:/+"
+
+
+def _ordered(spark: SparkSession, files: DataFrame, paths: list[str]) -> DataFrame:
+    """files (file, ...) with file_ord, the first position in paths of the file, of a pattern it fits or of its folder."""
+    jvm, conf, found = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), {}
+    for i, p in enumerate(paths):
+        at = jvm.org.apache.hadoop.fs.Path(p)
+        fs = at.getFileSystem(conf)
+        for status in fs.globStatus(at) or ():
+            for own in fs.listStatus(status.getPath()) if status.isDirectory() else (status,):
+                found.setdefault(re.sub(_LOCAL, "file:/", own.getPath().toUri().toString()), i)
+    order = spark.createDataFrame(list(found.items()), "_path string, file_ord int")
+    return files.join(F.broadcast(order), F.regexp_replace("file", _LOCAL, "file:/") == F.col("_path"), "left").withColumn("file_ord", F.coalesce("file_ord", F.lit(0)))
+
+
 def read_docs(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(file, file_ord, content), one row a file. file_ord is the position in a list of paths, else 0."""
     paths = [paths] if isinstance(paths, str) else list(paths)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 64)
     out = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("content"))
-    tails = {os.path.basename(p.rstrip("/")): i for i, p in reversed(list(enumerate(paths)))}
-    pairs = [x for k, v in tails.items() for x in (F.lit(k), F.lit(v))]
-    order = F.create_map(*pairs)[F.element_at(F.split("file", "/"), -1)] if len(paths) <= 1000 else F.lit(None).cast("int")
-    return out.select("file", F.coalesce(order, F.lit(0)).alias("file_ord"), "content")
+    return _ordered(spark, out, paths).select("file", "file_ord", "content")
 
 
 def import_docs(docs: DataFrame, form: str = "auto", now_ms: int | None = None, include_sidechains: bool = False) -> DataFrame:
@@ -113,9 +126,10 @@ def import_docs(docs: DataFrame, form: str = "auto", now_ms: int | None = None,
 
 def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(file, file_ord, line_no, value) of line files of any size; lines end at \\n only, and line_no ascends."""
-    lines = spark.read.text(paths, lineSep="\n").select(F.col("_metadata.file_path").alias("file"), F.lit(0).alias("file_ord"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"), "value")
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    lines = spark.read.text(paths, lineSep="\n").select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"), "value")
     # within a file blocks follow each other; within a block ids ascend in reading order (and never reach 2**33)
-    return lines.select("file", "file_ord", (F.col("_block") * F.lit(1 << 20) + F.col("_id") % F.lit(1 << 33)).alias("line_no"), "value")
+    return _ordered(spark, lines, paths).select("file", "file_ord", (F.col("_block") * F.lit(1 << 20) + F.col("_id") % F.lit(1 << 33)).alias("line_no"), "value")
 
 
 def import_lines(lines: DataFrame, form: str, now_ms: int | None = None, include_sidechains: bool = False) -> DataFrame:

@@ -8,7 +8,7 @@ from colloquy.functions import values as V
 from colloquy.sources.detect import detect
 from colloquy.sources.documents import canonical, chatgpt, muse, opencode
 from colloquy.sources.jsonl import LINE_IMPORTERS, ClaudeCode, Codex, Kiro, NoConversation, Pi, derive_exec
-from colloquy.sources.scan import import_text
+from colloquy.sources.scan import import_text, read_docs, read_lines
 
 
 def lines(*records):
@@ -264,3 +264,16 @@ def test_values_are_strict():
     assert V.count(5.0) == 5 and V.count(True) is None and V.count(-1) is None and V.count("1") is None
     with pytest.raises(ValueError):
         V.parse_json("NaN")
+
+
+def test_files_keep_the_order_they_are_given_in(spark, tmp_path):
+    for name in ("b", "a"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "same name.jsonl").write_text(name)
+    few = [str(tmp_path / n / "same name.jsonl") for n in ("b", "a")]
+    other = tmp_path / "other.jsonl"
+    other.write_text("x")
+    for paths in (few, few + [str(other)] * 1000):
+        for rows in (read_docs(spark, paths).withColumnRenamed("content", "value"), read_lines(spark, paths)):
+            got = {r["value"]: r["file_ord"] for r in rows.collect()}
+            assert (got["b"], got["a"], got.get("x", 2)) == (0, 1, 2)
