@@ -15,6 +15,7 @@ def test_query_equals_its_sql(spark):
 def test_recall_over_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(ann, "VECTOR_BLOCK", 200)
     monkeypatch.setattr(ann, "QUERY_BLOCK", 16)
+    monkeypatch.setattr(ann, "GROUP", 1)
     sf = f"{DATA}/sf0.01"
     vectors = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
     ids, v = np.array([i for i, _ in vectors]), np.array([e for _, e in vectors], np.float64)
@@ -36,9 +37,32 @@ def test_estimates_stay_within_their_bounds():
     codes = ann.Codes(v.mean(axis=0))
     queries = v[:40]
     est, half = codes.estimate(queries, *codes.encode(v))
+    assert half.mean() < 0.25 * np.linalg.norm(queries, axis=1).mean() * np.linalg.norm(v - codes.centroid, axis=1).mean()
     outside = np.abs(est - queries @ v.T) > half
     assert outside.mean() < 0.005 and (np.abs(est - queries @ v.T)[outside] < 2 * half[outside]).all()
-    assert np.allclose(codes.rotation @ codes.rotation.T, np.eye(48))
+    assert np.allclose(codes.rotation.T @ codes.rotation, np.eye(48)) and codes.encode(v)[0].shape == (500, ann.BITS // 8)
+
+
+def test_bounds_leave_few_exact_comparisons(spark):
+    """At most a fifth of all pairs on 2000 vectors, and every true neighbour among them."""
+    rows = spark.read.parquet(f"{DATA}/sf0.1/embeddings.parquet").collect()
+    ids, v = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], np.float64)
+    codes = ann.Codes(v.mean(axis=0))
+    block = ann.Held(codes, ids, v, *codes.encode(v))
+    at = np.flatnonzero(ids % 20 == 0)
+    asked = ann.Asked(codes, ids[at], v[at], 20)
+    asked.meet(block)
+    assert asked.compared <= 0.2 * len(at) * len(ids)
+    for q, (got, _) in zip(at, asked.best, strict=True):
+        s = v @ v[q]
+        s[q] = -np.inf
+        assert set(got.tolist()) == set(ids[np.lexsort((ids, -s))[:20]].tolist())
+
+
+def test_queries_of_one_id_are_one_query(spark):
+    df = spark.createDataFrame([(20, [2.0, 0.0]), (20, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [3.0, 0.0])], SCHEMA)
+    got = ann.nearest(df, df.where("vec_id = 20")).orderBy("rank").collect()
+    assert [tuple(r) for r in got] == [(20, 1, 2, 3.0), (20, 2, 1, 1.0)]
 
 
 def test_nulls_ties_repeats_and_few_candidates(spark):
