@@ -1,7 +1,7 @@
-"""Bloom filters over 64-bit hashes: filled by tasks, merged in a tree of tasks, sent to workers whole.
+"""Bloom filters over 64-bit hashes: pairs for a range of hashes, and filters of ids that are sent to workers whole.
 
-A filter's bits follow the number of keys up to MAX_BITS (32 MB); beyond that it lets more through, so users keep an
-exact step behind it.
+A filter of ids is filled by tasks and merged in a tree of tasks. Its bits follow the number of ids up to MAX_BITS
+(32 MB); beyond that it lets more through, so users keep an exact step behind it.
 """
 
 from __future__ import annotations
@@ -45,55 +45,71 @@ def add(bitmap: np.ndarray, h: np.ndarray, bits: int) -> None:
             bitmap[p[(p & 7) == b] >> 3] |= np.uint8(1 << b)
 
 
-_SCHEMA = "slot long, seg long, once binary, twice binary"
+def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
+    """Which of equal ranges of hashes each is in."""
+    return ((h >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int32)
+
+
+class Pair:
+    """Filters of hashes seen once and of hashes seen twice (or, rarely, seeming so)."""
+
+    def __init__(self, bits: int):
+        self.bits, self.once, self.twice = bits, np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
+
+    def add(self, h: np.ndarray, again: np.ndarray) -> None:
+        """Distinct hashes; again: those that were seen twice already."""
+        h = mixed(h)
+        add(self.twice, h[again | contains(self.once, h, self.bits)], self.bits)
+        add(self.once, h, self.bits)
+
+    def twice_seen(self, h: np.ndarray) -> np.ndarray:
+        return contains(self.twice, mixed(h), self.bits)
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """Hashes of one range differ in all bits again."""
+    h = (h ^ h >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ h >> np.uint64(29)
+
+
+_SCHEMA = "slot long, seg long, bits binary"
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["slot", "seg", "once", "twice"])
+    cols = list(zip(*rows, strict=True)) or [(), (), ()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["slot", "seg", "bits"])
 
 
-def fill(df: DataFrame, own: Callable[[list], list[np.ndarray]], bits: int) -> DataFrame:
-    """(seg, once, twice): bits of the hashes that own() gives for each row of df's first column, each once a row,
-    and of those that two rows or more gave (or, rarely, seem to have given)."""
+def gathered(df: DataFrame, own: Callable[[list], np.ndarray], bits: int) -> np.ndarray:
+    """On the driver: a filter of the hashes that own() gives for df's first column; bits / 8 bytes."""
 
     def filled(batches):
-        once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
-        slot = 0
+        held, slot = np.zeros(bits // 8, np.uint8), 0
         for batch in batches:
-            h = np.concatenate([*own(batch.column(0).to_pylist()), np.zeros(0, np.uint64)])
+            h = own(batch.column(0).to_pylist())
             if h.size:
                 slot ^= int(h[0] & np.uint64(4095))
-                h, n = np.unique(h, return_counts=True)
-                add(twice, h[(n > 1) | contains(once, h, bits)], bits)
-                add(once, h, bits)
-        yield _rows([(slot, s // SEGMENT, once[s : s + SEGMENT].tobytes(), twice[s : s + SEGMENT].tobytes()) for s in range(0, len(once), SEGMENT) if once[s : s + SEGMENT].any()])
+                add(held, h, bits)
+        yield _rows([(slot, s // SEGMENT, held[s : s + SEGMENT].tobytes()) for s in range(0, len(held), SEGMENT) if held[s : s + SEGMENT].any()])
 
     def merged(batches):
-        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        held: dict[int, np.ndarray] = {}
         slot = 0
         for batch in batches:
-            for slot, seg, o, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                o, t = np.frombuffer(o, np.uint8), np.frombuffer(t, np.uint8)
+            for slot, seg, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = np.frombuffer(b, np.uint8)
                 if seg in held:
-                    a, b = held[seg]
-                    b |= t | (a & o)
-                    a |= o
+                    held[seg] |= own
                 else:
-                    held[seg] = o.copy(), t.copy()
-        for seg, (o, t) in held.items():
-            yield _rows([(slot, seg, o.tobytes(), t.tobytes())])
+                    held[seg] = own.copy()
+        for seg, b in held.items():
+            yield _rows([(slot, seg, b.tobytes())])
 
     parts = df.mapInArrow(filled, _SCHEMA)
     for key in (F.pmod("slot", F.lit(FAN_IN)), F.lit(0)):  # a tree: no task merges the filters of all tasks
         parts = parts.repartition(key, "seg").mapInArrow(merged, _SCHEMA)
-    return parts.select("seg", "once", "twice")
-
-
-def gather(parts: DataFrame, which: str, bits: int) -> np.ndarray:
-    """One filter on the driver: bits / 8 bytes at most."""
     out = np.zeros(bits // 8, np.uint8)
-    for seg, part in parts.select("seg", which).collect():
+    for seg, part in parts.select("seg", "bits").collect():
         out[seg * SEGMENT : seg * SEGMENT + len(part)] = np.frombuffer(part, np.uint8)
     return out
 
@@ -105,8 +121,7 @@ def hash_ids(ids: list) -> np.ndarray:
 def sent(ids: DataFrame, n: int) -> Callable[[list], np.ndarray]:
     """For workers: which of a list of ids may be among ids (n rows of one column); all that are, are."""
     bits = bits_for(n)
-    bitmap = gather(fill(ids, lambda rows: [hash_ids(rows)], bits), "once", bits)
-    held = ids.sparkSession.sparkContext.broadcast(bitmap)
+    held = ids.sparkSession.sparkContext.broadcast(gathered(ids, hash_ids, bits))
     return lambda rows: contains(held.value, hash_ids(rows), bits)
 
 

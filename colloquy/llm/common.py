@@ -9,6 +9,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -79,6 +80,13 @@ def column_udf(fn: Callable, kind: T.DataType | str, raw: bool = False) -> Calla
     return arrow_udf(batch, kind, ArrowUDFType.SCALAR).asNondeterministic()
 
 
+def binaries(data: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """A binary array of data[edges[i]:edges[i + 1]], without a Python object for each. Edges count elements of data
+    (bytes, where data has more dimensions)."""
+    width = data.itemsize if data.ndim == 1 else 1
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer((np.asarray(edges) * width).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
 def without(df: DataFrame, *names: str) -> list[str]:
     """df's columns but those that would clash with names (in either case)."""
     own = {n.lower() for n in names}

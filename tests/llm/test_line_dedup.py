@@ -40,12 +40,29 @@ def test_lines_equal_those_of_brute_force(spark):
     assert all(r["n_lines"] == (dict(docs)[i] or "").count("\n") + 1 for i, r in got.items())
 
 
-def test_full_filters_change_nothing(spark):
+def test_many_shards_and_blocks_change_nothing(spark):
     docs = odd_docs()
-    got = ld.line_dedup(spark.createDataFrame(docs, SCHEMA), max_filter_bits=1 << 19).collect()
+    got = ld.line_dedup(spark.createDataFrame(docs, SCHEMA), shard_keys=64, block_keys=16).collect()
     assert {r["doc_id"]: r["text"] for r in got} == brute(docs)
 
 
+def test_hot_keys_and_others_give_the_same(spark, monkeypatch):
+    docs = [(i, f"{LINE} {i % 7}\n{LINE}\n{LINE} own {i}") for i in range(150)]
+    want = brute(docs)
+    for hot in (1, 64, 10_000):
+        monkeypatch.setattr(ld, "HOT_DOCS", hot)
+        assert {r["doc_id"]: r["text"] for r in ld.line_dedup(spark.createDataFrame(docs, SCHEMA)).collect()} == want
+
+
+def test_few_unique_lines_are_suspects_at_a_hundred_shards(spark):
+    docs = spark.range(2000).selectExpr("id as doc_id", f"array_join(transform(sequence(1, 50), k -> concat('{LINE} ', id, ' ', k)), '\\n') as text")
+    twice = docs.where("doc_id < 20").selectExpr("doc_id + 5000 as doc_id", "text")
+    held = ld.suspects(docs.unionByName(twice), "doc_id", "text", 40, shard_keys=1000, block_keys=5000).groupBy("_id").count().collect()
+    n = {r["_id"]: r["count"] for r in held}
+    assert all(n[i] == n[i + 5000] == 50 for i in range(20))  # none that repeats is lost
+    assert sum(c for i, c in n.items() if 20 <= i < 5000) < 0.05 * 99_000
+
+
 def test_repeated_rows_are_one_document_and_null_ids_the_smallest(spark):
     four = [(1, LINE), (1, LINE), (1, LINE), (None, LINE), (2, LINE), (3, LINE)]
     got = ld.line_dedup(spark.createDataFrame(four, SCHEMA)).collect()

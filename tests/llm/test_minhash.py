@@ -125,6 +125,7 @@ def test_bloom_filter_has_all_its_keys(spark):
     ids = spark.range(1000)
     hit = bloom.sent(ids, 1000)
     assert hit(list(range(1000))).all() and hit(list(range(5000, 9000))).mean() < 0.1
-    bits = bloom.bits_for(10)
-    twice = bloom.gather(bloom.fill(spark.createDataFrame([("a",), ("b",), ("a",)], "k string").repartition(3), lambda r: [bloom.hash_ids([x]) for x in r], bits), "twice", bits)
-    assert bloom.contains(twice, bloom.hash_ids(["a", "b"]), bits).tolist() == [True, False]
+    pair = bloom.Pair(bloom.bits_for(10))
+    pair.add(bloom.hash_ids(["a", "b"]), np.array([False, False]))
+    pair.add(bloom.hash_ids(["a", "c", "d"]), np.array([False, False, True]))
+    assert pair.twice_seen(bloom.hash_ids(["a", "b", "c", "d"])).tolist() == [True, False, False, True]
