@@ -171,9 +171,9 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_
         return out
 
     rewrite = column_udf(without_drops, "text string, n_lines long, n_dropped long")
-    # only documents that lose lines, and few others, are shuffled with their texts
+    # only documents that lose lines, and few others, are shuffled with their texts, at every size
     flagged = docs.select(*rest, F.col(text), bloom.possibly(docs, doc_id, lost.select("_id"), lost.count()).alias("_lose"))
-    some = flagged.where("_lose").join(lost, F.col(doc_id).eqNullSafe(F.col("_id")), "left").select(*rest, rewrite(F.col(text), F.col("_drop")).alias("_out"))
+    some = flagged.where("_lose").join(lost.hint("merge"), F.col(doc_id).eqNullSafe(F.col("_id")), "left").select(*rest, rewrite(F.col(text), F.col("_drop")).alias("_out"))
     body = F.coalesce(F.col(text), F.lit(""))
     none = flagged.where("not _lose").select(*rest, body.alias(text), (F.length(body) - F.length(F.replace(body, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))
     return none.unionByName(some.select(*rest, F.col("_out.text").alias(text), "_out.n_lines", "_out.n_dropped"))
