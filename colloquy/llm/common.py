@@ -67,6 +67,14 @@ def keep(owner: str, key, make: Callable):
     return _kept[0][2]
 
 
+def steady_heap() -> None:
+    """In a worker that makes many arrays of a few MB: their memory stays with the process from one to the next."""
+    with contextlib.suppress(OSError, AttributeError):
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 8 << 20)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 64 << 20)  # M_TRIM_THRESHOLD
+
+
 def column_udf(fn: Callable, kind: T.DataType | str, raw: bool = False) -> Callable[..., Column]:
     """fn(list of Python values, ...) -> list or Arrow array, evaluated once a row over Arrow batches. raw: fn gets
     Arrow arrays."""

@@ -1,17 +1,19 @@
 """Language-model scores from a hashed maximum-entropy model.
 
-The next token is predicted in two steps, its class and its place in the class, each by a softmax whose logits are
-sums of hashed rows: one for the previous word, one for the previous two, one for the word before the previous
-(a skip), one for no context. The most frequent CLASSES * PLACES - 1 tokens have places of their own. All others
-share one, and are told apart by further steps down a tree over their hashes, WIDTH ways at each node: logits are the
-nodes' logarithmic add-one counts and hashed rows of the same contexts. The tree's depth grows with the logarithm of
-the distinct training words (1 to WIDTH of them a leaf, on average) and its table with their square root. Words of one
-leaf have their add-one shares in it, so that probabilities sum to one.
-
-Documents are packed into blocks with a dictionary each, sorted by word hash. Every training token of the corpus is
-counted: a block sends each range of hashes its words and their counts as one row, and gets the corpus's counts back
-in the same order. A word, however frequent, comes once from each block. Weights are learned by tasks that each take gradient steps over their own blocks; the tasks' rows are averaged by how often
-each was updated, in a tree of tasks, and the next round starts from there. Words are identified by 64-bit hashes.
+The next token is predicted by a softmax that is factored into classes, WIDTH ways at each step: first the class,
+then the class within it, and so on down to the word. The most frequent HEAD words have paths of their own; all others
+go by the class 0 and by the leading digits of their hashes, to leaves whose number grows with the distinct training
+words. Logits start from the logarithms of add-one counts, so that the model begins as the unigram, and add hashed
+rows for the previous word, the previous two, and the word before the previous (a skip; from step DEEP on the previous
+word alone). The table of rows grows with the root of the distinct training words. Words of one leaf have their add-one shares in it, so that probabilities sum
+to one.
+
+Documents are packed into blocks with a dictionary of word hashes each. Every training token of the corpus is counted:
+a block sends each range of hashes its words and their counts as one row, and gets the corpus's counts back in the
+same order. A word, however frequent, comes once from each block. Weights are learned by tasks that each take gradient
+steps over their own blocks; the tasks' rows are averaged by how often each was updated, in a tree of tasks, and the
+next round starts from there. So scores depend a little on how blocks are dealt to tasks. Words are identified by
+64-bit hashes.
 """
 
 from __future__ import annotations
@@ -30,26 +32,26 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from colloquy.llm.common import store
+from colloquy.llm.common import binaries, steady_heap, store
 
-CLASSES, PLACES = 32, 32
-CLASS_ROWS, PLACE_ROWS = 1 << 13, 1 << 15
-WIDTH, DIGIT = 32, 5  # of a node of the tree, and its bits
-FEATURES = 4
+DIGIT = 3
+WIDTH = 1 << DIGIT  # classes of a step
+STEPS = 4  # of a frequent word's path; its first digit is not 0
+HEAD = (WIDTH - 1) * WIDTH ** (STEPS - 1)
+FEATURES = 3
+DEEP = 4  # steps from which on only the previous word counts
 BLOCK = 8_000_000  # characters
 BATCH = 16384  # positions of one gradient step
 RATE = 0.2
-TAIL_SQ = 1.0  # squares that the tree's weights start from: one sight of a word hardly moves them
+START_SQ = 1.0  # squares that weights start from: one sight of a word hardly moves them
 ROUNDS = 2  # of training; each round reads its share of the blocks
-TASK = 4  # blocks of one learning task, at least
+TASK = 16  # blocks of one learning task, at least
+FAN_IN = 64  # states that one task adds up
 RANGE = 2_000_000  # words of blocks that are counted together, about
 END = b""
 _START = np.uint64(0x51ED270B0A1F3C29)
 _K = np.random.default_rng(23).integers(1 << 62, (1 << 63) - 1, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-_BLOCKS = "block long, doc_ids array<long>, train array<boolean>, lengths array<int>, tokens binary, hashes binary, counts binary, n_words long"
-
-
 def tokens(text: str | None) -> list[bytes]:
     """ASCII-lower-cased words, then the end token."""
     return [*(text or "").encode("utf-8", "surrogatepass").lower().split(), END]
@@ -59,22 +61,36 @@ def in_training(doc_id, modulus: int, held_out: int) -> bool:
     return doc_id is None or zlib.crc32(str(doc_id).encode()) % modulus != held_out
 
 
+_BLOCKS = "block long, doc_ids array<long>, train array<boolean>, lengths array<int>, tokens binary, hashes binary, counts binary, n_words long"
+
+
+class _Numbers(dict):
+    def __missing__(self, word):
+        self[word] = n = len(self)
+        return n
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """int32 numbers, compressed byte by byte of each: small numbers have three planes of little."""
+    return zstandard.compress(np.ascontiguousarray(x.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def _unplaned(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(4, -1).T).view("<i4").ravel()
+
+
 def _pack(batches, modulus: int, held_out: int) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) rows to blocks: token numbers into the block's dictionary of word hashes, and how often each
-    word occurs in training documents."""
+    """(doc_id, text) rows to blocks: numbers into the block's dictionary of word hashes, and how often each word
+    occurs in training documents."""
     part, n = TaskContext.get().partitionId(), 0
     ids, train, lengths, at, size = [], [], [], [], 0
-    known: dict[bytes, int] = {}
+    known = _Numbers()
 
     def row():
-        flat = np.concatenate(at).astype("<i4")
+        flat = np.concatenate(at)
         words = np.fromiter(map(xxhash.xxh3_64_intdigest, known), np.uint64, len(known))
-        order = np.argsort(words)
-        place = np.empty(len(words), "<i4")
-        place[order] = np.arange(len(words))
-        words, flat = words[order], place[flat]
-        counts = np.bincount(flat[np.repeat(train, lengths)], minlength=len(known)).astype("<i4")
-        return pa.RecordBatch.from_arrays([pa.array([part << 32 | n]), pa.array([ids], pa.list_(pa.int64())), pa.array([train], pa.list_(pa.bool_())), pa.array([lengths], pa.list_(pa.int32())), pa.array([zstandard.compress(flat.tobytes(), 1)]), pa.array([words.tobytes()]), pa.array([counts.tobytes()]), pa.array([len(words)])], ["block", "doc_ids", "train", "lengths", "tokens", "hashes", "counts", "n_words"])
+        counts = np.bincount(flat[np.repeat(train, lengths)], minlength=len(known))
+        return pa.RecordBatch.from_arrays([pa.array([part << 32 | n]), pa.array([ids], pa.list_(pa.int64())), pa.array([train], pa.list_(pa.bool_())), pa.array([lengths], pa.list_(pa.int32())), pa.array([_planes(flat)]), pa.array([words.tobytes()]), pa.array([_planes(counts)]), pa.array([len(words)])], ["block", "doc_ids", "train", "lengths", "tokens", "hashes", "counts", "n_words"])
 
     for batch in batches:
         for i, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -82,36 +98,22 @@ def _pack(batches, modulus: int, held_out: int) -> Iterator[pa.RecordBatch]:
             ids.append(i)
             train.append(in_training(i, modulus, held_out))
             lengths.append(len(own))
-            at.append(np.fromiter((known.setdefault(w, len(known)) for w in own), np.int32, len(own)))
+            at.append(np.fromiter(map(known.__getitem__, own), np.int32, len(own)))
             size += len(t or "")
             if size >= BLOCK:
                 yield row()
                 ids, train, lengths, at, size, n = [], [], [], [], 0, n + 1
-                known = {}
+                known = _Numbers()
     if ids:
         yield row()
 
 
-class Vocabulary:
-    """Classes and places of the most frequent words; place 0 of class 0 is that of all others."""
-
-    def __init__(self, hashes: np.ndarray):
-        self.order = np.argsort(hashes)
-        self.sorted = hashes[self.order]
-
-    def item(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.sorted):
-            return np.zeros(len(h), np.int64)
-        at = np.minimum(np.searchsorted(self.sorted, h), len(self.sorted) - 1)
-        return np.where(self.sorted[at] == h, self.order[at] + 1, 0)
-
-
 class Block:
     """A block's tokens with their contexts."""
 
     def __init__(self, lengths, tokens, hashes):
         self.lengths = np.array(lengths, np.int64)
-        self.flat = np.frombuffer(zstandard.decompress(tokens), "<i4")
+        self.flat = _unplaned(tokens)
         self.hashes = np.frombuffer(hashes, np.uint64)
         self.starts = np.cumsum(self.lengths) - self.lengths
 
@@ -126,221 +128,237 @@ class Block:
 
 
 def feature_hashes(one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    """FEATURES x positions: nothing, the previous word, the previous two, the one before the previous."""
-    return np.stack([np.zeros(len(one), np.uint64), one * _K[0] ^ _K[4], (one * _K[1] + two * _K[2]) ^ _K[5], two * _K[3] ^ _K[6]])
+    """FEATURES x positions: the previous word, the previous two, the one before the previous."""
+    return np.stack([one * _K[0] ^ _K[4], (one * _K[1] + two * _K[2]) ^ _K[5], two * _K[3] ^ _K[6]])
 
 
 def depth_of(words: int) -> int:
-    """Levels of a tree over so many words: the most that give no more leaves than words."""
-    return max(1, (max(1, words).bit_length() - 1) // DIGIT)
-
+    """Steps below class 0 for so many words: the fewest that give 64 times their root as leaves, or all of them."""
+    leaves = min(max(WIDTH, words), 64 * math.isqrt(words))
+    return max(1, -(-(max(1, leaves) - 1).bit_length() // DIGIT))
 
-def tail_rows(words: int) -> int:
-    """Rows of the tree's table: 64 times the root of the words, as a power of two."""
-    return max(1 << 10, 1 << (64 * math.isqrt(words)).bit_length())
 
+def table_rows(words: int) -> int:
+    """Rows of the table of weights: 512 times the root of the words, as a power of two."""
+    return max(1 << 12, 1 << (512 * math.isqrt(words)).bit_length())
 
-class Tree:
-    """Add-one counts by leaf, the first digits of a word's hash; words that training lacks are one word of leaf 0."""
 
-    def __init__(self, mass: np.ndarray):
-        self.mass = mass
-        self.depth = (len(mass).bit_length() - 1) // DIGIT
-        with np.errstate(divide="ignore"):  # nothing leads to empty nodes
-            self.levels = [np.log(mass.reshape(WIDTH ** (k + 1), -1).sum(axis=1)).astype(np.float32).reshape(-1, WIDTH) for k in range(self.depth)]
+class Paths:
+    """The classes that lead to each word, and the logarithms of the shares of each class's add-one counts.
 
-    def leaf(self, hashes: np.ndarray) -> np.ndarray:
-        return (hashes >> np.uint64(64 - DIGIT * self.depth)).astype(np.int64)
+    vocabulary: hashes of the most frequent words, and their counts plus one; mass: counts plus one by leaf, the most
+    frequent words left out and one for all words that training lacks in leaf 0.
+    """
 
-    def steps(self, f: np.ndarray, leaf: np.ndarray, rows: int):
-        """For each level the rows, the digits to predict and what the logits start from."""
-        for k in range(self.depth):
-            node = leaf >> DIGIT * (self.depth - k)
-            own = (f + (node + (1 << DIGIT * k)).astype(np.uint64) * _K[2]) * _K[3]
-            yield ((own ^ own >> np.uint64(29)) * _K[1] >> np.uint64(32)).astype(np.int64) % rows, leaf >> DIGIT * (self.depth - k - 1) & WIDTH - 1, self.levels[k][node]
+    def __init__(self, vocabulary: np.ndarray, often: np.ndarray, mass: np.ndarray):
+        self.order = np.argsort(vocabulary)
+        self.sorted = vocabulary[self.order]
+        self.mass, self.depth = mass, (len(mass).bit_length() - 1) // DIGIT
+        own = np.zeros(WIDTH**STEPS)
+        own[WIDTH ** (STEPS - 1) :][: len(often)] = often
+        self.logs = []
+        for k in range(max(STEPS, 1 + self.depth)):
+            # classes of step k: those of frequent words and, as class 0 of the first, those of all others
+            n = own.reshape(WIDTH ** (k + 1), -1).sum(axis=1) if k < STEPS else np.zeros(WIDTH**k)
+            if 0 < k <= self.depth:
+                n[: WIDTH**k] += mass.reshape(WIDTH**k, -1).sum(axis=1)
+            elif not k:
+                n[0] += mass.sum()
+            n = n.reshape(-1, WIDTH)
+            with np.errstate(divide="ignore", invalid="ignore"):  # nothing leads to empty classes
+                self.logs.append(np.log(n / n.sum(axis=1)[:, None]).astype(np.float32))
+
+    def find(self, hashes: np.ndarray, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(path, steps, leaf) of words; leaf is -1 for frequent ones. Words that are not known go to leaf 0."""
+        item = np.full(len(hashes), -1)
+        if len(self.sorted):
+            at = np.minimum(np.searchsorted(self.sorted, hashes), len(self.sorted) - 1)
+            item = np.where(self.sorted[at] == hashes, self.order[at], -1)
+        leaf = (hashes >> np.uint64(64 - DIGIT * self.depth)).astype(np.int64)
+        if known is not None:
+            leaf[~known] = 0
+        head = item >= 0
+        return np.where(head, WIDTH ** (STEPS - 1) + item, leaf), np.where(head, STEPS, 1 + self.depth), np.where(head, -1, leaf)
 
 
 class Model:
-    def __init__(self, classes: np.ndarray | None = None, places: np.ndarray | None = None, tail: np.ndarray | None = None, tree: Tree | None = None):
-        self.c = np.zeros((CLASS_ROWS, CLASSES), np.float32) if classes is None else classes
-        self.p = np.zeros((PLACE_ROWS, PLACES), np.float32) if places is None else places
-        self.t = np.zeros((1, WIDTH), np.float32) if tail is None else tail
-        self.tree = tree
-
-    @property
-    def tables(self) -> tuple[np.ndarray, ...]:
-        return self.c, self.p, self.t
-
-    def steps(self, f: np.ndarray, item: np.ndarray, leaf: np.ndarray | None):
-        """(table, positions or None for all, rows, what to predict, what the logits start from)"""
-        cls = item // PLACES
-        rc, rp = self.rows(f, cls)
-        yield 0, None, rc, cls, None
-        yield 1, None, rp, item % PLACES, None
-        if self.tree and leaf is not None:
-            others = np.flatnonzero(item == 0)
-            if len(others):
-                for rows, at, start in self.tree.steps(f[:, others], leaf[others], len(self.t)):
-                    yield 2, others, rows, at, start
-
-    @staticmethod
-    def rows(f: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        mixed = (f ^ f >> np.uint64(31)) * _K[7]
-        c = (mixed >> np.uint64(40)).astype(np.int64) % CLASS_ROWS
-        own = (f + (cls.astype(np.uint64) + np.uint64(1)) * _K[4]) * _K[7]
-        return c, ((own ^ own >> np.uint64(29)) * _K[0] >> np.uint64(40)).astype(np.int64) % PLACE_ROWS
-
-    def logs(self, f: np.ndarray, item: np.ndarray, leaf: np.ndarray | None = None) -> np.ndarray:
-        """Natural-log probabilities of items, and of leaves where these are given, after their contexts."""
-        out = np.zeros(len(item))
-        for i in range(0, len(item), BATCH):
+    """A table of weights, WIDTH a row; rows are hashed by feature and class."""
+
+    def __init__(self, paths: Paths, table: np.ndarray):
+        self.paths, self.w = paths, table
+        self.shift = np.uint64(64 - (len(table).bit_length() - 1))
+
+    def steps(self, f: np.ndarray, path: np.ndarray, steps: np.ndarray):
+        """For each step the positions that take it (None: all), their rows, what to predict, and where logits start."""
+        for k in range(int(steps.max()) if len(steps) else 0):
+            which = None if k == 0 else np.flatnonzero(steps > k)
+            own, left = (path, steps) if which is None else (path[which], steps[which])
+            left = (left - k) * DIGIT
+            node = own >> left
+            used = f if k < DEEP else f[:1]
+            mixed = ((used if which is None else used[:, which]) + (node + (1 << DIGIT * k)).astype(np.uint64) * _K[2]) * _K[3]
+            mixed ^= mixed >> np.uint64(29)
+            yield which, (mixed * _K[1] >> self.shift).astype(np.int64), own >> left - DIGIT & WIDTH - 1, self.paths.logs[k].take(node, axis=0)
+
+    def shares(self, rows: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """exp of the logits, and their sums. start is used up."""
+        for r in rows:
+            start += self.w.take(r, axis=0)
+        np.clip(start, -80, 80, out=start)  # what float32 can hold; empty classes get next to nothing
+        np.exp(start, out=start)
+        return start, start @ np.ones(WIDTH, np.float32)
+
+    def log_probabilities(self, f: np.ndarray, path: np.ndarray, steps: np.ndarray) -> np.ndarray:
+        """Natural-log probabilities of paths after their contexts."""
+        out = np.zeros(len(path))
+        for i in range(0, len(path), BATCH):
             part = out[i : i + BATCH]
-            for k, which, rows, at, start in self.steps(f[:, i : i + BATCH], item[i : i + BATCH], None if leaf is None else leaf[i : i + BATCH]):
-                part[slice(None) if which is None else which] += _log(_summed(self.tables[k], rows, start), at)
+            for which, rows, at, start in self.steps(f[:, i : i + BATCH], path[i : i + BATCH], steps[i : i + BATCH]):
+                e, total = self.shares(rows, start)
+                part[slice(None) if which is None else which] += np.log(e[np.arange(len(e)), at] / total)
         return out
 
 
-def _summed(w: np.ndarray, rows: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
-    """Sums of w's rows, feature by feature, and start."""
-    z = w.take(rows[0], axis=0)
-    for r in rows[1:]:
-        z += w.take(r, axis=0)
-    if start is not None:
-        z += start
-    return z
-
-
-def _log(z: np.ndarray, at: np.ndarray) -> np.ndarray:
-    top = z.max(axis=1)
-    return z[np.arange(len(z)), at] - top - np.log(np.exp(z - top[:, None]).sum(axis=1))
-
-
 class Learner:
     """Gradient steps with a rate for each weight (AdaGrad) over sparse rows."""
 
     def __init__(self, model: Model):
         self.m = model
-        self.sq = [np.zeros_like(model.c), np.zeros_like(model.p), np.full_like(model.t, TAIL_SQ)]
-        self.n = [np.zeros(len(w)) for w in model.tables]
-
-    def learn(self, f: np.ndarray, item: np.ndarray, leaf: np.ndarray | None = None) -> None:
-        for i in range(0, len(item), BATCH):
-            for k, _, rows, at, offset in self.m.steps(f[:, i : i + BATCH], item[i : i + BATCH], None if leaf is None else leaf[i : i + BATCH]):
-                w = self.m.tables[k]
-                g = _summed(w, rows, offset)
-                g -= g.max(axis=1)[:, None]
-                np.exp(g, out=g)
-                g /= g.sum(axis=1)[:, None]
+        self.sq = np.full_like(model.w, START_SQ)
+        self.n = np.zeros(len(model.w), np.float32)
+        self.last = np.zeros(len(model.w), np.int32)
+
+    def learn(self, f: np.ndarray, path: np.ndarray, steps: np.ndarray) -> None:
+        for i in range(0, len(path), BATCH):
+            for _, rows, at, start in self.m.steps(f[:, i : i + BATCH], path[i : i + BATCH], steps[i : i + BATCH]):
+                g, total = self.m.shares(rows, start)
+                g *= (1 / total)[:, None]
                 g[np.arange(len(g)), at] -= 1
-                seen = np.bincount(rows.ravel(), minlength=len(w))
-                at_rows = np.flatnonzero(seen)
-                compact = np.zeros(len(w), np.int64)
-                compact[at_rows] = np.arange(len(at_rows))
-                flat = compact[rows].ravel()
-                # each row gets the gradients of the positions it took part in, added column by column
-                sums = np.stack([np.bincount(flat, np.tile(c, FEATURES), len(at_rows)) for c in np.ascontiguousarray(g.T, dtype=np.float64)], axis=1).astype(np.float32)
-                sq = self.sq[k][at_rows] + sums * sums
-                self.sq[k][at_rows] = sq
-                w[at_rows] -= RATE * sums / (np.sqrt(sq) + np.float32(1e-3))
-                self.n[k] += seen
-
-
-def _state(slot: int, tables, seen) -> pa.RecordBatch:
-    """Tables as half floats, rows that were not updated left out, and how often each row was."""
-    sent = [zstandard.compress(np.where(n[:, None] > 0, w, 0).astype("<f2").tobytes(), 1) for w, n in zip(tables, seen, strict=True)]
-    sent += [zstandard.compress(n.astype("<f4").tobytes(), 1) for n in seen]
-    return pa.RecordBatch.from_arrays([pa.array([slot], pa.int64()), *(pa.array([t], pa.binary()) for t in sent)], ["slot", "c", "p", "t", "nc", "np", "nt"])
-
-
-def _unpacked(sent: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    raw = [zstandard.decompress(x) for x in sent]
-    seen = [np.frombuffer(x, "<f4") for x in raw[3:]]
-    return [np.frombuffer(x, "<f2").reshape(len(n), -1).astype(np.float32) for x, n in zip(raw[:3], seen, strict=True)], seen
-
-
-_STATE = "slot long, c binary, p binary, t binary, nc binary, np binary, nt binary"
-
-
-def train(blocks: DataFrame, vocabulary: np.ndarray, rounds: int = ROUNDS, tree: Tree | None = None, rows: int = 1) -> Model:
-    """Rounds of distributed gradient steps; what comes to the driver is one model."""
+                self._move(rows.ravel(), g)
+
+    def _move(self, rows: np.ndarray, g: np.ndarray) -> None:
+        """Each of rows, which are those of g once for each feature, gets the gradients of all its places."""
+        n = len(g)
+        self.last[rows] = np.arange(len(rows), dtype=np.int32)
+        last = self.last[rows]
+        own = last == np.arange(len(rows))
+        used, number = rows[own], np.cumsum(own) - 1
+        sums, seen = g.take(np.flatnonzero(own) % n, axis=0), np.ones(len(used), np.float32)
+        more = np.flatnonzero(~own)
+        if len(more):  # places of rows that stand again later, added column by column
+            to = number[last[more]]
+            sums += np.stack([np.bincount(to, c, len(used)) for c in g.take(more % n, axis=0).T.astype(np.float64)], axis=1)
+            seen += np.bincount(to, minlength=len(used))
+        w, sq = self.m.w, self.sq
+        new = sq.take(used, axis=0)
+        new += sums * sums
+        _put(sq, used, new)
+        sums *= RATE
+        sums /= np.sqrt(new, out=new)
+        np.subtract(w.take(used, axis=0), sums, out=sums)
+        _put(w, used, sums)
+        self.n[used] += seen
+
+
+def _put(table: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """table[at] = rows, with a row as one item: much faster."""
+    item = np.dtype((np.void, table.strides[0]))
+    np.put(table.view(item).ravel(), at, np.ascontiguousarray(rows, table.dtype).view(item).ravel())
+
+
+def _state(slot: int, table: np.ndarray, seen: np.ndarray) -> pa.RecordBatch:
+    """The rows that were updated, as half floats, and how often each was."""
+    at = np.flatnonzero(seen)
+    sent = [zstandard.compress(x, 1) for x in (np.packbits(seen > 0).tobytes(), table[at].astype("<f2").tobytes(), seen[at].astype("<f4").tobytes())]
+    return pa.RecordBatch.from_arrays([pa.array([slot], pa.int64()), *(pa.array([x], pa.binary()) for x in sent)], ["slot", "at", "w", "n"])
+
+
+def _unpacked(rows: int, at: bytes, w: bytes, n: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    at, w, n = (zstandard.decompress(x) for x in (at, w, n))
+    return np.flatnonzero(np.unpackbits(np.frombuffer(at, np.uint8), count=rows)), np.frombuffer(w, "<f2").reshape(-1, WIDTH).astype(np.float32), np.frombuffer(n, "<f4")
+
+
+_STATE = "slot long, at binary, w binary, n binary"
+
+
+def train(blocks: DataFrame, paths: Paths, rows: int, rounds: int = ROUNDS) -> np.ndarray:
+    """Rounds of distributed gradient steps; what comes to the driver is one table."""
     sc = blocks.sparkSession.sparkContext
-    words, mass = sc.broadcast(vocabulary), sc.broadcast(tree and tree.mass)
-    model = Model(None, None, np.zeros((rows, WIDTH), np.float32), tree)
-    tasks = max(sc.defaultParallelism, -(-blocks.count() // (TASK * rounds)))
+    known = sc.broadcast(paths)
+    table = np.zeros((rows, WIDTH), np.float32)
+    most = max(sc.defaultParallelism, -(-blocks.count() // (TASK * rounds)))
     for k in range(rounds):
-        start = sc.broadcast(model.tables)
+        start = sc.broadcast(table)
 
         def learn(batches, start=start):
-            m = Model(*(x.copy() for x in start.value), None if mass.value is None else Tree(mass.value))
-            learner, vocab, slot = Learner(m), Vocabulary(words.value), 0
+            steady_heap()
+            learner, slot = Learner(Model(known.value, start.value.copy())), 0
             for batch in batches:
                 for slot, lengths, flags, toks, hashes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     b = Block(lengths, toks, hashes)
                     use = np.repeat(np.array(flags, bool), b.lengths)
-                    f = feature_hashes(*(x[use] for x in b.contexts()))
                     own = b.flat[use]
-                    learner.learn(f, vocab.item(b.hashes)[own], m.tree and m.tree.leaf(b.hashes)[own])
-            if learner.n[0].any():
-                yield _state(slot % 4096, m.tables, learner.n)
+                    path, steps, _ = known.value.find(b.hashes)
+                    learner.learn(feature_hashes(*(x[use] for x in b.contexts())), path[own], steps[own])
+            if learner.n.any():
+                yield _state(slot, learner.m.w, learner.n)
 
         def add(batches):
-            total, slot = None, 0
+            total, seen, slot = np.zeros((rows, WIDTH), np.float32), np.zeros(rows, np.float32), 0
             for batch in batches:
                 for slot, *sent in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    tables, seen = _unpacked(sent)
-                    tables = [np.multiply(w, n[:, None], out=w) for w, n in zip(tables, seen, strict=True)] + [n.copy() for n in seen]
-                    total = tables if total is None else [np.add(a, b, out=a) for a, b in zip(total, tables, strict=True)]
-            if total:
-                yield _state(slot, [w / np.maximum(n, 1)[:, None] for w, n in zip(total[:3], total[3:], strict=True)], total[3:])
-
-        states = blocks.where(F.pmod(F.xxhash64("block"), F.lit(rounds).cast("long")) == k).select(F.xxhash64("block").alias("slot"), "lengths", "train", "tokens", "hashes").coalesce(tasks).mapInArrow(learn, _STATE)
-        states = store(states, "gradients")
-        for width in (w for w in (64, 8) if w < tasks):  # a tree of sums: memory of one model a task
+                    at, w, n = _unpacked(rows, *sent)
+                    total[at] += w * n[:, None]
+                    seen[at] += n
+            if seen.any():
+                total /= np.maximum(seen, 1)[:, None]
+                yield _state(slot, total, seen)
+
+        states = blocks.where(F.pmod(F.xxhash64("block"), F.lit(rounds).cast("long")) == k).select(F.xxhash64("block").alias("slot"), "lengths", "train", "tokens", "hashes").coalesce(most).mapInArrow(learn, _STATE)
+        width = -(-most // FAN_IN)
+        while width > 1:  # a tree of sums: memory of one table a task
             states = states.repartition(F.pmod("slot", F.lit(width))).mapInArrow(add, _STATE)
-        row = states.coalesce(1).mapInArrow(add, _STATE).first()
+            width = -(-width // FAN_IN)
+        row = states.repartition(1).mapInArrow(add, _STATE).first()
         if row:
-            for own, w, n in zip(model.tables, *_unpacked([row[x] for x in ("c", "p", "t", "nc", "np", "nt")]), strict=True):
-                own[n > 0] = w[n > 0]
-    return model
+            at, w, _ = _unpacked(rows, row["at"], row["w"], row["n"])
+            table[at] = w
+    return table
 
 
 _COUNTED = "block long, part int, c binary, types long, total long, top array<struct<h:long,c:long>>, depth int, first long, mass binary"
 
 
 def _counted(blocks: DataFrame) -> DataFrame:
-    """For each block and range of hashes a row with the corpus's counts of the block's words there; for each range
-    a row without block: how many words and tokens training has there, its most frequent words, and the add-one counts
-    by leaf of a tree that is deep enough for all words."""
+    """For each block and range of hashes a row with the corpus's counts of the block's words there, in ascending
+    order of hashes; for each range a row without block: how many words and tokens training has there, its most
+    frequent words, and the add-one counts by leaf of a tree that is deep enough for all words."""
     words = blocks.agg(F.sum("n_words")).first()[0] or 0
     parts, depth = max(1, -(-words // RANGE)), depth_of(words)
 
     def send(batches):
         for batch in batches:
             for block, hashes, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                h, n = np.frombuffer(hashes, np.uint64), np.frombuffer(counts, "<i4")
-                part = ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+                h, n = np.frombuffer(hashes, np.uint64), _unplaned(counts)
+                order = np.argsort(h)
+                h, n = h[order], n[order]
+                part = ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
                 edges = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]])
-                for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                    yield pa.RecordBatch.from_arrays([pa.array([int(part[i])], pa.int32()), pa.array([block], pa.int64()), pa.array([h[i:j].tobytes()]), pa.array([n[i:j].tobytes()])], ["part", "block", "h", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(part[edges[:-1]]), pa.array(np.full(len(edges) - 1, block, np.int64)), binaries(h, edges), binaries(n, edges)], ["part", "block", "h", "n"])
 
     schema = to_arrow_schema(T._parse_datatype_string(_COUNTED))
 
-    def row(**values):
-        return pa.RecordBatch.from_pylist([values], schema)
-
     def count(part: int, held: list):
-        h = np.concatenate([np.frombuffer(x, np.uint64) for _, x, _ in held])
+        h = np.concatenate([x for _, x, _ in held])
         own, at = np.unique(h, return_inverse=True)
-        c = np.bincount(at, np.concatenate([np.frombuffer(x, "<i4") for _, _, x in held]), len(own)).astype("<i8")
-        i = 0
-        for block, x, _ in held:
-            yield row(block=block, part=part, c=zstandard.compress(c[at[i : i + len(x) // 8]].tobytes(), 1))
-            i += len(x) // 8
+        c = np.bincount(at, np.concatenate([x for _, _, x in held]), len(own)).astype("<i8")
+        sent = [zstandard.compress(c[x].tobytes(), 1) for x in np.split(at, np.cumsum([len(x) for _, x, _ in held])[:-1])]
         leaf = (own >> np.uint64(64 - DIGIT * depth)).astype(np.int64)
         mass = np.bincount(leaf - leaf[0], np.where(c > 0, c + 1, 0)).astype("<i8")
         own = own.view(np.int64)
-        top = np.lexsort((own, -c))[: CLASSES * PLACES]
-        yield row(part=part, types=int((c > 0).sum()), total=int(c.sum()), top=[{"h": int(own[k]), "c": int(c[k])} for k in top if c[k]], depth=depth, first=int(leaf[0]), mass=zstandard.compress(mass.tobytes(), 1))
+        top = np.lexsort((own, -c))[:HEAD]
+        found = {"part": part, "types": int((c > 0).sum()), "total": int(c.sum()), "top": [{"h": int(own[k]), "c": int(c[k])} for k in top if c[k]], "depth": depth, "first": int(leaf[0]), "mass": zstandard.compress(mass.tobytes(), 1)}
+        yield pa.RecordBatch.from_pylist([*({"block": b, "part": part, "c": x} for (b, _, _), x in zip(held, sent, strict=True)), found], schema)
 
     def add(batches):
         """Rows come sorted by range."""
@@ -351,7 +369,7 @@ def _counted(blocks: DataFrame) -> DataFrame:
                     yield from count(at, held)
                     held = []
                 at = part
-                held.append((block, h, n))
+                held.append((block, np.frombuffer(h, np.uint64), np.frombuffer(n, "<i4")))
         if held:
             yield from count(at, held)
 
@@ -359,6 +377,22 @@ def _counted(blocks: DataFrame) -> DataFrame:
     return sent.repartition("part").sortWithinPartitions("part").mapInArrow(add, _COUNTED)
 
 
+def _paths(counted: DataFrame, words: int) -> Paths:
+    """From the rows of ranges: at most HEAD words and the leaves' counts come to the driver."""
+    ranges = counted.where("block is null")
+    frequent = ranges.select(F.explode("top").alias("t")).select("t.*").orderBy(F.desc("c"), "h").limit(HEAD).collect()
+    vocabulary = np.array([r["h"] for r in frequent], np.int64).view(np.uint64)
+    often = np.array([r["c"] + 1 for r in frequent], np.int64)
+    depth = depth_of(words)
+    mass = np.zeros(WIDTH**depth, np.int64)
+    for r in ranges.select("depth", "first", "mass").toLocalIterator():
+        own = np.frombuffer(zstandard.decompress(r["mass"]), "<i8")
+        np.add.at(mass, r["first"] + np.arange(len(own)) >> DIGIT * (r["depth"] - depth), own)
+    np.subtract.at(mass, (vocabulary >> np.uint64(64 - DIGIT * depth)).astype(np.int64), often)
+    mass[0] += 1  # what training lacks
+    return Paths(vocabulary, often, mass)
+
+
 def lm_scores(docs: DataFrame, modulus: int = 7, held_out: int = 2, rounds: int = ROUNDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row for each row of docs.
 
@@ -370,32 +404,23 @@ def lm_scores(docs: DataFrame, modulus: int = 7, held_out: int = 2, rounds: int
     blocks = store(own.mapInArrow(lambda batches: _pack(batches, modulus, held_out), _BLOCKS), "blocks")
 
     counted = store(_counted(blocks), "counted")
-    types = counted.where("block is null").select(F.explode("top").alias("t")).select("t.*")
-    frequent = types.orderBy(F.desc("c"), "h").limit(CLASSES * PLACES - 1).collect()
     total = counted.agg(F.sum("types"), F.sum("total")).first()
     v, n = total[0] or 0, total[1] or 0
-    vocabulary = np.array([r["h"] for r in frequent], np.int64).view(np.uint64)
-    mass = np.zeros(WIDTH ** depth_of(v), np.int64)
-    for r in counted.where("block is null").select("depth", "first", "mass").toLocalIterator():
-        own = np.frombuffer(zstandard.decompress(r["mass"]), "<i8")
-        np.add.at(mass, r["first"] + np.arange(len(own)) >> DIGIT * (r["depth"] - depth_of(v)), own)
-    np.subtract.at(mass, (vocabulary >> np.uint64(64 - DIGIT * depth_of(v))).astype(np.int64), np.array([r["c"] + 1 for r in frequent], np.int64))
-    mass[0] += 1  # what training lacks
-    tree = Tree(mass)
-    model = train(blocks, vocabulary, rounds, tree, tail_rows(v))
-    sent = spark.sparkContext.broadcast((vocabulary, mass, *model.tables))
+    paths = _paths(counted, v)
+    sent = spark.sparkContext.broadcast((paths, train(blocks, paths, table_rows(v), rounds)))
 
     def score(batches):
-        vocab, m = Vocabulary(sent.value[0]), Model(*sent.value[2:], Tree(sent.value[1]))
+        steady_heap()
+        m = Model(*sent.value)
         for batch in batches:
             for ids, flags, lengths, toks, hashes, known in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 b = Block(lengths, toks, hashes)
-                counts = np.frombuffer(b"".join(zstandard.decompress(k["c"]) for k in known), "<i8")
-                item = vocab.item(b.hashes)
+                counts = np.empty(len(b.hashes), np.int64)
+                counts[np.argsort(b.hashes)] = np.frombuffer(b"".join(zstandard.decompress(k["c"]) for k in known), "<i8")
                 base = np.log10((counts + 1) / (n + v + 1))
-                leaf = np.where(counts > 0, m.tree.leaf(b.hashes), 0)
-                share = np.log10((counts + 1) / np.where(item == 0, m.tree.mass[leaf], counts + 1))
-                logs = m.logs(feature_hashes(*b.contexts()), item[b.flat], leaf[b.flat]) / np.log(10) + share[b.flat]
+                path, steps, leaf = m.paths.find(b.hashes, counts > 0)
+                share = np.where(leaf < 0, 0.0, np.log10((counts + 1) / np.maximum(m.paths.mass[leaf], 1)))
+                logs = m.log_probabilities(feature_hashes(*b.contexts()), path[b.flat], steps[b.flat]) / np.log(10) + share[b.flat]
                 total = lambda x, s=b.starts: np.add.reduceat(x, s)
                 cols = [pa.array(ids, pa.int64()), pa.array([not x for x in flags]), pa.array(b.lengths), pa.array(total((counts > 0)[b.flat].astype(np.int64))), pa.array(np.full(len(ids), n, np.int64)), pa.array(total(base[b.flat])), pa.array(total(logs))]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])

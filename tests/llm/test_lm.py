@@ -48,33 +48,67 @@ def test_model_beats_the_base_on_held_out_documents(scored):
     assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in scored)
 
 
-def test_probabilities_of_all_items_sum_to_one():
-    rng = np.random.default_rng(1)
-    model = lm.Model(rng.standard_normal((lm.CLASS_ROWS, lm.CLASSES)).astype(np.float32), rng.standard_normal((lm.PLACE_ROWS, lm.PLACES)).astype(np.float32))
-    n = lm.CLASSES * lm.PLACES
-    f = lm.feature_hashes(np.full(n, 77, np.uint64), np.full(n, 99, np.uint64))
-    assert np.exp(model.logs(f, np.arange(n))).sum() == pytest.approx(1, abs=1e-4)
+def some_paths(n, words=20_000):
+    """Paths of n frequent words and of words known by their hashes alone."""
+    rng = np.random.default_rng(3)
+    hashes = np.unique(rng.integers(0, 1 << 63, words, dtype=np.uint64) * np.uint64(2))
+    counts = rng.integers(1, 9, len(hashes))
+    mass = np.bincount((hashes[n:] >> np.uint64(64 - lm.DIGIT * lm.depth_of(words))).astype(int), counts[n:] + 1, lm.WIDTH ** lm.depth_of(words)).astype(np.int64)
+    mass[0] += 1
+    return lm.Paths(hashes[:n], counts[:n] + 1, mass), hashes, counts
+
+
+@pytest.mark.parametrize("n", [0, 5, lm.HEAD])
+def test_probabilities_of_all_words_sum_to_one(n):
+    paths, hashes, counts = some_paths(n)
+    table = np.random.default_rng(1).standard_normal((1 << 14, lm.WIDTH)).astype(np.float32)
+    for model in (lm.Model(paths, table), lm.Model(paths, np.zeros_like(table))):
+        path, steps, leaf = paths.find(hashes)
+        f = lm.feature_hashes(np.full(len(hashes), 77, np.uint64), np.full(len(hashes), 99, np.uint64))
+        share = np.where(leaf < 0, 1, (counts + 1) / paths.mass[leaf])
+        p = np.exp(model.log_probabilities(f, path, steps)) * share
+        other, few, _ = paths.find(np.array([1], np.uint64), np.array([False]))  # a word that training lacks
+        assert other.tolist() == [0] and p.sum() + np.exp(model.log_probabilities(f[:, :1], other, few))[0] / paths.mass[0] == pytest.approx(1, abs=1e-4)
+    assert np.allclose(p, (counts + 1) / (counts.sum() + len(counts) + 1), rtol=1e-4)  # untrained it is the unigram
 
 
 def test_contexts_stop_at_documents():
     hashes = np.array([10, 20, 30], np.uint64)
-    import zstandard
-
-    b = lm.Block([1, 3, 2], zstandard.compress(np.array([0, 1, 2, 0, 2, 1], "<i4").tobytes()), hashes.tobytes())
+    b = lm.Block([1, 3, 2], lm._planes(np.array([0, 1, 2, 0, 2, 1])), hashes.tobytes())
     one, two = b.contexts()
     s = lm._START
     assert one.tolist() == [s, s, 20, 30, s, 30] and two.tolist() == [s, s, s, 20, s, s]
 
 
 def test_learning_lowers_the_loss():
-    rng = np.random.default_rng(2)
-    word = rng.integers(1, 5, 4000)
-    item = (word * 7) % 40  # the word before says it all
+    paths, _, _ = some_paths(lm.HEAD)
+    word = np.random.default_rng(2).integers(1, 5, 4000)
+    path = lm.WIDTH ** (lm.STEPS - 1) + word * 701  # the word before says it all
     f = lm.feature_hashes(word.astype(np.uint64), np.zeros(4000, np.uint64))
-    learner = lm.Learner(lm.Model())
-    for _ in range(30):
-        learner.learn(f, item)
-    assert learner.m.logs(f, item).mean() > -0.7
+    learner = lm.Learner(lm.Model(paths, np.zeros((1 << 14, lm.WIDTH), np.float32)))
+    for _ in range(60):
+        learner.learn(f, path, np.full(4000, lm.STEPS))
+    assert learner.m.log_probabilities(f, path, np.full(4000, lm.STEPS)).mean() > -0.7
+
+
+def test_rows_move_by_the_sum_of_their_gradients():
+    paths, _, _ = some_paths(5)
+    rng = np.random.default_rng(4)
+    learner = lm.Learner(lm.Model(paths, rng.standard_normal((50, lm.WIDTH)).astype(np.float32)))
+    before, g, rows = learner.m.w.copy(), rng.standard_normal((40, lm.WIDTH)).astype(np.float32), rng.integers(0, 50, (3, 40))
+    want = np.zeros((50, lm.WIDTH))
+    for r in rows:
+        np.add.at(want, r, g)
+    learner._move(rows.ravel(), g)
+    assert np.allclose(learner.m.w, before - lm.RATE * want / np.sqrt(lm.START_SQ + want**2), atol=1e-5)
+    assert learner.n.tolist() == np.bincount(rows.ravel(), minlength=50).tolist()
+
+
+def test_states_keep_what_was_updated():
+    w, n = np.arange(80, dtype=np.float32).reshape(10, 8), np.array([0, 2, 0, 1, 0, 0, 0, 0, 0, 5], np.float32)
+    row = lm._state(3, w, n).to_pylist()[0]
+    at, got, seen = lm._unpacked(10, row["at"], row["w"], row["n"])
+    assert at.tolist() == [1, 3, 9] and (got == w[at]).all() and seen.tolist() == [2, 1, 5]
 
 
 def test_order_of_words_matters_and_blocks_do_not(spark, monkeypatch):
@@ -101,22 +135,14 @@ def test_nulls_repeats_long_texts_empty_tables_and_other_columns(spark):
 
 
 def test_rare_words_are_predicted_from_their_contexts(spark):
-    common = " ".join(f"common{i}" for i in range(lm.CLASSES * lm.PLACES))
+    common = " ".join(f"common{i}" for i in range(lm.HEAD))
     pairs = " ".join(f"left{i} right{i}" for i in range(60))
-    docs = [(i, common) for i in range(60)] + [(100 + i, pairs) for i in range(40)]  # the pairs have no places of their own
+    docs = [(i, common) for i in range(60)] + [(100 + i, pairs) for i in range(40)]  # the pairs have no paths of their own
     asked = [(1000 + i, f"left{i} right{i}") for i in range(1, 21)] + [(2000 + i, f"left{i} right{i + 20}") for i in range(1, 21)]
     got = {r["doc_id"]: r["score"] for r in lm.lm_scores(spark.createDataFrame(docs + asked, SCHEMA)).collect()}
     assert sum(got[1000 + i] - got[2000 + i] for i in range(1, 21)) > 20 * 0.3
 
 
-def test_the_tree_grows_with_the_words_and_sums_to_one():
-    assert [lm.depth_of(n) for n in (0, 1023, 1024, 78_653, 2_000_000)] == [1, 1, 2, 3, 4]
-    assert lm.tail_rows(4_000_000) > lm.tail_rows(400_000) > lm.tail_rows(4000)
-    rng = np.random.default_rng(3)
-    mass = rng.integers(0, 3, lm.WIDTH**2)
-    mass[0] = 1
-    model = lm.Model(None, None, rng.standard_normal((1 << 10, lm.WIDTH)).astype(np.float32), lm.Tree(mass))
-    used = np.flatnonzero(mass)
-    f = lm.feature_hashes(np.full(len(used), 77, np.uint64), np.full(len(used), 99, np.uint64))
-    item = np.zeros(len(used), np.int64)
-    assert np.exp(model.logs(f, item, used) - model.logs(f, item)).sum() == pytest.approx(1, abs=1e-4)
+def test_classes_and_table_grow_with_the_words():
+    assert [lm.depth_of(n) for n in (0, 8, 80_000, 400_000, 10**9)] == [1, 1, 5, 6, 7]
+    assert lm.table_rows(4_000_000) > lm.table_rows(400_000) > lm.table_rows(4000)
