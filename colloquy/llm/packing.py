@@ -14,7 +14,7 @@ import re
 import sys
 import zlib
 from array import array
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import Counter
 
 import numpy as np
@@ -31,10 +31,10 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are th
 
 CAPACITY = 2048
 END_ID = 0
-NODES = 3000  # of the search for one completion
-REPLANS = 24
-EFFORT = 1_000_000  # nodes, at every size, of the search for fewer sequences than the first plan's
-BUCKETS = 64  # parts of the documents of one length
+# What the search may cost, at every size: nodes for one completion, plans that take other completions at first, and
+# nodes in all for fewer sequences than the first plan's.
+NODES, REPLANS, EFFORT = 3000, 24, 1_000_000
+BUCKET_ROWS = 1 << 17  # pieces of one length that one task ranks, about
 CACHE = 150_000
 
 _ODD_SPACE = re.compile(r" \s| $")
@@ -148,12 +148,37 @@ def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
     return docs.select(F.col(doc_id).alias("doc_id"), F.explode(column_udf(cut, kind)(F.col(text))).alias("p")).select("doc_id", "p.*")
 
 
+def dominated(chosen: list[int], left: int, counts: dict[int, int], lengths: list[int]) -> bool:
+    """Whether a filling that leaves `left` is no better than one that is left to be found: where another item fits in,
+    or one larger item can stand for one or two of its own, which are then free for other bins."""
+    used = Counter(chosen)
+
+    def free(lo: int, hi: int) -> bool:
+        for x in lengths[bisect_left(lengths, lo) : bisect_right(lengths, hi)]:
+            if used[x] < counts[x]:
+                return True
+        return False
+
+    if left and free(1, left):
+        return True
+    own = sorted(used)
+    for i, a in enumerate(own):
+        if left and free(a + 1, a + left):
+            return True
+        for b in own[i if used[a] > 1 else i + 1 :]:
+            if a + b > lengths[-1]:
+                break
+            if free(a + b, a + b + left):
+                return True
+    return False
+
+
 def completions(room: int, counts: dict[int, int], lengths: list[int], nodes: int = NODES, want: int = 1, left_over: list[int] | None = None) -> list[tuple[int, ...]]:
-    """Fillings of room by lengths (ascending, with counts), least waste first, then larger items first.
+    """Undominated fillings of room by lengths (ascending, with counts), least waste first, then larger items first.
 
-    The incumbent is best-fit: the largest that fits, again and again. Branches take items from large to small;
-    one is cut when even filling its room entirely would not beat the best waste, and fillings that leave room
-    for another item are dominated and never kept. left_over[0] is lowered by the nodes of the search.
+    The incumbent is best-fit: the largest that fits, again and again, which nothing dominates. Branches take items
+    from large to small; one is cut when even filling its room entirely would not beat the worst waste of those
+    wanted. left_over[0] is lowered by the nodes of the search.
     """
     def best_fit():
         left, used, out = room, {}, []
@@ -180,7 +205,8 @@ def completions(room: int, counts: dict[int, int], lengths: list[int], nodes: in
             return True
         i = min(i, bisect_right(lengths, left))
         if not i:
-            if left < found[0][0] or len(found) < want and (left, tuple(chosen)) not in found:
+            better = left < found[0][0] or len(found) < want and (left, tuple(chosen)) not in found
+            if better and not dominated(chosen, left, counts, lengths):
                 found.append((left, tuple(chosen)))
                 found.sort(key=lambda f: (f[0], [-x for x in f[1]]))
                 del found[want:]
@@ -311,21 +337,25 @@ def improved(patterns: list[tuple[tuple[int, ...], int]], capacity: int, bound:
     return list(bins.items())
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, buckets: int = BUCKETS) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """pieces (doc_id, piece, length from 1 to capacity, ...) with sequence_id and offset.
 
-    Only counts by length and bucket come to the driver: at most capacity x buckets numbers. A length that a third
-    of all pieces share is spread over the buckets. Ties are broken by doc_id and piece; repeated rows are packed
-    each. No pieces: no rows.
+    Full pieces are sequences of their own, with negative numbers, and take no part in what follows. Of the others
+    only counts by length and bucket come to the driver; a length has as many buckets as its pieces need, each small
+    enough to be ranked by one task. Ties are broken by doc_id and piece; repeated rows are packed each, and null ids
+    are ids like others. No pieces: no rows.
     """
     spark = pieces.sparkSession
-    keyed = pieces.withColumn("_b", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
-    counts = keyed.groupBy("length", "_b").count().collect()
-    before = np.zeros((capacity + 1, buckets), np.int64)
-    for n, b, c in counts:
-        before[n, b] = c
-    histogram = {int(n): int(c) for n, c in enumerate(before.sum(axis=1)) if c}
-    before = np.cumsum(before, axis=1) - before
+    full = pieces.where(F.col("length") == capacity)
+    rest = pieces.where(F.col("length") < capacity)
+    histogram = {int(r["length"]): r["count"] for r in rest.groupBy("length").count().collect()}
+    buckets = {n: -(-c // bucket_rows) for n, c in histogram.items()}
+    sizes = spark.createDataFrame(list(buckets.items()), "_n long, _of long")
+    keyed = rest.join(F.broadcast(sizes), F.col("length") == F.col("_n")).withColumn("_b", F.pmod(F.xxhash64("doc_id", "piece"), F.col("_of")).cast("int"))
+    before = {n: np.zeros(k + 1, np.int64) for n, k in buckets.items()}
+    for n, b, c in keyed.groupBy("length", "_b").count().collect():
+        before[n][b + 1] = c
+    before = {n: np.cumsum(x) for n, x in before.items()}
     # by length: where its ranks begin in each pattern that takes it, and what the pattern gives them
     taken = dict.fromkeys(histogram, 0)
     ranges: dict[int, list] = {n: [] for n in histogram}
@@ -345,7 +375,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, buckets: int = BUCKETS) ->
         before, ranges = sent.value
         seqs, offs = [], []
         for n, b, r in zip(lengths, bs, ranks, strict=True):
-            r = r - 1 + int(before[n, b])
+            r = r - 1 + int(before[n][b])
             starts, own = ranges[n]
             start, first, o = own[bisect_right(starts, r) - 1]
             seqs.append(first + (r - start) // len(o))
@@ -354,7 +384,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, buckets: int = BUCKETS) ->
 
     rank = F.row_number().over(Window.partitionBy("length", "_b").orderBy("doc_id", "piece"))
     placed = column_udf(place, "sequence_id long, offset long")(F.col("length"), F.col("_b"), F.col("_r"))
-    return keyed.withColumn("_r", rank).select(*pieces.columns, placed.alias("_p")).select(*pieces.columns, "_p.*")
+    ranked = keyed.withColumn("_r", rank).select(*pieces.columns, placed.alias("_p")).select(*pieces.columns, "_p.*")
+    return full.select(*pieces.columns, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset")).unionByName(ranked)
 
 
 def best_fit_packing(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:

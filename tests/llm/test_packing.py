@@ -84,6 +84,31 @@ def test_completions_waste_least(room, items):
     assert not Counter(found[0]) - counts
 
 
+def fillings(room, items):
+    """All that fit, as sorted tuples."""
+    return {tuple(sorted(c, reverse=True)) for k in range(len(items) + 1) for c in itertools.combinations(items, k) if sum(c) <= room}
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.integers(1, 40), st.lists(st.integers(1, 15), min_size=1, max_size=8))
+def test_fillings_that_others_dominate_are_never_kept(room, items):
+    counts = Counter(items)
+    found = packing.completions(room, dict(counts), sorted(counts), want=100)
+    every = fillings(room, items)
+
+    def beaten(f):
+        rest = counts - Counter(f)
+        own = [Counter()] + [Counter(c) for k in (1, 2) for c in itertools.combinations(f, k)]  # nothing, one or two of its items
+        return any(x > s.total() if not s else x >= sum(s.elements()) and s != Counter([x]) and x - sum(s.elements()) <= room - sum(f) for s in own for x in rest if s or x <= room - sum(f))
+
+    assert found and set(found) <= every and len(set(found)) == len(found)
+    assert set(found) == {f for f in every if not beaten(f)}
+
+
+def test_an_example_of_dominance():
+    assert packing.completions(16, {5: 3, 7: 1, 4: 1}, [4, 5, 7], want=10) == [(7, 5, 4), (5, 5, 5)]
+
+
 def test_large_plans_waste_little():
     rng = random.Random(1)
     histogram = Counter(min(2048, int(rng.lognormvariate(5.5, 1)) + 1) for _ in range(50_000))
@@ -126,9 +151,11 @@ def test_documents_are_cut_and_placed(spark, library):
 
 def test_one_length_in_many_rows(spark):
     df = spark.range(5000).selectExpr("id as doc_id", "'same' as text")
-    out = packing.pack(packing.pieces(df, PATH, capacity=16), 16).collect()
+    out = packing.pack(packing.pieces(df, PATH, capacity=16), 16, bucket_rows=300).collect()
     n = out[0]["length"]
     assert len(out) == 5000 and check_places(out, 16) == -(-5000 // (16 // n))
+    full = packing.pack(packing.pieces(df, PATH, capacity=n), n).collect()
+    assert len(full) == check_places(full, n) == 5000
 
 
 def test_query_packs_documents_tightly(spark, library):
