@@ -139,8 +139,8 @@ def depth_of(words: int) -> int:
 
 
 def table_rows(words: int) -> int:
-    """Rows of the table of weights: 512 times the root of the words, as a power of two."""
-    return max(1 << 12, 1 << (512 * math.isqrt(words)).bit_length())
+    """Rows of the table of weights: 512 times the root of the words."""
+    return max(1 << 12, 512 * math.isqrt(words))
 
 
 class Paths:
@@ -185,8 +185,7 @@ class Model:
     """A table of weights, WIDTH a row; rows are hashed by feature and class."""
 
     def __init__(self, paths: Paths, table: np.ndarray):
-        self.paths, self.w = paths, table
-        self.shift = np.uint64(64 - (len(table).bit_length() - 1))
+        self.paths, self.w, self.size = paths, table, np.uint64(len(table))
 
     def steps(self, f: np.ndarray, path: np.ndarray, steps: np.ndarray):
         """For each step the positions that take it (None: all), their rows, what to predict, and where logits start."""
@@ -198,7 +197,7 @@ class Model:
             used = f if k < DEEP else f[:1]
             mixed = ((used if which is None else used[:, which]) + (node + (1 << DIGIT * k)).astype(np.uint64) * _K[2]) * _K[3]
             mixed ^= mixed >> np.uint64(29)
-            yield which, (mixed * _K[1] >> self.shift).astype(np.int64), own >> left - DIGIT & WIDTH - 1, self.paths.logs[k].take(node, axis=0)
+            yield which, ((mixed * _K[1] >> np.uint64(32)) * self.size >> np.uint64(32)).astype(np.int64), own >> left - DIGIT & WIDTH - 1, self.paths.logs[k].take(node, axis=0)
 
     def shares(self, rows: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """exp of the logits, and their sums. start is used up."""
@@ -266,11 +265,10 @@ def _put(table: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
     np.put(table.view(item).ravel(), at, np.ascontiguousarray(rows, table.dtype).view(item).ravel())
 
 
-def _state(slot: int, table: np.ndarray, seen: np.ndarray) -> pa.RecordBatch:
+def _packed(table: np.ndarray, seen: np.ndarray) -> tuple[bytes, bytes, bytes]:
     """The rows that were updated, as half floats, and how often each was."""
     at = np.flatnonzero(seen)
-    sent = [zstandard.compress(x, 1) for x in (np.packbits(seen > 0).tobytes(), table[at].astype("<f2").tobytes(), seen[at].astype("<f4").tobytes())]
-    return pa.RecordBatch.from_arrays([pa.array([slot], pa.int64()), *(pa.array([x], pa.binary()) for x in sent)], ["slot", "at", "w", "n"])
+    return tuple(zstandard.compress(x, 1) for x in (np.packbits(seen > 0).tobytes(), table[at].astype("<f2").tobytes(), seen[at].astype("<f4").tobytes()))
 
 
 def _unpacked(rows: int, at: bytes, w: bytes, n: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -278,21 +276,34 @@ def _unpacked(rows: int, at: bytes, w: bytes, n: bytes) -> tuple[np.ndarray, np.
     return np.flatnonzero(np.unpackbits(np.frombuffer(at, np.uint8), count=rows)), np.frombuffer(w, "<f2").reshape(-1, WIDTH).astype(np.float32), np.frombuffer(n, "<f4")
 
 
+def whole(rows: int, packed: tuple[bytes, bytes, bytes] | None) -> np.ndarray:
+    """A table of weights from what is sent of it."""
+    table = np.zeros((rows, WIDTH), np.float32)
+    if packed:
+        at, w, _ = _unpacked(rows, *packed)
+        table[at] = w
+    return table
+
+
+def _state(slot: int, table: np.ndarray, seen: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([slot], pa.int64()), *(pa.array([x], pa.binary()) for x in _packed(table, seen))], ["slot", "at", "w", "n"])
+
+
 _STATE = "slot long, at binary, w binary, n binary"
 
 
-def train(blocks: DataFrame, paths: Paths, rows: int, rounds: int = ROUNDS) -> np.ndarray:
-    """Rounds of distributed gradient steps; what comes to the driver is one table."""
+def train(blocks: DataFrame, paths: Paths, rows: int, rounds: int = ROUNDS) -> tuple[bytes, bytes, bytes] | None:
+    """Rounds of distributed gradient steps; what comes to the driver is one table, packed."""
     sc = blocks.sparkSession.sparkContext
     known = sc.broadcast(paths)
-    table = np.zeros((rows, WIDTH), np.float32)
     most = max(sc.defaultParallelism, -(-blocks.count() // (TASK * rounds)))
+    table, seen = np.zeros((rows, WIDTH), np.float32), np.zeros(rows, np.float32)
     for k in range(rounds):
-        start = sc.broadcast(table)
+        start = sc.broadcast(_packed(table, seen))
 
         def learn(batches, start=start):
             steady_heap()
-            learner, slot = Learner(Model(known.value, start.value.copy())), 0
+            learner, slot = Learner(Model(known.value, whole(rows, start.value))), 0
             for batch in batches:
                 for slot, lengths, flags, toks, hashes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     b = Block(lengths, toks, hashes)
@@ -304,15 +315,15 @@ def train(blocks: DataFrame, paths: Paths, rows: int, rounds: int = ROUNDS) -> n
                 yield _state(slot, learner.m.w, learner.n)
 
         def add(batches):
-            total, seen, slot = np.zeros((rows, WIDTH), np.float32), np.zeros(rows, np.float32), 0
+            total, n_all, slot = np.zeros((rows, WIDTH), np.float32), np.zeros(rows, np.float32), 0
             for batch in batches:
                 for slot, *sent in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     at, w, n = _unpacked(rows, *sent)
                     total[at] += w * n[:, None]
-                    seen[at] += n
-            if seen.any():
-                total /= np.maximum(seen, 1)[:, None]
-                yield _state(slot, total, seen)
+                    n_all[at] += n
+            if n_all.any():
+                total /= np.maximum(n_all, 1)[:, None]
+                yield _state(slot, total, n_all)
 
         states = blocks.where(F.pmod(F.xxhash64("block"), F.lit(rounds).cast("long")) == k).select(F.xxhash64("block").alias("slot"), "lengths", "train", "tokens", "hashes").coalesce(most).mapInArrow(learn, _STATE)
         width = -(-most // FAN_IN)
@@ -320,10 +331,12 @@ def train(blocks: DataFrame, paths: Paths, rows: int, rounds: int = ROUNDS) -> n
             states = states.repartition(F.pmod("slot", F.lit(width))).mapInArrow(add, _STATE)
             width = -(-width // FAN_IN)
         row = states.repartition(1).mapInArrow(add, _STATE).first()
+        start.destroy()
         if row:
-            at, w, _ = _unpacked(rows, row["at"], row["w"], row["n"])
-            table[at] = w
-    return table
+            at, w, n = _unpacked(rows, row["at"], row["w"], row["n"])
+            table[at], seen[at] = w, seen[at] + n
+    known.destroy()
+    return _packed(table, seen)
 
 
 _COUNTED = "block long, part int, c binary, types long, total long, top array<struct<h:long,c:long>>, depth int, first long, mass binary"
@@ -407,11 +420,12 @@ def lm_scores(docs: DataFrame, modulus: int = 7, held_out: int = 2, rounds: int
     total = counted.agg(F.sum("types"), F.sum("total")).first()
     v, n = total[0] or 0, total[1] or 0
     paths = _paths(counted, v)
-    sent = spark.sparkContext.broadcast((paths, train(blocks, paths, table_rows(v), rounds)))
+    rows = table_rows(v)
+    sent = spark.sparkContext.broadcast((paths, train(blocks, paths, rows, rounds)))
 
     def score(batches):
         steady_heap()
-        m = Model(*sent.value)
+        m = Model(sent.value[0], whole(rows, sent.value[1]))
         for batch in batches:
             for ids, flags, lengths, toks, hashes, known in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 b = Block(lengths, toks, hashes)
