@@ -139,8 +139,8 @@ def depth_of(words: int) -> int:
 
 
 def table_rows(words: int) -> int:
-    """Rows of the table of weights: 512 times the root of the words."""
-    return max(1 << 12, 512 * math.isqrt(words))
+    """Rows of the table of weights: 512 times the root of the words, a small table at least."""
+    return max(1 << 16, 512 * math.isqrt(words))
 
 
 class Paths:
