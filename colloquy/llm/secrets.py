@@ -1,14 +1,15 @@
 """Secrets in text: three fixed shapes, and strings that are news to a compressor.
 
 The fixed shapes are regular expressions. Beyond them, a candidate string in a sensitive context (a word such as
-"bearer" or "credential" shortly before it) is compressed after its surroundings by zstandard, primed with a
+"bearer" or "credential" shortly before or after it) is compressed after its surroundings by zstandard, primed with a
 dictionary of common identifiers. Names, paths and words cost few marginal bytes, keys cost nearly all of theirs.
+Strings without digits, or short ones, must cost more, and such as are made of words are no candidates.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 
 import zstandard
 from pyspark.sql import DataFrame
@@ -25,10 +26,16 @@ _HEX_MAP = bytes(120 if chr(b) in "0123456789abcdef" else 32 for b in range(256)
 
 SENSITIVE = ("password", "passwd", "secret", "token", "apikey", "api_key", "api-key", "credential", "bearer", "authorization", "private_key", "private key", "access_key", "access key", "signing key", "client key", "passphrase")
 _NEAR = re.compile("|".join(map(re.escape, SENSITIVE)), re.I | re.A)
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+SHORT = 12  # characters of a candidate, at least
+_CANDIDATE = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*|[A-Za-z0-9+/_=!@#$%^*~-]{12,}")
+_DOMAIN = re.compile(r"\.[A-Za-z]")
+_WORDS = re.compile(r"[A-Z]?[a-z]{2,}|[A-Z]{2,}(?![a-z])")
 REACH = 48  # characters between the sensitive word and the candidate at most
 AROUND = 512  # characters on either side that the compressor sees first
-MIN_BITS = 4.5  # marginal bits a character
+#: Marginal bits a character: of strings of 16 characters or more with letters and digits; of shorter ones, or without.
+MIN_BITS, PLAIN_BITS = 4.5, 6.0
+LONG, PLAIN = 16, 20  # characters: see needed()
+WORDY = 0.85  # share of a string that lies in words, beyond which it is made of them
 
 #: Identifiers, keywords and words that code and configuration repeat.
 IDENTIFIERS = " ".join(
@@ -77,25 +84,51 @@ def _blanked(text: str, s: int, e: int, spans: list[tuple[int, int]]) -> str:
     return " ".join([*out, text[s:e]])
 
 
+def needed(own: str, min_bits: float = MIN_BITS) -> float | None:
+    """Marginal bits a character from which on a string is reported; None if it is no candidate.
+
+    Random strings of few kinds of characters differ from names by length alone: without digits, words (of either
+    case, and in camel case) are no candidates unless one of them has PLAIN letters or more. Digits alone are none.
+    """
+    if not any(c.isalpha() for c in own):
+        return None
+    plain = max(min_bits, PLAIN_BITS)
+    if any(c.isdigit() for c in own):
+        return min_bits if len(own) >= LONG else plain
+    words = [len(m[0]) for m in _WORDS.finditer(own)]
+    if len(own) < LONG or sum(words) > WORDY * len(own) and max(words) < PLAIN:
+        return None
+    return min_bits if words and max(words) >= PLAIN else plain
+
+
+def candidates(text: str) -> list[tuple[int, int]]:
+    """Places of strings that start or end within REACH characters of a sensitive word; of one that holds such a word,
+    what comes after it."""
+    near = [m.span() for m in _NEAR.finditer(text)]
+    starts, ends = [s for s, _ in near], [e for _, e in near]
+    out = []
+    for m in _CANDIDATE.finditer(text):
+        s, e = m.span()
+        i = bisect_left(starts, e)  # words from here on begin behind the string
+        if i and ends[i - 1] > s:
+            s = ends[i - 1]
+        if e - s < SHORT or "@" in m[0] and _DOMAIN.match(text, e):  # an address
+            continue
+        if i and s - ends[i - 1] <= REACH or i < len(near) and starts[i] - e <= REACH:
+            out.append((s, e))
+    return out
+
+
 def novel_spans(text: str, taken: list[tuple[str, int, int]], novelty: Novelty, min_bits: float = MIN_BITS) -> list[tuple[str, int, int]]:
-    """Candidates shortly after a sensitive word that the fixed shapes miss and that hardly compress.
+    """Candidates near a sensitive word that the fixed shapes miss and that hardly compress.
 
     One secret does not make another known: the compressor sees neither the fixed shapes nor the other candidates,
-    nor later copies. A string that is news at one of its places is reported at all of them.
+    nor copies of the string. One that is news at one of its places is reported at all of them.
     """
     low = text.lower()
     if not any(w in low for w in SENSITIVE):
         return []
-    found: list[tuple[int, int]] = []
-    done = 0
-    for near in _NEAR.finditer(text):
-        m = _CANDIDATE.search(text, max(near.end(), done))
-        while m and m.start() <= near.end() + REACH:
-            done, s, e = m.end(), m.start(), m.end()
-            mixed = any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0])
-            if mixed and not any(s < b and a < e for _, a, b in taken):
-                found.append((s, e))
-            m = _CANDIDATE.search(text, done)
+    found = [(s, e) for s, e in candidates(text) if needed(text[s:e], min_bits) is not None and not any(s < b and a < e for _, a, b in taken)]
     hidden: list[tuple[int, int]] = []
     for s, e in sorted([*found, *((a, b) for _, a, b in taken)]):
         if hidden and s < hidden[-1][1]:
@@ -106,8 +139,10 @@ def novel_spans(text: str, taken: list[tuple[str, int, int]], novelty: Novelty,
     for s, e in found:
         own = text[s:e]
         if own not in news:
-            after = _blanked(text, e, e + AROUND + len(own), hidden).replace(own, " ")[:AROUND]
-            if novelty.bits(_blanked(text, s - AROUND, s, hidden) + after, own) >= min_bits:
+            size = AROUND + len(own)
+            before = _blanked(text, s - size, s, hidden).replace(own, " ")[-AROUND:]
+            after = _blanked(text, e, e + size, hidden).replace(own, " ")[:AROUND]
+            if novelty.bits(before + after, own) >= needed(own, min_bits):
                 news.add(own)
     return [("novel", s, e) for s, e in found if text[s:e] in news]
 

@@ -42,7 +42,11 @@ def test_novel_strings_in_sensitive_places_are_found():
     assert found(f"credential is {KEY} here") == [("novel", KEY)]
     assert found(f"the id is {KEY} here") == []  # no sensitive word before it
     assert found("bearer ABCDEFGHIJKLMNOP123456 bearer configuration_default_value_1") == []  # words the dictionary has
-    assert found(f"{KEY} {KEY} bearer {KEY}") == []  # seen right before: not news
+    assert found(f"{KEY} {KEY} bearer {KEY}") == [("novel", KEY)] * 3  # one copy does not make another known
+    assert found(f"{KEY} is the private key") == [("novel", KEY)] and found(f"x_bearer_{KEY}") == [("novel", "_" + KEY)]
+    assert found("the passphrase is aB3$kL9!mN2@pQ7#rS5") == [("novel", "aB3$kL9!mN2@pQ7#rS5")]
+    jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N"
+    assert found(f"Authorization: Bearer {jwt}.") == [("novel", jwt)]
     assert found("credential " + "x" * 60 + f" {KEY}") == [] and found(None) == found("") == []
     assert found(f"token={KEY}") == [("assign", f"token={KEY}")]  # the base span stays alone
 
@@ -61,6 +65,28 @@ def test_a_repeated_secret_is_reported_at_every_sensitive_place():
         assert len(places(f"Bearer {key}\n{filler}\nBearer {key}=\n")) == 2
 
 
+ALPHABETS = {"base62": string.ascii_letters + string.digits, "HEX": "0123456789ABCDEF", "lower and digits": string.ascii_lowercase + string.digits, "symbols": string.ascii_letters + string.digits + "!@#$%^*"}
+PROSE = "the quick brown fox jumps over the lazy dog and every good boy does fine when there is nothing else to do. "
+
+
+def test_recall_on_random_keys_of_several_alphabets():
+    rng = random.Random(11)
+    for letters, n, least in [*((a, n, share) for a in ALPHABETS.values() for n, share in ((12, 0.75), (16, 0.95), (32, 0.99))), (string.ascii_lowercase, 28, 0.9), (string.ascii_letters, 28, 0.8)]:
+        hit = 0
+        for i in range(100):
+            key = "".join(rng.choice(letters) for _ in range(n))
+            text = PROSE + ("Authorization: Bearer {}\n", "the passphrase is {} now", "{} is the private key")[i % 3].format(key) + PROSE
+            hit += any(key in text[s:e] for _, s, e in secrets.scan(text))
+        assert hit >= least * 100, (letters, n, hit)
+
+
+def test_code_and_prose_are_left_alone():
+    names = "def reset_password_for_authenticated_user(request, passwordResetTokenGenerator, TOKEN_EXPIRATION_SECONDS): token_generator.validate_credentials_for_user(request.authorization_header_value)"
+    prose = "The authentication token is refreshed automatically; administrators responsible for credential-management should document passphrase requirements. Write to security99@example.org for a password."
+    paths = "see /usr/share/doc/authentication/password_policy.html and https://www.example.com/documentation/token/refresh"
+    assert [secrets.scan(x) for x in (names, prose, paths, PROSE * 20 + "password " + PROSE)] == [[]] * 4
+
+
 def test_redaction_covers_overlaps():
     assert secrets.redact("abcdefgh", [("a", 1, 4), ("b", 2, 6), ("c", 7, 8)]) == "a[SECRET]g[SECRET]"
     assert secrets.redact("abcd", [("a", 0, 2), ("b", 2, 4)]) == "[SECRET][SECRET]" and secrets.redact(None, []) is None
