@@ -34,7 +34,8 @@ END_ID = 0
 # What the search may cost, at every size: nodes for one completion, plans that take other completions at first, and
 # nodes in all for fewer sequences than the first plan's.
 NODES, REPLANS, EFFORT = 3000, 24, 1_000_000
-BUCKET_ROWS = 1 << 17  # pieces of one length that one task ranks, about
+# Pieces of one length that are ranked together: at most, and at least where there are few for each task.
+BUCKET_ROWS, FEW_ROWS = 1 << 17, 256
 CACHE = 150_000
 
 _ODD_SPACE = re.compile(r" \s| $")
@@ -341,15 +342,16 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, bucket_rows: int = BUCKET_
     """pieces (doc_id, piece, length from 1 to capacity, ...) with sequence_id and offset.
 
     Full pieces are sequences of their own, with negative numbers, and take no part in what follows. Of the others
-    only counts by length and bucket come to the driver; a length has as many buckets as its pieces need, each small
-    enough to be ranked by one task. Ties are broken by doc_id and piece; repeated rows are packed each, and null ids
+    only counts by length and bucket come to the driver; a length has as many buckets as its pieces need: one has
+    bucket_rows pieces at most, and no more than a quarter of a task's share of all. Ties are broken by doc_id and piece; repeated rows are packed each, and null ids
     are ids like others. No pieces: no rows.
     """
     spark = pieces.sparkSession
     full = pieces.where(F.col("length") == capacity)
     rest = pieces.where(F.col("length") < capacity)
     histogram = {int(r["length"]): r["count"] for r in rest.groupBy("length").count().collect()}
-    buckets = {n: -(-c // bucket_rows) for n, c in histogram.items()}
+    share = sum(histogram.values()) // (4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = {n: -(-c // min(bucket_rows, max(FEW_ROWS, share))) for n, c in histogram.items()}
     sizes = spark.createDataFrame(list(buckets.items()), "_n long, _of long")
     keyed = rest.join(F.broadcast(sizes), F.col("length") == F.col("_n")).withColumn("_b", F.pmod(F.xxhash64("doc_id", "piece"), F.col("_of")).cast("int"))
     before = {n: np.zeros(k + 1, np.int64) for n, k in buckets.items()}
