@@ -262,10 +262,21 @@ def _in_blocks(members: DataFrame, labels: DataFrame, sets: DataFrame, percent:
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """docs without the rows that are near duplicates of a smaller doc_id; all columns and other rows stay."""
-    found = near_duplicates(docs, doc_id, text, **options)
+    """docs with one row of each group of near duplicates, that of the smallest doc_id; all columns stay.
+
+    Rows of one doc_id are one document, of which one row stays, whichever. Rows without doc_id come after all others,
+    those of equal text being one document. Rows without words stay all.
+    """
+    own = docs.columns
+    nameless = F.lit(1 << 62) + F.pmod(F.xxhash64(text), F.lit(1 << 61))
+    worded = F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    keyed = docs.withColumn("_key", F.coalesce(F.col(doc_id).cast("long"), nameless)).withColumn("_worded", worded)
+    found = near_duplicates(keyed, "_key", text, **options)
     gone = store(found.where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    flagged = docs.withColumn("_maybe", bloom.possibly(docs, doc_id, gone, gone.count()))
+    again = store(keyed.where("_worded").groupBy("_key").count().where("count > 1").select(F.col("_key").alias("_gone")), "again")
+    some = gone.unionByName(again)
+    flagged = keyed.withColumn("_maybe", bloom.possibly(keyed, "_key", some, gone.count() + again.count()) & F.col("_worded"))
     # only rows that may have to go are dealt out by id
-    stay = flagged.where("not _maybe").select(*docs.columns)
-    return stay.unionByName(flagged.where("_maybe").join(gone, F.col(doc_id) == F.col("_gone"), "left_anti").select(*docs.columns))
+    stay = flagged.where("not _maybe").select(*own)
+    met = flagged.where("_maybe").join(gone, F.col("_key") == F.col("_gone"), "left_anti").dropDuplicates(["_key"])
+    return stay.unionByName(met.select(*own))

@@ -12,11 +12,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import column_udf, without
+from colloquy.llm.common import column_udf, store, without
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MAX_HOST_RATE = 0.5
+SMALL = 8 << 20  # bytes of a host table that is sent to all tasks
 
 METRICS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 NAMES = [x.split()[0] for x in METRICS.split(", ")]
@@ -64,20 +65,21 @@ def text_rules(docs: DataFrame, text: str = "text") -> DataFrame:
     return ruled.select(*rest, "_m.*").withColumn("base_failed", failed)
 
 
-def host_verdicts(ruled: DataFrame, host: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """One row a host: _host, host_docs, host_failed, host_rate (shrunken) and host_rejected.
+def host_verdicts(ruled: DataFrame, host: str = "source", max_rate: float = MAX_HOST_RATE) -> tuple[DataFrame, int]:
+    """One row a host: _host, host_docs, host_failed, host_rate (shrunken) and host_rejected; and the table's bytes.
 
     The beta prior has the corpus's failure rate as mean; its strength comes from the variance of the hosts'
     rates beyond what sampling explains (method of moments). Hosts that don't differ are pooled entirely. A null
     host is a host of its own.
     """
-    hosts = ruled.groupBy(F.col(host).alias("_host")).agg(F.count(F.lit(1)).alias("host_docs"), F.sum(F.col("base_failed").cast("long")).alias("host_failed"))
+    hosts = store(ruled.groupBy(F.col(host).alias("_host")).agg(F.count(F.lit(1)).alias("host_docs"), F.sum(F.col("base_failed").cast("long")).alias("host_failed")), "hosts")
     n, f = F.col("host_docs").cast("double"), F.col("host_failed").cast("double")
     # one row of sums comes to the driver, however many hosts there are
-    s = hosts.agg(F.count(F.lit(1)).alias("k"), F.sum(n).alias("n"), F.sum(f).alias("f"), F.sum(n * n).alias("nn"), F.sum(f * f / n).alias("ff")).first()
+    size = F.sum(F.coalesce(F.octet_length(F.col("_host").cast("string")), F.lit(0)) + 64)
+    s = hosts.agg(F.count(F.lit(1)).alias("k"), F.sum(n).alias("n"), F.sum(f).alias("f"), F.sum(n * n).alias("nn"), F.sum(f * f / n).alias("ff"), size.alias("bytes")).first()
     strength, mean = beta_prior(s["k"], s["n"] or 0.0, s["f"] or 0.0, s["nn"] or 0.0, s["ff"] or 0.0)
     rate = (f + F.lit(strength * mean)) / (n + F.lit(strength))
-    return hosts.withColumn("host_rate", rate).withColumn("host_rejected", F.col("host_rate") > max_rate)
+    return hosts.withColumn("host_rate", rate).withColumn("host_rejected", F.col("host_rate") > max_rate), s["bytes"] or 0
 
 
 #: Strengths outside these are the ends: hosts alike, or each on its own.
@@ -100,9 +102,11 @@ def beta_prior(k: int, n: float, f: float, nn: float, ff: float) -> tuple[float,
 
 def judge(ruled: DataFrame, host: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
     """ruled with host_rate and kept: false where the text or its host failed."""
-    verdicts = host_verdicts(ruled, host, max_rate).select("_host", F.col("host_rate").alias("_rate"), "host_rejected")
+    verdicts, size = host_verdicts(ruled, host, max_rate)
+    verdicts = verdicts.select("_host", F.col("host_rate").alias("_rate"), "host_rejected")
     rest = without(ruled, "host_rate", "kept", "_host", "_rate", "host_rejected")
-    # one row a host on the right: adaptive execution broadcasts it if it is small and splits hot hosts if not
+    # one row a host on the right: broadcast if it is small; if not, adaptive execution splits hot hosts
+    verdicts = F.broadcast(verdicts) if size <= SMALL else verdicts
     joined = ruled.select(*rest).join(verdicts, F.col(host).eqNullSafe(F.col("_host")), "left")
     return joined.select(*rest, F.col("_rate").alias("host_rate"), (~F.col("base_failed") & ~F.col("host_rejected")).alias("kept"))
 
@@ -111,7 +115,7 @@ def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", max
     """docs with metrics, base_failed, host_rate and kept, one row for each row of docs.
 
     Null and empty texts have no words and fail. Rows repeated are judged and counted each. Other columns pass
-    through, but for those named as the results. Texts are read twice (counts, then verdicts), never shuffled
-    unless the host table itself is too large to broadcast.
+    through, but for those named as the results. Texts are measured once and written with their metrics; they are
+    never shuffled unless the host table itself is too large to broadcast.
     """
-    return judge(text_rules(docs, text), host, max_rate)
+    return judge(store(text_rules(docs, text), "ruled"), host, max_rate)
