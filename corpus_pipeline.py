@@ -18,37 +18,51 @@ from colloquy.llm.quality_rules import quality_rules
 from colloquy.llm.secrets import redact_secrets
 
 
-def _counted(docs: DataFrame) -> DataFrame:
-    """n_chars, where there is one, follows the text."""
-    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
+#: The columns that stages work on; all others pass through them under other names, so that none can clash.
+OWN = ("doc_id", "text", "source", "n_chars")
+
+
+def _apart(docs: DataFrame) -> DataFrame:
+    """docs with the columns beyond OWN renamed by their position."""
+    return docs.select(*(F.col(f"`{c}`").alias(c if c in OWN else f"_c{i}") for i, c in enumerate(docs.columns)))
+
+
+def _back(out: DataFrame, docs: DataFrame) -> DataFrame:
+    """docs' columns again, in their order; n_chars, where there is one, follows the text."""
+    own = {c: F.col(c if c in OWN else f"_c{i}").alias(c) for i, c in enumerate(docs.columns)}
+    if "n_chars" in docs.columns:
+        length = F.length("text").cast(docs.schema["n_chars"].dataType)
+        own["n_chars"] = F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(length).alias("n_chars")
+    return out.select(*own.values())
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the rules, by themselves or with their host, go."""
+    """Documents that fail the rules, by themselves or with their host, go; null and empty texts are among them."""
     small_batches(spark)
-    return quality_rules(docs).where("kept").select(*docs.columns)
+    return _back(quality_rules(_apart(docs)).where("kept"), docs)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that many documents repeat stay in one of them."""
+    """Lines that many documents repeat stay in one of them; null texts become empty."""
     small_batches(spark)
-    return _counted(line_dedup(docs).select(*docs.columns))
+    return _back(line_dedup(_apart(docs)), docs)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, similarity 0.8) the smallest doc_id stays."""
+    """Of each group of near duplicates (five-word shingles, similarity 0.8) one row stays, that of the smallest
+    doc_id; rows of one doc_id are one document, and those without come after all others."""
     small_batches(spark)
-    return keep_one(docs)
+    return _back(keep_one(_apart(docs)), docs)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced in the texts; the documents stay."""
+    """Secrets are replaced in the texts; the documents stay, null texts too."""
     small_batches(spark)
-    return _counted(redact_secrets(docs))
+    return _back(redact_secrets(_apart(docs)), docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 2048 tokens and their places in the sequences."""
+    """Pieces of at most 2048 tokens and their places in the sequences; null texts are empty ones."""
     small_batches(spark)
     return best_fit_packing(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
