@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from colloquy.operators import inspect as summaries
 from colloquy.operators import tool_calls, usage
 from colloquy.plans import export
+from colloquy.schema import CANONICAL
 from colloquy.sources import scan
 from colloquy.sources.detect import FORMATS
 
@@ -40,7 +41,7 @@ def convert(spark: SparkSession, args) -> int:
     if args.output and len(args.inputs) > 1:
         raise Failure("--output takes a single input file")
     found = _imported(spark, args, "all")
-    bodies = export.export(found, args.to).orderBy("file", "thread_ord").collect()
+    bodies = export.export(found, args.to).orderBy("file", "conversation_ord").collect()
     for i, r in enumerate(bodies):
         text = r["body"] if args.to == "markdown" else export.pretty(r["body"])
         if args.output:
@@ -50,13 +51,13 @@ def convert(spark: SparkSession, args) -> int:
             print(f"wrote {path}", file=sys.stderr)
         else:
             if len(bodies) > 1:
-                print(f"=== {r['file']} [{r['thread_ord'] + 1}] ===", file=sys.stderr)
+                print(f"=== {r['file']} [{r['conversation_ord'] + 1}] ===", file=sys.stderr)
             print(text)
     return 0
 
 
 def inspect(spark: SparkSession, args) -> int:
-    rows = summaries.summaries(_imported(spark, args, "all")).orderBy("file", "thread_ord").collect()
+    rows = summaries.summaries(_imported(spark, args, "all")).orderBy("file", "conversation_ord").collect()
     for i, r in enumerate(rows):
         if len(rows) > 1:
             print(f"=== conversation {i + 1} ===")
@@ -76,7 +77,7 @@ def rows(spark: SparkSession, args) -> int:
     since = usage.window_start(args.window, int(time.time() * 1000))
     found = _imported(spark, args, strict=False)
     flat = tool_calls.tool_call_rows(found, since)
-    lines = (tool_calls.rows_csv if args.csv else tool_calls.rows_jsonl)(flat).orderBy("_file_ord", "_file", "_thread_ord", "_pos")
+    lines = (tool_calls.rows_csv if args.csv else tool_calls.rows_jsonl)(flat).orderBy("_file_ord", "_file", "_conversation_ord", "_pos")
     if args.csv:
         print(tool_calls.csv_header())
     for r in lines.select("line").toLocalIterator():
@@ -99,7 +100,7 @@ def formats(spark, args) -> int:
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="colloquy", description=__doc__)
     verbs = top.add_subparsers(dest="verb", required=True)
-    for name, run, text in (("convert", convert, "write conversations in another format"), ("inspect", inspect, "summarize files"), ("usage", roll_up, "token usage by model, day, thread or source"), ("rows", rows, "one row a tool call, as JSON lines or CSV"), ("formats", formats, "list formats")):
+    for name, run, text in (("convert", convert, "write conversations in another format"), ("inspect", inspect, "summarize files"), ("usage", roll_up, "token usage by model, day, conversation or source"), ("rows", rows, "one row a tool call, as JSON lines or CSV"), ("formats", formats, "list formats")):
         v = verbs.add_parser(name, help=text)
         v.set_defaults(run=run)
         if name == "formats":
@@ -107,12 +108,12 @@ def parser() -> argparse.ArgumentParser:
         v.add_argument("inputs", nargs=1 if name == "inspect" else "+")
         v.add_argument("-f", "--from", dest="format", default="auto", choices=("auto", *FORMATS))
         if name == "convert":
-            v.add_argument("-t", "--to", default="thread", choices=export.FORMATS)
+            v.add_argument("-t", "--to", default=CANONICAL, choices=export.FORMATS)
             v.add_argument("-o", "--output")
         if name in ("usage", "rows"):
             v.add_argument("--window", help="the last N days, for example 30d")
         if name == "usage":
-            v.add_argument("--by", default="model", choices=usage.DIMENSIONS)
+            v.add_argument("--by", default="model", choices=(*usage.DIMENSIONS, CANONICAL), help=f"{CANONICAL} is another word for conversation")
             v.add_argument("--json", action="store_true")
         if name == "rows":
             v.add_argument("--csv", action="store_true")

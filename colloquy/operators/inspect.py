@@ -18,8 +18,8 @@ def summaries(imported: DataFrame) -> DataFrame:
     preview = text_prefix(F.replace(text_content(first_user["content"]), F.lit("\n"), F.lit(" ")), PREVIEW)
     calls = F.aggregate(F.filter("_m", lambda m: m["role"] == "assistant"), F.lit(0), lambda n, m: n + F.size(parts(m["content"], "tool_call")))
     by_role = F.transform(F.array_distinct(roles), lambda r: F.struct(r.alias("role"), F.size(F.filter(roles, lambda x: x == r)).cast("long").alias("n")))
-    return imported.where("thread is not null").withColumnRenamed("messages", "_m").select(
-        "file", "format", "thread_ord", "thread.thread_id", "thread.title", "thread.cwd", "thread.source_version", iso(F.col("thread.created_at")).alias("created"), iso(F.col("thread.updated_at")).alias("updated"),
+    return imported.where("conversation is not null").withColumnRenamed("messages", "_m").select(
+        "file", "format", "conversation_ord", "conversation.conversation_id", "conversation.title", "conversation.cwd", "conversation.source_version", iso(F.col("conversation.created_at")).alias("created"), iso(F.col("conversation.updated_at")).alias("updated"),
         F.size("_m").cast("long").alias("messages"), by_role.alias("by_role"), calls.cast("long").alias("tool_calls"), F.nullif(preview, F.lit("")).alias("preview"),
     )
 
@@ -27,7 +27,7 @@ def summaries(imported: DataFrame) -> DataFrame:
 def summary_text(row) -> str:
     """One summary as lines of text."""
     known = [("title", row["title"]), ("cwd", row["cwd"]), ("version", row["source_version"])]
-    lines = [("format", row["format"]), ("threadId", row["thread_id"]), *((k, v) for k, v in known if v), ("created", row["created"]), ("updated", row["updated"]), ("messages", row["messages"])]
+    lines = [("format", row["format"]), ("threadId", row["conversation_id"]), *((k, v) for k, v in known if v), ("created", row["created"]), ("updated", row["updated"]), ("messages", row["messages"])]
     lines += [("by role", " ".join(f"{r['role']}={r['n']}" for r in row["by_role"])), ("toolCalls", row["tool_calls"])]
     if row["preview"]:
         lines.append(("first msg", row["preview"]))

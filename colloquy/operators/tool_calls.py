@@ -25,27 +25,27 @@ def pair(calls: DataFrame, results: DataFrame, scope: list[str]) -> DataFrame:
 
 
 def tool_call_rows(imported: DataFrame, since: int | None = None) -> DataFrame:
-    """COLUMNS for each call of imported conversations, and _file_ord, _file, _thread_ord, _pos to order by.
+    """COLUMNS for each call of imported conversations, and _file_ord, _file, _conversation_ord, _pos to order by.
 
     since filters by the call's time. resultChars counts the text of the result in UTF-16 units.
     """
-    scope = ["_file_ord", "_file", "_thread_ord"]
-    t = imported.where("thread is not null").select(F.col("file_ord").alias("_file_ord"), F.col("file").alias("_file"), F.col("thread_ord").alias("_thread_ord"), "thread", F.posexplode("messages").alias("_seq", "m"))
+    scope = ["_file_ord", "_file", "_conversation_ord"]
+    t = imported.where("conversation is not null").select(F.col("file_ord").alias("_file_ord"), F.col("file").alias("_file"), F.col("conversation_ord").alias("_conversation_ord"), "conversation", F.posexplode("messages").alias("_seq", "m"))
     spoken = t.where("m.role = 'assistant'")
     if since is not None:
         # calls of one id stand for their first: filtering must not promote a later one
         spoken = spoken.withColumn("_in", F.col("m.ts_ms") >= since)
     else:
         spoken = spoken.withColumn("_in", F.lit(True))
-    calls = spoken.select(*scope, "_in", "thread", "m.ts_ms", "m.model", "m.provider", "_seq", F.posexplode("m.content").alias("_part", "p")).where("p.type = 'tool_call'")
-    calls = calls.select(*scope, "_in", "thread", "ts_ms", "model", "provider", F.col("p.tool_call").alias("c"), F.col("p.tool_call.id").alias("call_id"), F.struct("_seq", "_part").alias("pos"))
+    calls = spoken.select(*scope, "_in", "conversation", "m.ts_ms", "m.model", "m.provider", "_seq", F.posexplode("m.content").alias("_part", "p")).where("p.type = 'tool_call'")
+    calls = calls.select(*scope, "_in", "conversation", "ts_ms", "model", "provider", F.col("p.tool_call").alias("c"), F.col("p.tool_call.id").alias("call_id"), F.struct("_seq", "_part").alias("pos"))
     results = t.where("m.role = 'tool'").select(*scope, "_seq", F.posexplode("m.tool_results").alias("_part", "r"))
     chars = F.aggregate(F.filter("r.content", lambda p: p["type"] == "text"), F.lit(0).cast("long"), lambda n, p: n + text_length(p["text"]))
     results = results.select(*scope, F.col("r.tool_call_id").alias("call_id"), F.struct("_seq", "_part").alias("pos"), F.col("r.is_error").alias("is_error"), chars.alias("chars"))
     rows = pair(calls, results, scope).where("_in")
     return rows.select(
-        *scope, F.col("pos").alias("_pos"), "thread.source", F.col("thread.source_version").alias("sourceVersion"), "thread.cwd", F.col("thread.git.branch").alias("gitBranch"),
-        F.col("thread.thread_id").alias("threadId"), F.col("ts_ms").alias("timestamp"), "model", "provider", F.col("call_id").alias("toolCallId"), F.col("c.name").alias("tool"),
+        *scope, F.col("pos").alias("_pos"), "conversation.source", F.col("conversation.source_version").alias("sourceVersion"), "conversation.cwd", F.col("conversation.git.branch").alias("gitBranch"),
+        F.col("conversation.conversation_id").alias("threadId"), F.col("ts_ms").alias("timestamp"), "model", "provider", F.col("call_id").alias("toolCallId"), F.col("c.name").alias("tool"),
         F.col("c.arguments").alias("arguments"), F.col("c.parsed_arguments").alias("parsedArguments"), F.col("c.derived").alias("derived"), F.col("is_error").alias("isError"), F.col("chars").alias("resultChars"),
     )
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from colloquy.functions.columns import day
 
-DIMENSIONS = ("model", "day", "thread", "source")
+DIMENSIONS = ("model", "day", "conversation", "source")
 COUNTS = ("messages", "messages_without_usage", "input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens")
 
 
@@ -27,20 +27,20 @@ def window_start(window: str | None, now_ms: int) -> int | None:
 def usage(messages: DataFrame, by: str = "model", since: int | None = None) -> DataFrame:
     """One row a key, ascending: messages (with usage) and those without, token sums, duplicates_skipped.
 
-    messages has conversation_id, source, message_id, role, ts_ms, model, usage, file_ord, thread_ord and seq. The
+    messages has conversation_id, source, message_id, role, ts_ms, model, usage, file_ord, conversation_ord and seq. The
     first copy of a (conversation, message) in input order counts; each later copy adds one to duplicates_skipped of
     its own key. Only messages from since on (inclusive) take part. reasoning_tokens and reasoning_messages are null
     where no message of the key reports reasoning. The key column is named key.
     """
     if by not in DIMENSIONS:
         raise ValueError(f"cannot group usage by {by!r} (one of: {', '.join(DIMENSIONS)})")
-    key = {"model": F.coalesce("model", F.lit("unknown")), "day": day(F.col("ts_ms")), "thread": F.col("conversation_id"), "source": F.coalesce("source", F.lit("(no source)"))}[by]
+    key = {"model": F.coalesce("model", F.lit("unknown")), "day": day(F.col("ts_ms")), "conversation": F.col("conversation_id"), "source": F.coalesce("source", F.lit("(no source)"))}[by]
     m = messages.where("role = 'assistant'")
     if since is not None:
         m = m.where(F.col("ts_ms") >= since)
-    copies = Window.partitionBy("conversation_id", "message_id").orderBy("file_ord", "file", "thread_ord", "seq") if "file" in messages.columns else Window.partitionBy("conversation_id", "message_id").orderBy("file_ord", "thread_ord", "seq")
+    copies = Window.partitionBy("conversation_id", "message_id").orderBy("file_ord", "file", "conversation_ord", "seq") if "file" in messages.columns else Window.partitionBy("conversation_id", "message_id").orderBy("file_ord", "conversation_ord", "seq")
     # only what is summed travels to the window
-    m = m.select("conversation_id", "message_id", *(c for c in ("file", "file_ord", "thread_ord", "seq") if c in messages.columns), key.alias("key"), "usage").withColumn("_first", F.row_number().over(copies) == 1)
+    m = m.select("conversation_id", "message_id", *(c for c in ("file", "file_ord", "conversation_ord", "seq") if c in messages.columns), key.alias("key"), "usage").withColumn("_first", F.row_number().over(copies) == 1)
     own = F.col("_first") & F.col("usage").isNotNull()
     total = lambda name: F.sum(F.when(own, F.coalesce(F.col(f"usage.{name}"), F.lit(0))).otherwise(0)).cast("long").alias(name)
     thinks = own & F.col("usage.reasoning_tokens").isNotNull()

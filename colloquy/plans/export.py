@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.functions.columns import call_input, fence, iso, json_text, result_text, text_content, text_length, text_prefix
-from colloquy.schema import VERSION
+from colloquy.schema import CANONICAL, VERSION
 
-FORMATS = ("thread", "openai-chat", "anthropic-messages", "gemini", "markdown")
+FORMATS = (CANONICAL, "openai-chat", "anthropic-messages", "gemini", "markdown")
 MAX_RESULT = 2000
 
 
@@ -191,35 +191,35 @@ def _message_json(m: Column) -> Column:
     results = F.transform(m["tool_results"], lambda r: _obj(("toolCallId", json_text(r["tool_call_id"])), ("name", json_text(r["name"])), ("content", _arr(F.transform(r["content"], lambda p: _part_json(p, F.lit(False))))), ("isError", r["is_error"].cast("string")), ("structuredResult", r["structured_result"])))
     content = F.transform(m["content"], lambda p: _part_json(p, spoken))
     return _obj(
-        ("id", json_text(m["message_id"])), ("threadId", json_text(m["thread_id"])), ("role", json_text(m["role"])), ("timestamp", _number(m["ts_ms"])), ("metadata", m["metadata"]),
+        ("id", json_text(m["message_id"])), ("threadId", json_text(m["conversation_id"])), ("role", json_text(m["role"])), ("timestamp", _number(m["ts_ms"])), ("metadata", m["metadata"]),
         ("content", F.when(m["role"] != "tool", _arr(content))), ("toolResults", F.when(m["role"] == "tool", _arr(results))),
         ("model", json_text(m["model"])), ("provider", json_text(m["provider"])), ("usage", usage), ("finishReason", json_text(m["finish_reason"])),
     )
 
 
-def thread_json(thread: Column, messages: Column) -> Column:
-    git = F.when(thread["git"].isNotNull(), _obj(*((k, json_text(thread["git"][k])) for k in ("repo", "branch", "commit"))))
-    tags = F.when(thread["tags"].isNotNull(), _arr(F.transform(thread["tags"], json_text)))
-    meta = _obj(("title", json_text(thread["title"])), ("tags", tags), ("source", json_text(thread["source"])), ("sourceVersion", json_text(thread["source_version"])), ("cwd", json_text(thread["cwd"])), ("git", git), ("custom", thread["custom"]))
+def canonical_json(conversation: Column, messages: Column) -> Column:
+    git = F.when(conversation["git"].isNotNull(), _obj(*((k, json_text(conversation["git"][k])) for k in ("repo", "branch", "commit"))))
+    tags = F.when(conversation["tags"].isNotNull(), _arr(F.transform(conversation["tags"], json_text)))
+    meta = _obj(("title", json_text(conversation["title"])), ("tags", tags), ("source", json_text(conversation["source"])), ("sourceVersion", json_text(conversation["source_version"])), ("cwd", json_text(conversation["cwd"])), ("git", git), ("custom", conversation["custom"]))
     return _obj(
-        ("schemaVersion", json_text(F.coalesce(thread["schema_version"], F.lit(VERSION)))), ("id", json_text(thread["thread_id"])), ("messages", _arr(F.transform(messages, _message_json))),
-        ("metadata", F.nullif(meta, F.lit("{}"))), ("createdAt", _number(thread["created_at"])), ("updatedAt", _number(thread["updated_at"])),
+        ("schemaVersion", json_text(F.coalesce(conversation["schema_version"], F.lit(VERSION)))), ("id", json_text(conversation["conversation_id"])), ("messages", _arr(F.transform(messages, _message_json))),
+        ("metadata", F.nullif(meta, F.lit("{}"))), ("createdAt", _number(conversation["created_at"])), ("updatedAt", _number(conversation["updated_at"])),
     )
 
 
 # --- Markdown -------------------------------------------------------------------------------------------------
 
 
-def markdown(thread: Column, messages: Column, metadata: bool = True, timestamps: bool = True, with_reasoning: bool = True, with_tools: bool = True, max_result: int = MAX_RESULT) -> Column:
+def markdown(conversation: Column, messages: Column, metadata: bool = True, timestamps: bool = True, with_reasoning: bool = True, with_tools: bool = True, max_result: int = MAX_RESULT) -> Column:
     """A readable page. It is lines joined by newlines; results beyond max_result UTF-16 units are cut, and say so."""
     lines = lambda *xs: F.array(*(F.lit(x) if isinstance(x, str) else x for x in xs))
     none = F.array().cast("array<string>")
     said = lambda name, c: F.when(F.length(c) > 0, F.concat(F.lit(f"{name}: "), json_text(c)))
-    tags = F.when(F.size(thread["tags"]) > 0, F.concat(F.lit("tags: ["), F.array_join(F.transform(thread["tags"], json_text), ", "), F.lit("]")))
-    title = F.coalesce(thread["title"], F.concat(F.lit("Thread "), thread["thread_id"]))
+    tags = F.when(F.size(conversation["tags"]) > 0, F.concat(F.lit("tags: ["), F.array_join(F.transform(conversation["tags"], json_text), ", "), F.lit("]")))
+    title = F.coalesce(conversation["title"], F.concat(F.lit("Thread "), conversation["conversation_id"]))
     head = F.array_compact(lines(
-        "---", F.concat(F.lit("title: "), json_text(title)), F.concat(F.lit("id: "), json_text(thread["thread_id"])), F.concat(F.lit("created: "), iso(thread["created_at"])), F.concat(F.lit("updated: "), iso(thread["updated_at"])),
-        said("source", thread["source"]), said("sourceVersion", thread["source_version"]), said("cwd", thread["cwd"]), said("branch", thread["git"]["branch"]), tags, "---", "",
+        "---", F.concat(F.lit("title: "), json_text(title)), F.concat(F.lit("id: "), json_text(conversation["conversation_id"])), F.concat(F.lit("created: "), iso(conversation["created_at"])), F.concat(F.lit("updated: "), iso(conversation["updated_at"])),
+        said("source", conversation["source"]), said("sourceVersion", conversation["source_version"]), said("cwd", conversation["cwd"]), said("branch", conversation["git"]["branch"]), tags, "---", "",
     ))
     image = lambda p: lines(F.concat(F.lit("*[image: "), p["media_type"], F.lit("]*")), "")
     asked = lambda p: F.when(p["type"] == "text", lines(p["text"], "")).when(p["type"] == "image", image(p)).otherwise(lines(F.concat(F.lit("*[file: "), p["name"], F.lit(" ("), p["media_type"], F.lit(")]*")), ""))
@@ -255,19 +255,19 @@ def markdown(thread: Column, messages: Column, metadata: bool = True, timestamps
 
 
 def export(imported: DataFrame, form: str, **options) -> DataFrame:
-    """(file, thread_ord, thread_id, body) of each conversation in one of FORMATS."""
+    """(file, conversation_ord, conversation_id, body) of each conversation in one of FORMATS."""
     if form not in FORMATS:
         raise ValueError(f"unknown output format {form!r} (one of: {', '.join(FORMATS)})")
-    t, m = F.col("thread"), F.col("messages")
+    t, m = F.col("conversation"), F.col("messages")
     system = json_text(system_prompt(m))
     body = {
-        "thread": lambda: thread_json(t, m),
+        CANONICAL: lambda: canonical_json(t, m),
         "openai-chat": lambda: _arr(openai_messages(m)),
         "anthropic-messages": lambda: _obj(("system", system), ("messages", _arr(anthropic_messages(m)))),
         "gemini": lambda: _obj(("systemInstruction", F.when(system.isNotNull(), _obj(("parts", _arr(F.array(_obj(("text", system)))))))), ("contents", _arr(gemini_contents(m)))),
         "markdown": lambda: markdown(t, m, **options),
     }[form]()
-    return imported.where("thread is not null").select("file", "thread_ord", "thread.thread_id", body.alias("body"))
+    return imported.where("conversation is not null").select("file", "conversation_ord", "conversation.conversation_id", body.alias("body"))
 
 
 def numbered(path: str, i: int, total: int) -> str:

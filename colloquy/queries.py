@@ -13,10 +13,11 @@ from colloquy.functions.columns import iso, json_text
 from colloquy.operators import inspect as summaries
 from colloquy.operators import sequence
 from colloquy.operators import tool_calls as calls
-from colloquy.operators.usage import usage
+from colloquy.operators.usage import DIMENSIONS, usage
 from colloquy.plans import export
-from colloquy.schema import MESSAGE_DDL, THREAD_DDL
+from colloquy.schema import CANONICAL, CONVERSATION_DDL, MESSAGE_DDL
 from colloquy.sources import scan
+from colloquy.sources.detect import FORMATS
 from colloquy.streaming import importer as streaming
 
 #: Times that synthesized transcripts carry: one second a turn from here on.
@@ -40,7 +41,7 @@ def usage_messages(spark: SparkSession, sf_dir: str, thinking: bool = False) ->
     m = e.select(
         F.col("user_id").cast("string").alias("conversation_id"), F.when(F.col("k") % 4 > 0, F.concat(F.lit("s"), (F.col("k") % 4).cast("string"))).alias("source"), F.col("event_id").cast("string").alias("message_id"),
         F.lit("assistant").alias("role"), F.floor(F.col("us") / 1000).cast("long").alias("ts_ms"), F.when(F.col("event_type") != "purchase", F.col("event_type")).alias("model"),
-        F.when(F.col("event_type") != "error", usage_of).alias("usage"), F.lit(0).alias("file_ord"), F.lit(0).alias("thread_ord"), F.col("event_id").alias("seq"),
+        F.when(F.col("event_type") != "error", usage_of).alias("usage"), F.lit(0).alias("file_ord"), F.lit(0).alias("conversation_ord"), F.col("event_id").alias("seq"),
     )
     again = m.where("seq % 7 = 0").withColumn("file_ord", F.lit(1)).withColumn("model", F.when(F.col("seq") % 14 == 0, F.lit("other")).otherwise(F.col("model")))
     return m.unionByName(again)
@@ -57,7 +58,7 @@ select key, count(*) filter (fst and has) as messages, count(*) filter (fst and
   nullif(count(r) filter (fst and has), 0) as reasoning_messages, count(*) filter (not fst) as duplicates_skipped
 from d group by key
 """
-_KEYS = {"model": "coalesce(model, 'unknown')", "day": "strftime(make_timestamp(ts_ms * 1000), '%Y-%m-%d')", "thread": "conv", "source": "coalesce(source, '(no source)')"}
+_KEYS = {"model": "coalesce(model, 'unknown')", "day": "strftime(make_timestamp(ts_ms * 1000), '%Y-%m-%d')", "conversation": "conv", "source": "coalesce(source, '(no source)')"}
 SINCE = 1_705_000_000_000
 
 
@@ -105,29 +106,36 @@ def tool_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- conversations --------------------------------------------------------------------------------------------
 
 
-def conversations(spark: SparkSession, sf_dir: str, keep: Column | None = None) -> DataFrame:
-    """The conversations table as imported conversations: no transcript in between."""
-    c = _t(spark, sf_dir, "conversations")
-    c = c if keep is None else c.where(keep)
+def repeated_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations table with every third turn spoken by the user, so that turns of one role meet."""
+    return _t(spark, sf_dir, "conversations").withColumn("role", F.when((F.col("turn") % 3 == 1) & (F.col("role") != "system"), "user").otherwise(F.col("role")))
+
+
+_REPEATED_SQL = "(select conv_id, turn, case when turn % 3 = 1 and role <> 'system' then 'user' else role end as role, text from conversations)"
+
+
+def conversations(spark: SparkSession, sf_dir: str, table: DataFrame | None = None) -> DataFrame:
+    """The conversations table, or one like it, as imported conversations: no transcript in between."""
+    c = _t(spark, sf_dir, "conversations") if table is None else table
     part = F.from_json(F.concat(F.lit('{"type":"text","text":'), json_text(F.col("text")), F.lit("}")), MESSAGE_DDL.split("content:array<", 1)[1].split(">,tool_results", 1)[0])
     m = F.from_json(F.lit("{}"), MESSAGE_DDL)
-    for name, value in (("message_id", F.col("turn").cast("string")), ("thread_id", F.col("conv_id").cast("string")), ("role", F.col("role")), ("ts_ms", F.lit(BASE_MS) + F.col("turn") * 1000), ("model", F.when(F.col("role") == "assistant", "m1")), ("content", F.array(part))):
+    for name, value in (("message_id", F.col("turn").cast("string")), ("conversation_id", F.col("conv_id").cast("string")), ("role", F.col("role")), ("ts_ms", F.lit(BASE_MS) + F.col("turn") * 1000), ("model", F.when(F.col("role") == "assistant", "m1")), ("content", F.array(part))):
         m = m.withField(name, value)
     rows = c.select("conv_id", F.struct("turn", m.alias("m")).alias("x")).groupBy("conv_id").agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    t = F.from_json(F.lit("{}"), THREAD_DDL)
+    t = F.from_json(F.lit("{}"), CONVERSATION_DDL)
     first, last = F.get("messages", F.lit(0))["ts_ms"], F.element_at("messages", -1)["ts_ms"]
-    rows = rows.select(F.col("conv_id").cast("string").alias("file"), F.lit(0).alias("file_ord"), F.lit("table").alias("format"), F.lit("ok").alias("status"), F.lit(0).alias("thread_ord"), F.transform("xs", lambda x: x["m"]).alias("messages"))
-    return rows.withColumn("thread", t.withField("thread_id", F.col("file")).withField("source", F.lit("table")).withField("created_at", first).withField("updated_at", last))
+    rows = rows.select(F.col("conv_id").cast("string").alias("file"), F.lit(0).alias("file_ord"), F.lit("table").alias("format"), F.lit("ok").alias("status"), F.lit(0).alias("conversation_ord"), F.transform("xs", lambda x: x["m"]).alias("messages"))
+    return rows.withColumn("conversation", t.withField("conversation_id", F.col("file")).withField("source", F.lit("table")).withField("created_at", first).withField("updated_at", last))
 
 
 def inspect_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = summaries.summaries(conversations(spark, sf_dir))
     n = lambda role: F.coalesce(F.get(F.filter("by_role", lambda r: r["role"] == role), F.lit(0))["n"], F.lit(0)).alias(f"n_{role}")
-    return s.select("thread_id", "messages", n("user"), n("assistant"), n("system"), "tool_calls", "preview", "created", "updated")
+    return s.select("conversation_id", "messages", n("user"), n("assistant"), n("system"), "tool_calls", "preview", "created", "updated")
 
 
 _INSPECT_SQL = f"""
-select cast(conv_id as varchar) as thread_id, count(*) as messages, count(*) filter (role = 'user') as n_user, count(*) filter (role = 'assistant') as n_assistant, count(*) filter (role = 'system') as n_system,
+select cast(conv_id as varchar) as conversation_id, count(*) as messages, count(*) filter (role = 'user') as n_user, count(*) filter (role = 'assistant') as n_assistant, count(*) filter (role = 'system') as n_system,
   cast(0 as bigint) as tool_calls, nullif(substr(replace(arg_min(text, turn) filter (role = 'user'), chr(10), ' '), 1, 100), '') as preview,
   strftime(make_timestamp(({BASE_MS} + min(turn) * 1000) * 1000), '%Y-%m-%dT%H:%M:%S.000Z') as created, strftime(make_timestamp(({BASE_MS} + max(turn) * 1000) * 1000), '%Y-%m-%dT%H:%M:%S.000Z') as updated
 from conversations group by conv_id
@@ -135,31 +143,32 @@ from conversations group by conv_id
 
 
 def _export_query(form: str):
-    return lambda spark, sf_dir: export.export(conversations(spark, sf_dir, F.col("turn") % 3 != 1 if form in ("anthropic-messages", "gemini") else None), form).select("thread_id", "body")
+    merging = form in ("anthropic-messages", "gemini")
+    return lambda spark, sf_dir: export.export(conversations(spark, sf_dir, repeated_roles(spark, sf_dir) if merging else None), form).select("conversation_id", "body")
 
 
 _MERGED_SQL = """
-with c as (select conv_id, turn, case when role = 'assistant' then '{other}' else 'user' end as role, text, row_number() over (partition by conv_id order by turn) as n from conversations where turn % 3 <> 1 and role <> 'system'{nonempty}),
+with c as (select conv_id, turn, case when role = 'assistant' then '{other}' else 'user' end as role, text, row_number() over (partition by conv_id order by turn) as n from {table} where role <> 'system'{nonempty}),
 b as (select *, coalesce(lag(role) over (partition by conv_id order by turn) <> role, true) as begins from c),
 i as (select *, sum(cast(begins as int)) over (partition by conv_id order by turn) as island from b),
 t as (select conv_id, island, any_value(role) as role, string_agg('{before}' || to_json(text) || '}}', ',' order by turn) as parts from i group by conv_id, island),
 m as (select conv_id, string_agg('{{"role":"' || role || '","{key}":[' || parts || ']}}', ',' order by island) as body from t group by conv_id),
-s as (select conv_id, string_agg(text, chr(10) || chr(10) order by turn) filter (role = 'system' and text <> '') as system from conversations where turn % 3 <> 1 group by conv_id)
-select cast(s.conv_id as varchar) as thread_id, '{{' || coalesce({system} || ',', '') || '"{name}":[' || coalesce(body, '') || ']}}' as body from s left join m using (conv_id)
+s as (select conv_id, string_agg(text, chr(10) || chr(10) order by turn) filter (role = 'system' and text <> '') as system from conversations group by conv_id)
+select cast(s.conv_id as varchar) as conversation_id, '{{' || coalesce({system} || ',', '') || '"{name}":[' || coalesce(body, '') || ']}}' as body from s left join m using (conv_id)
 """
-_ANTHROPIC_SQL = _MERGED_SQL.format(other="assistant", nonempty=" and text <> ''", before='{"type":"text","text":', key="content", system="""'"system":' || to_json(system)""", name="messages")
-_GEMINI_SQL = _MERGED_SQL.format(other="model", nonempty="", before='{"text":', key="parts", system="""'"systemInstruction":{"parts":[{"text":' || to_json(system) || '}]}'""", name="contents")
+_ANTHROPIC_SQL = _MERGED_SQL.format(table=_REPEATED_SQL, other="assistant", nonempty=" and text <> ''", before='{"type":"text","text":', key="content", system="""'"system":' || to_json(system)""", name="messages")
+_GEMINI_SQL = _MERGED_SQL.format(table=_REPEATED_SQL, other="model", nonempty="", before='{"text":', key="parts", system="""'"systemInstruction":{"parts":[{"text":' || to_json(system) || '}]}'""", name="contents")
 _OPENAI_SQL = """
-select cast(conv_id as varchar) as thread_id, '[' || coalesce(string_agg('{"role":"' || role || '","content":' || to_json(text) || '}', ',' order by turn) filter (text <> ''), '') || ']' as body from conversations group by conv_id
+select cast(conv_id as varchar) as conversation_id, '[' || coalesce(string_agg('{"role":"' || role || '","content":' || to_json(text) || '}', ',' order by turn) filter (text <> ''), '') || ']' as body from conversations group by conv_id
 """
-_THREAD_SQL = f"""
-select cast(conv_id as varchar) as thread_id, '{{"schemaVersion":"1.1.0","id":"' || conv_id || '","messages":[' || string_agg('{{"id":"' || turn || '","threadId":"' || conv_id || '","role":"' || role || '","timestamp":' || ({BASE_MS} + turn * 1000) || ',"content":[{{"type":"text","text":' || to_json(text) || '}}]' || case when role = 'assistant' then ',"model":"m1"' else '' end || '}}', ',' order by turn)
+_CANONICAL_SQL = f"""
+select cast(conv_id as varchar) as conversation_id, '{{"schemaVersion":"1.1.0","id":"' || conv_id || '","messages":[' || string_agg('{{"id":"' || turn || '","threadId":"' || conv_id || '","role":"' || role || '","timestamp":' || ({BASE_MS} + turn * 1000) || ',"content":[{{"type":"text","text":' || to_json(text) || '}}]' || case when role = 'assistant' then ',"model":"m1"' else '' end || '}}', ',' order by turn)
   || '],"metadata":{{"source":"table"}},"createdAt":' || ({BASE_MS} + min(turn) * 1000) || ',"updatedAt":' || ({BASE_MS} + max(turn) * 1000) || '}}' as body
 from conversations group by conv_id
 """
 _ISO_SQL = "strftime(make_timestamp(({} * 1000 + %d) * 1000), '%%Y-%%m-%%dT%%H:%%M:%%S.000Z')" % BASE_MS
 _MARKDOWN_SQL = f"""
-select cast(conv_id as varchar) as thread_id, '---' || chr(10) || 'title: "Thread ' || conv_id || '"' || chr(10) || 'id: "' || conv_id || '"' || chr(10) || 'created: ' || {_ISO_SQL.format("min(turn)")} || chr(10) || 'updated: ' || {_ISO_SQL.format("max(turn)")} || chr(10) || 'source: "table"' || chr(10) || '---' || chr(10) || chr(10)
+select cast(conv_id as varchar) as conversation_id, '---' || chr(10) || 'title: "Thread ' || conv_id || '"' || chr(10) || 'id: "' || conv_id || '"' || chr(10) || 'created: ' || {_ISO_SQL.format("min(turn)")} || chr(10) || 'updated: ' || {_ISO_SQL.format("max(turn)")} || chr(10) || 'source: "table"' || chr(10) || '---' || chr(10) || chr(10)
   || string_agg('## ' || case role when 'user' then 'User' when 'system' then 'System' else 'Assistant (m1)' end || ' — ' || {_ISO_SQL.format("turn")} || chr(10) || chr(10) || text || chr(10), chr(10) order by turn) as body
 from conversations group by conv_id
 """
@@ -167,20 +176,20 @@ from conversations group by conv_id
 
 def system_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = conversations(spark, sf_dir)
-    return c.select(F.col("file").alias("thread_id"), export.system_prompt(F.col("messages")).alias("system"))
+    return c.select(F.col("file").alias("conversation_id"), export.system_prompt(F.col("messages")).alias("system"))
 
 
-_SYSTEM_SQL = "select cast(conv_id as varchar) as thread_id, string_agg(text, chr(10) || chr(10) order by turn) filter (role = 'system' and text <> '') as system from conversations group by conv_id"
+_SYSTEM_SQL = "select cast(conv_id as varchar) as conversation_id, string_agg(text, chr(10) || chr(10) order by turn) filter (role = 'system' and text <> '') as system from conversations group by conv_id"
 
 
 def role_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _t(spark, sf_dir, "conversations").where("turn % 3 <> 1 and role <> 'system'")
+    c = repeated_roles(spark, sf_dir).where("role <> 'system'")
     i = sequence.islands(c, "role", ["conv_id"], ["turn"])
     return i.groupBy("conv_id", "island").agg(F.first("role").alias("role"), F.count(F.lit(1)).alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n").alias("text"))
 
 
-_ISLAND_SQL = """
-with b as (select *, coalesce(lag(role) over (partition by conv_id order by turn) <> role, true) as begins from conversations where turn % 3 <> 1 and role <> 'system'),
+_ISLAND_SQL = f"""
+with b as (select *, coalesce(lag(role) over (partition by conv_id order by turn) <> role, true) as begins from {_REPEATED_SQL} where role <> 'system'),
 i as (select *, cast(sum(cast(begins as int)) over (partition by conv_id order by turn) as bigint) as island from b)
 select conv_id, island, any_value(role) as role, count(*) as n, string_agg(text, chr(10) order by turn) as text from i group by conv_id, island
 """
@@ -239,8 +248,9 @@ def _cat(*xs) -> Column:
 
 
 def transcripts(spark: SparkSession, sf_dir: str, form: str) -> DataFrame:
-    """Every conversation, without its system turns, as a transcript of one format."""
-    c = _t(spark, sf_dir, "conversations").where("role <> 'system'")
+    """Every conversation as a transcript of one format, with its system turns where the format has such."""
+    c = _t(spark, sf_dir, "conversations")
+    c = c if form in WITH_SYSTEM else c.where("role <> 'system'")
     text, conv, turn, role = json_text(F.col("text")), F.col("conv_id"), F.col("turn"), F.col("role")
     ms = F.lit(BASE_MS) + turn * 1000
     assistant = role == "assistant"
@@ -273,14 +283,19 @@ def transcripts(spark: SparkSession, sf_dir: str, form: str) -> DataFrame:
         left = F.when(turn == last, _cat(',"x":{"parent":"n', turn, '","children":[],"message":{"id":"x","author":{"role":"user"},"content":{"content_type":"text","parts":["left"]}}},"root":{"parent":null,"children":[]}},"current_node":"n', turn, '"}')).otherwise("")
         c = c.withColumn("_line", F.concat(node, left))
         return _doc(c, F.col("_line"), head=_cat('{"id":"', conv, '","mapping":{'), join=",")
-    return export.export(conversations(spark, sf_dir, F.col("role") != "system"), "thread").select(F.concat("thread_id", F.lit(".json")).alias("file"), F.lit(0).alias("file_ord"), F.col("body").alias("content"))
+    return export.export(conversations(spark, sf_dir), CANONICAL).select(F.concat("conversation_id", F.lit(".json")).alias("file"), F.lit(0).alias("file_ord"), F.col("body").alias("content"))
 
 
 def _by_conv():
     return Window.partitionBy("conv_id").orderBy("turn")
 
 
-FORMATS = ("claude-code", "codex", "opencode", "kiro", "pi", "muse", "chatgpt-export", "thread")
+#: Formats whose transcripts can hold system turns.
+WITH_SYSTEM = ("codex", "chatgpt-export", CANONICAL)
+
+
+def _name(form: str) -> str:
+    return "canonical" if form == CANONICAL else form.replace("-", "_")
 
 
 def _import_query(form: str):
@@ -296,18 +311,19 @@ def _import_sql(form: str) -> str:
     # only prompts carry a time there; what follows inherits it
     ts = f"{BASE_MS} + max(case when role = 'user' then turn end) over (partition by conv_id order by turn rows unbounded preceding) * 1000" if form == "kiro" else f"{BASE_MS} + turn * 1000"
     usage = ("case when role = 'assistant' then turn + 6 end", "case when role = 'assistant' then turn end") if form == "codex" else ("cast(null as bigint)", "cast(null as bigint)")
-    return f"select cast(conv_id as varchar) as conversation_id, row_number() over (partition by conv_id order by turn) - 1 as seq, role, {ts} as ts_ms, text, {usage[0]} as input_tokens, {usage[1]} as output_tokens from conversations where role <> 'system'"
+    return f"select cast(conv_id as varchar) as conversation_id, row_number() over (partition by conv_id order by turn) - 1 as seq, role, {ts} as ts_ms, text, {usage[0]} as input_tokens, {usage[1]} as output_tokens from conversations" + ("" if form in WITH_SYSTEM else " where role <> 'system'")
 
 
 def detect_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation written in every format; the name of its file says which."""
     docs = None
-    for i, form in enumerate(FORMATS):
-        part = transcripts(spark, sf_dir, form).where(F.substring_index("file", ".", 1).cast("long") % 8 == i)
+    for form in FORMATS:
+        part = transcripts(spark, sf_dir, form).withColumn("file", F.concat(F.lit(form + "/"), F.substring_index("file", ".", 1)))
         docs = part if docs is None else docs.unionByName(part)
-    return scan.detect_formats(docs).select(F.substring_index("file", ".", 1).cast("long").alias("conv_id"), "format")
+    return scan.detect_formats(docs).select(F.substring_index("file", "/", -1).cast("long").alias("conv_id"), F.substring_index("file", "/", 1).alias("written"), "format")
 
 
-_DETECT_SQL = "select distinct conv_id, case conv_id % 8 " + " ".join(f"when {i} then '{f}'" for i, f in enumerate(FORMATS)) + " end as format from conversations where role <> 'system'"
+_DETECT_SQL = "select conv_id, form as written, form as format from (select conv_id, bool_or(role <> 'system') as spoken, unnest([" + ", ".join(f"'{f}'" for f in FORMATS) + "]) as form from conversations group by conv_id) where spoken or form in (" + ", ".join(f"'{f}'" for f in WITH_SYSTEM) + ")"
 
 
 def claude_merge_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -368,19 +384,19 @@ _STREAM_SQL = f"select cast(conv_id as varchar) as conversation_id, row_number()
 
 
 QUERIES = {
-    **{f"usage_by_{d}": _usage_query(d) for d in ("model", "day", "thread", "source")},
+    **{f"usage_by_{d}": _usage_query(d) for d in DIMENSIONS},
     "usage_since": _usage_query("model", SINCE),
     "usage_reasoning_partial": _usage_query("source", None, True),
     "tool_call_rows": tool_call_rows,
     "tool_call_rows_csv": tool_call_rows_csv,
     "tool_error_rate": tool_error_rate,
     "inspect_summary": inspect_summary,
-    **{f"import_{f.replace('-', '_')}": _import_query(f) for f in FORMATS},
+    **{f"import_{_name(f)}": _import_query(f) for f in FORMATS},
     "detect_format": detect_format,
     "claude_merge_split": claude_merge_split,
     "codex_token_attribution": codex_token_attribution,
     "chatgpt_path": chatgpt_path,
-    **{f"export_{f.replace('-', '_')}": _export_query(f) for f in export.FORMATS},
+    **{f"export_{_name(f)}": _export_query(f) for f in export.FORMATS},
     "system_prompt": system_prompt,
     "role_merge": role_merge,
     "ts_fill_forward": ts_fill_forward,
@@ -391,19 +407,19 @@ QUERIES = {
 }
 
 ORACLES = {
-    **{f"usage_by_{d}": _usage_sql(d) for d in ("model", "day", "thread", "source")},
+    **{f"usage_by_{d}": _usage_sql(d) for d in DIMENSIONS},
     "usage_since": _usage_sql("model", SINCE),
     "usage_reasoning_partial": _usage_sql("source", 0, True),
     "tool_call_rows": _PAIRS_SQL + "select * from p",
     "tool_call_rows_csv": _PAIRS_SQL + """select pos, user_id || ',' || call_id || ',' || '"' || replace(props, '"', '""') || '"' || ',' || coalesce(cast(is_error as varchar), '') || ',' || coalesce(cast(chars as varchar), '') as line from p""",
     "tool_error_rate": _PAIRS_SQL + "select call_id, count(*) as n_calls, count(*) filter (is_error) as n_errors, count(*) filter (is_error is null) as n_unpaired, cast(sum(chars) as bigint) as chars from p group by call_id",
     "inspect_summary": _INSPECT_SQL,
-    **{f"import_{f.replace('-', '_')}": _import_sql(f) for f in FORMATS},
+    **{f"import_{_name(f)}": _import_sql(f) for f in FORMATS},
     "detect_format": _DETECT_SQL,
     "claude_merge_split": _SPLIT_SQL,
     "codex_token_attribution": _ATTRIBUTION_SQL,
     "chatgpt_path": _PATH_SQL,
-    "export_thread": _THREAD_SQL,
+    "export_canonical": _CANONICAL_SQL,
     "export_openai_chat": _OPENAI_SQL,
     "export_anthropic_messages": _ANTHROPIC_SQL,
     "export_gemini": _GEMINI_SQL,

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 VERSION = "1.1.0"
+CANONICAL = "thread"  # fixed value: what the canonical format is called
 ROLES = ("user", "assistant", "system", "tool")
 FINISH_REASONS = ("stop", "length", "tool_calls", "content_filter", "error", "cancelled")
 DETAILS = ("auto", "low", "high")
@@ -20,15 +21,15 @@ PART_DDL = (
 USAGE_DDL = "struct<input_tokens:bigint,output_tokens:bigint,reasoning_tokens:bigint,cache_read_tokens:bigint,cache_write_tokens:bigint>"
 RESULT_DDL = f"struct<tool_call_id:string,name:string,content:array<{PART_DDL}>,is_error:boolean,structured_result:string>"
 MESSAGE_DDL = (
-    f"struct<message_id:string,thread_id:string,role:string,ts_ms:bigint,model:string,provider:string,finish_reason:string,"
+    f"struct<message_id:string,conversation_id:string,role:string,ts_ms:bigint,model:string,provider:string,finish_reason:string,"
     f"usage:{USAGE_DDL},content:array<{PART_DDL}>,tool_results:array<{RESULT_DDL}>,metadata:string>"
 )
-THREAD_DDL = (
-    "struct<thread_id:string,source:string,source_version:string,title:string,tags:array<string>,cwd:string,"
+CONVERSATION_DDL = (
+    "struct<conversation_id:string,source:string,source_version:string,title:string,tags:array<string>,cwd:string,"
     "git:struct<repo:string,branch:string,commit:string>,custom:string,created_at:bigint,updated_at:bigint,schema_version:string>"
 )
 #: What importing gives: a row a conversation, or a row that says why a file has none.
-IMPORTED_DDL = f"struct<file:string,file_ord:int,format:string,status:string,error:string,warnings:array<string>,thread_ord:int,thread:{THREAD_DDL},messages:array<{MESSAGE_DDL}>>"
+IMPORTED_DDL = f"struct<file:string,file_ord:int,format:string,status:string,error:string,warnings:array<string>,conversation_ord:int,conversation:{CONVERSATION_DDL},messages:array<{MESSAGE_DDL}>>"
 
 
 _SIMPLE = {"string": T.StringType, "bigint": T.LongType, "int": T.IntegerType, "boolean": T.BooleanType}
@@ -61,9 +62,9 @@ class Invalid(ValueError):
     """A canonical document that breaks the schema; says where."""
 
 
-def message(message_id, thread_id, role, ts_ms, **rest) -> dict:
+def message(message_id, conversation_id, role, ts_ms, **rest) -> dict:
     out = dict.fromkeys(MESSAGE.names)
-    out.update(message_id=message_id, thread_id=thread_id, role=role, ts_ms=ts_ms, **rest)
+    out.update(message_id=message_id, conversation_id=conversation_id, role=role, ts_ms=ts_ms, **rest)
     return out
 
 
@@ -91,8 +92,8 @@ def result(call_id: str, name: str, content: list[dict], is_error: bool | None =
     return {"tool_call_id": call_id, "name": name, "content": content, "is_error": is_error, "structured_result": structured}
 
 
-def thread(thread_id: str, source: str | None, messages: list[dict], **rest) -> dict:
-    out = {"thread_id": thread_id, "source": source, "source_version": None, "title": None, "tags": None, "cwd": None, "git": None, "custom": None, "schema_version": VERSION}
+def conversation(conversation_id: str, source: str | None, messages: list[dict], **rest) -> dict:
+    out = {"conversation_id": conversation_id, "source": source, "source_version": None, "title": None, "tags": None, "cwd": None, "git": None, "custom": None, "schema_version": VERSION}
     out.update(created_at=messages[0]["ts_ms"] if messages else None, updated_at=messages[-1]["ts_ms"] if messages else None)
     out.update({k: v for k, v in rest.items() if v is not None})
     return out

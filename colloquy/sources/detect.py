@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from colloquy.functions.values import MISSING, is_number, record, try_parse
+from colloquy.schema import CANONICAL
 
-FORMATS = ("claude-code", "codex", "opencode", "kiro", "pi", "muse", "chatgpt-export", "thread")
+FORMATS = ("claude-code", "codex", "opencode", "kiro", "pi", "muse", "chatgpt-export", CANONICAL)
 SCAN = 200  # lines looked at when the first decides nothing
 
 
@@ -62,10 +63,10 @@ def detect(content: str) -> str | None:
     if _muse(d):
         return "muse"
     if "schemaVersion" in d and "messages" in d:
-        return "thread"
+        return CANONICAL
     if isinstance(d.get("messages"), list):
         head = record(d["messages"][0]) if d["messages"] else None
         if head and "parts" in head and "info" in head:
             return "opencode"
-        return "thread" if "id" in d and "createdAt" in d else "opencode" if "info" in d else None
+        return CANONICAL if "id" in d and "createdAt" in d else "opencode" if "info" in d else None
     return None

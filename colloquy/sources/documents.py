@@ -1,12 +1,12 @@
 """Importers of formats that are one JSON document a file. Each gives (conversations, warnings), a conversation
-being (thread, messages)."""
+being (head, messages)."""
 
 from __future__ import annotations
 
 import math
 
 from colloquy.functions.values import count, dump, dump_record, is_number, nonempty, parse_json, record, rounded, string, timestamp, try_parse
-from colloquy.schema import DETAILS, FINISH_REASONS, Invalid, call_part, file_part, image_part, message, reasoning_part, result, text_part, thread
+from colloquy.schema import CANONICAL, DETAILS, FINISH_REASONS, Invalid, call_part, file_part, image_part, message, reasoning_part, result, text_part, conversation
 from colloquy.sources.jsonl import NoConversation, _opt, _usage
 
 Conversations = tuple[list[tuple[dict, list[dict]]], list[str]]
@@ -20,12 +20,12 @@ def _document(content: str, what: str):
 
 
 class _Ids:
-    def __init__(self, thread_id: str):
-        self.thread_id, self.n = thread_id, 0
+    def __init__(self, conversation_id: str):
+        self.conversation_id, self.n = conversation_id, 0
 
     def __call__(self, prefix: str | None = None) -> str:
         self.n += 1
-        return f"{prefix or self.thread_id}:{self.n}"
+        return f"{prefix or self.conversation_id}:{self.n}"
 
 
 _str = lambda v: isinstance(v, str)
@@ -92,7 +92,7 @@ def opencode(content: str, now_ms: int = 0, session_id: str | None = None) -> Co
     if not out:
         raise NoConversation("opencode: nothing to import")
     time = info.get("time", {})
-    return [(thread(tid, "opencode", out, source_version=info.get("version"), cwd=info.get("directory"), title=info.get("title"), created_at=timestamp(time.get("created")), updated_at=timestamp(time.get("updated"))), out)], []
+    return [(conversation(tid, "opencode", out, source_version=info.get("version"), cwd=info.get("directory"), title=info.get("title"), created_at=timestamp(time.get("created")), updated_at=timestamp(time.get("updated"))), out)], []
 
 
 def _leaf_chain(mapping: dict[str, dict], current) -> list[str]:
@@ -171,7 +171,7 @@ def chatgpt(content: str, now_ms: int = 0, session_id: str | None = None) -> Con
             out.append(message(m["id"], tid, role, at, content=parts, **extra))
         if out:
             custom = dump({"chatgptAbandonedBranchMessages": lost}) if lost else None
-            found.append((thread(tid, "chatgpt-export", out, title=c.get("title"), custom=custom, created_at=ms(c, "create_time"), updated_at=ms(c, "update_time")), out))
+            found.append((conversation(tid, "chatgpt-export", out, title=c.get("title"), custom=custom, created_at=ms(c, "create_time"), updated_at=ms(c, "update_time")), out))
     said = [f"chatgpt-export: skipped {skipped} conversation(s) of another shape"] if skipped else []
     return found, said + ([f"chatgpt-export: {lost_all} message(s) on other branches were not imported"] if lost_all else [])
 
@@ -367,7 +367,7 @@ def muse(content: str, now_ms: int = 0, session_id: str | None = None) -> Conver
             (n["gaps"], "gap marker(s) without a record"),
             (n["undecodable"], "record(s) without a readable payload were skipped"),
             (len(r.waiting), "response(s) reported usage but gave no message; that usage is not represented"),
-            (len(sessions) if len(sessions) > 1 else 0, f"sessions were imported into one thread ({tid})"),
+            (len(sessions) if len(sessions) > 1 else 0, f"sessions were imported into one conversation ({tid})"),
             (n["malformed"], "run event(s) of a known kind but another shape were dropped"),
             (n["orphaned"], "completion(s) without a response were dropped"),
         )
@@ -375,7 +375,7 @@ def muse(content: str, now_ms: int = 0, session_id: str | None = None) -> Conver
     ]
     branch = r.facts.get("branch")
     git = {"repo": None, "branch": branch, "commit": None} if branch else None
-    t = thread(tid, "muse", r.out, source_version=r.facts.get("version"), cwd=r.facts.get("cwd"), git=git, custom=dump(custom) if custom else None, created_at=r.began, updated_at=r.ended)
+    t = conversation(tid, "muse", r.out, source_version=r.facts.get("version"), cwd=r.facts.get("cwd"), git=git, custom=dump(custom) if custom else None, created_at=r.began, updated_at=r.ended)
     return [(t, r.out)], said
 
 
@@ -384,7 +384,7 @@ def muse(content: str, now_ms: int = 0, session_id: str | None = None) -> Conver
 
 def _must(ok: bool, where: str) -> None:
     if not ok:
-        raise Invalid(f"thread: {where}")
+        raise Invalid(f"conversation: {where}")
 
 
 def _text(d: dict, key: str, where: str, least: int = 0, optional: bool = False) -> str | None:
@@ -472,19 +472,19 @@ def _message_in(d: dict, where: str) -> dict:
 
 def canonical(content: str, now_ms: int = 0, session_id: str | None = None) -> Conversations:
     """Canonical JSON, validated: Invalid tells the first field that breaks the schema."""
-    d = _document(content, "thread")
+    d = _document(content, "conversation")
     _must(isinstance(d, dict), "not an object")
-    messages = [_message_in(m, f"messages[{i}]") for i, m in enumerate(_array(d, "messages", "thread"))]
+    messages = [_message_in(m, f"messages[{i}]") for i, m in enumerate(_array(d, "messages", "conversation"))]
     meta = d.get("metadata", {})
     _must(isinstance(meta, dict), "metadata")
     git, tags = meta.get("git"), meta.get("tags")
     _must("git" not in meta or isinstance(git, dict), "metadata.git")
     _must("tags" not in meta or isinstance(tags, list) and all(map(_str, tags)), "metadata.tags")
-    t = thread(_text(d, "id", "thread", 1), None, messages)
+    t = conversation(_text(d, "id", "conversation", 1), None, messages)
     t.update({k: _text(meta, name, "metadata", optional=True) for k, name in (("source", "source"), ("source_version", "sourceVersion"), ("title", "title"), ("cwd", "cwd"))})
     t.update(tags=tags, git={k: _text(git, k, "metadata.git", optional=True) for k in ("repo", "branch", "commit")} if git is not None else None, custom=_open(meta, "custom", "metadata"))
-    t.update(created_at=_whole(d, "createdAt", "thread", 1), updated_at=_whole(d, "updatedAt", "thread", 1), schema_version=_text(d, "schemaVersion", "thread", optional=True))
+    t.update(created_at=_whole(d, "createdAt", "conversation", 1), updated_at=_whole(d, "updatedAt", "conversation", 1), schema_version=_text(d, "schemaVersion", "conversation", optional=True))
     return [(t, messages)], []
 
 
-DOCUMENT_IMPORTERS = {"opencode": opencode, "muse": muse, "chatgpt-export": chatgpt, "thread": canonical}
+DOCUMENT_IMPORTERS = {"opencode": opencode, "muse": muse, "chatgpt-export": chatgpt, CANONICAL: canonical}

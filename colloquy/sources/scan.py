@@ -47,8 +47,8 @@ def _importer(form: str, file: str, now_ms: int, sidechains: bool):
 def _rows(file: str, file_ord: int, form: str | None, found, error: str | None = None, status: str = "ok", warnings: Iterable[str] = ()) -> list[dict]:
     base = {"file": file, "file_ord": file_ord, "format": form, "status": status, "error": error, "warnings": list(warnings)}
     if not found:
-        return [base | {"status": "empty" if status == "ok" else status, "thread_ord": None, "thread": None, "messages": None}]
-    return [base | {"warnings": base["warnings"] if i == 0 else [], "thread_ord": i, "thread": t, "messages": m} for i, (t, m) in enumerate(found)]
+        return [base | {"status": "empty" if status == "ok" else status, "conversation_ord": None, "conversation": None, "messages": None}]
+    return [base | {"warnings": base["warnings"] if i == 0 else [], "conversation_ord": i, "conversation": t, "messages": m} for i, (t, m) in enumerate(found)]
 
 
 def import_text(content: str, file: str = "", file_ord: int = 0, form: str = "auto", now_ms: int = 0, include_sidechains: bool = False) -> list[dict]:
@@ -173,15 +173,15 @@ def read_transcripts(spark: SparkSession, paths: str | list[str], form: str = "a
     return imported
 
 
-def threads(imported: DataFrame) -> DataFrame:
+def conversations(imported: DataFrame) -> DataFrame:
     """One row a conversation."""
-    return imported.where("thread is not null").select("file", "file_ord", "thread_ord", "thread.*")
+    return imported.where("conversation is not null").select("file", "file_ord", "conversation_ord", "conversation.*")
 
 
 def messages(imported: DataFrame) -> DataFrame:
     """One row a message, with its conversation's source and title columns beside it."""
-    t = imported.where("thread is not null").select("file", "file_ord", "thread_ord", F.col("thread.thread_id").alias("thread"), "thread.source", F.posexplode("messages").alias("seq", "m"))
-    return t.select("file", "file_ord", "thread_ord", "seq", F.col("thread").alias("conversation_id"), "source", "m.*")
+    t = imported.where("conversation is not null").select("file", "file_ord", "conversation_ord", "conversation.source", F.posexplode("messages").alias("seq", "m"))
+    return t.select("file", "file_ord", "conversation_ord", "seq", "source", "m.*")
 
 
 def warnings(imported: DataFrame) -> DataFrame:

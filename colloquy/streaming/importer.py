@@ -52,12 +52,12 @@ class Session:
         out = []
         for i, m in enumerate(messages):
             text = clean(json.dumps(m, ensure_ascii=False, default=str))
-            mark = str(hash_text(head["thread_id"] + text))
+            mark = str(hash_text(head["conversation_id"] + text))
             if i == len(self.sent):
                 self.sent.append("")
             if self.sent[i] != mark:
                 self.sent[i] = mark
-                out.append((self.file, head["thread_id"], i, self.version, text))
+                out.append((self.file, head["conversation_id"], i, self.version, text))
         return out
 
 
@@ -100,7 +100,7 @@ def upserts(changes: DataFrame) -> DataFrame:
     """The present messages of accumulated UPSERT rows: conversation_id, seq and a message's columns."""
     last = Window.partitionBy("file", "seq").orderBy(F.desc("version"))
     now = changes.withColumn("_n", F.row_number().over(last)).where("_n = 1")
-    return now.select("file", "conversation_id", "seq", F.from_json("message", MESSAGE_DDL).alias("m")).select("file", "conversation_id", "seq", "m.*")
+    return now.select("file", "seq", F.from_json("message", MESSAGE_DDL).alias("m")).select("file", "seq", "m.*")
 
 
 def replay(docs: DataFrame, form: str, batches: int = 3, now_ms: int = 0) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import pytest
 
 from colloquy.functions import values as V
+from colloquy.schema import CANONICAL
 from colloquy.sources.detect import detect
 from colloquy.sources.documents import canonical, chatgpt, muse, opencode
 from colloquy.sources.jsonl import LINE_IMPORTERS, ClaudeCode, Codex, Kiro, NoConversation, Pi, derive_exec
@@ -43,7 +44,7 @@ def test_split_assistant_lines_become_one_message():
     c = ClaudeCode(now_ms=7)
     c.push(CLAUDE)
     t, m = c.conversation()
-    assert (t["title"], t["thread_id"], t["source"]) == ("late", "s1", "claude-code")
+    assert (t["title"], t["conversation_id"], t["source"]) == ("late", "s1", "claude-code")
     assert roles(m) == ["user", "assistant", "tool", "user", "tool"]
     a = m[1]
     assert [p["type"] for p in a["content"]] == ["reasoning", "tool_call"]
@@ -100,7 +101,7 @@ def test_rollout_folds_and_attributes_tokens():
     assert m[2]["tool_results"][0] == {"tool_call_id": "c1", "name": "exec", "content": [{"type": "text", "text": "fine"}], "is_error": None, "structured_result": None}
     assert m[3]["usage"]["input_tokens"] == 7  # held for the message that follows
     assert [x["model"] for x in m if x["role"] == "assistant"] == ["m1", "m1"]
-    assert {x["thread_id"] for x in m} == {"real"}
+    assert {x["conversation_id"] for x in m} == {"real"}
 
 
 def test_counts_without_a_message_are_summed_up():
@@ -153,7 +154,7 @@ def test_kiro_inherits_seconds():
         {"kind": "Compaction"}, {"kind": "Prompt"}, {"kind": "AssistantMessage", "data": {"content": []}},
     ))
     t, m = k.conversation()
-    assert roles(m) == ["user", "assistant", "tool"] and {x["ts_ms"] for x in m} == {5000} and t["thread_id"] == "f"
+    assert roles(m) == ["user", "assistant", "tool"] and {x["ts_ms"] for x in m} == {5000} and t["conversation_id"] == "f"
     assert m[0]["content"][1]["data"] == "AQL/" and m[0]["content"][1]["media_type"] == "image/gif"
     assert m[2]["tool_results"][0]["name"] == "" and m[2]["tool_results"][0]["is_error"] is True
     assert [p["text"] for p in m[2]["tool_results"][0]["content"]] == ['{"z":[1]}', "t"]
@@ -168,10 +169,10 @@ def test_pi_keeps_failed_turns():
         turn(role="assistant", content=[{"type": "text", "text": "a"}], usage={"input": 1.5, "output": 2, "cacheRead": -1}, stopReason="toolUse"), turn(role="toolResult", toolCallId="c", content=[{"type": "image"}, {"type": "text", "text": "t"}], isError=True),
     ))
     t, m = p.conversation()
-    assert roles(m) == ["user", "assistant", "assistant", "tool"] and t["thread_id"] == "sid" and t["source_version"] == "3"
+    assert roles(m) == ["user", "assistant", "assistant", "tool"] and t["conversation_id"] == "sid" and t["source_version"] == "3"
     assert m[1]["finish_reason"] == "error" and m[1]["metadata"] == '{"errorMessage":"boom"}' and p.s["skipped"] == 1
     assert m[2]["usage"]["input_tokens"] == 2 and m[2]["usage"]["cache_read_tokens"] is None
-    assert m[3]["tool_results"][0]["content"][0]["text"] == "[image]\nt" and {x["thread_id"] for x in m} == {"sid"}
+    assert m[3]["tool_results"][0]["content"][0]["text"] == "[image]\nt" and {x["conversation_id"] for x in m} == {"sid"}
 
 
 def test_opencode_splits_calls_and_results():
@@ -224,13 +225,13 @@ def test_chatgpt_walks_to_the_root():
     assert chatgpt("[]") == ([], [])
 
 
-THREAD = {"id": "t", "messages": [{"id": "1", "threadId": "t", "role": "user", "timestamp": 5, "content": [{"type": "text", "text": "x"}]}], "createdAt": 1, "updatedAt": 2}
+CANONICAL_DOC = {"id": "t", "messages": [{"id": "1", "threadId": "t", "role": "user", "timestamp": 5, "content": [{"type": "text", "text": "x"}]}], "createdAt": 1, "updatedAt": 2}
 
 
 def test_canonical_json_is_validated():
-    assert canonical(json.dumps(THREAD))[0][0][1][0]["content"] == [{"type": "text", "text": "x", "annotations": None}]
-    for path, value, where in ((("id",), "", "thread.id"), (("messages", 0, "role"), "robot", "role"), (("messages", 0, "timestamp"), 0, "timestamp"), (("createdAt",), 1.5, "createdAt"), (("messages", 0, "content", 0, "type"), "video", "type")):
-        bad = copy.deepcopy(THREAD)
+    assert canonical(json.dumps(CANONICAL_DOC))[0][0][1][0]["content"] == [{"type": "text", "text": "x", "annotations": None}]
+    for path, value, where in ((("id",), "", "conversation.id"), (("messages", 0, "role"), "robot", "role"), (("messages", 0, "timestamp"), 0, "timestamp"), (("createdAt",), 1.5, "createdAt"), (("messages", 0, "content", 0, "type"), "video", "type")):
+        bad = copy.deepcopy(CANONICAL_DOC)
         at = bad
         for p in path[:-1]:
             at = at[p]
@@ -241,7 +242,7 @@ def test_canonical_json_is_validated():
 
 @pytest.mark.parametrize(("text", "form"), [
     ("\n".join(CLAUDE), "claude-code"), ("\n".join(CODEX), "codex"), ('{"kind":"Prompt","data":1}', "kiro"), ('{"type":"session","cwd":1,"version":2}', "pi"), ('[{"mapping":{}}]', "chatgpt-export"), ('{"export_schema_version":1,"events":[],"sessions":[]}', "muse"),
-    (json.dumps(THREAD), "thread"), ('{"info":{},"messages":[]}', "opencode"), ("", None), ("not json", None), ("[1]", None), ('{"a":1}\n{"type":"session_meta"}', "codex"), ('{"kind":7,"data":1}', None), ('{"type":["x"]}', None),
+    (json.dumps(CANONICAL_DOC), CANONICAL), ('{"info":{},"messages":[]}', "opencode"), ("", None), ("not json", None), ("[1]", None), ('{"a":1}\n{"type":"session_meta"}', "codex"), ('{"kind":7,"data":1}', None), ('{"type":["x"]}', None),
 ])
 def test_detection(text, form):
     assert detect(text) == form

@@ -10,6 +10,7 @@ from colloquy.functions import columns as C
 from colloquy.operators import inspect as summaries
 from colloquy.operators import sequence, tool_calls, usage
 from colloquy.plans import export
+from colloquy.schema import CANONICAL
 from colloquy.sources import scan
 from colloquy.streaming import importer as streaming
 from tests.test_importers import CLAUDE, CODEX
@@ -119,10 +120,10 @@ def test_markdown_cannot_be_broken_out_of(sample):
 
 
 def test_canonical_json_round_trip(spark, sample):
-    text = export.export(sample, "thread").select(F.lit("f").alias("file"), F.lit(0).alias("file_ord"), F.col("body").alias("content"))
+    text = export.export(sample, CANONICAL).select(F.lit("f").alias("file"), F.lit(0).alias("file_ord"), F.col("body").alias("content"))
     back = scan.import_docs(text).first()
     have = sample.first()
-    assert back["messages"] == have["messages"] and back["thread"] == have["thread"]
+    assert back["messages"] == have["messages"] and back["conversation"] == have["conversation"]
     assert [export.numbered("a/b.json", i, 2) for i in (0, 1)] == ["a/b-1.json", "a/b-2.json"] and export.numbered("b", 0, 1) == "b" and export.numbered("x.y/b", 1, 2) == "x.y/b-2"
 
 
@@ -132,9 +133,9 @@ def test_merging_alternates_and_loses_nothing(spark):
     for i in range(30):
         ms = [rng.choice((B.user, B.assistant, B.system))(f"t{i}", rng.choice(("", "x", "y\n")), message_id=str(j), ts_ms=1) for j in range(rng.randint(0, 9))]
         cs.append(B.conversation(ms, f"t{i}"))
-    got = {r["thread_id"]: json.loads(r["body"])["messages"] for r in export.export(frame(spark, *cs), "anthropic-messages").collect()}
+    got = {r["conversation_id"]: json.loads(r["body"])["messages"] for r in export.export(frame(spark, *cs), "anthropic-messages").collect()}
     for c in cs:
-        m = got[c["thread"]["thread_id"]]
+        m = got[c["conversation"]["conversation_id"]]
         assert all(a["role"] != b["role"] for a, b in zip(m, m[1:], strict=False))
         want = [(x["role"], x["content"][0]["text"]) for x in c["messages"] if x["role"] != "system" and x["content"][0]["text"]]
         assert [(x["role"], p["text"]) for x in m for p in x["content"]] == want
@@ -170,7 +171,7 @@ def test_reading_files(spark, folder):
     found = scan.read_transcripts(spark, [str(folder / n) for n in ("a.jsonl", "b.jsonl", "empty.jsonl", "bad.txt")], now_ms=3).cache()
     state = {r["file"].rsplit("/", 1)[1]: (r["format"], r["status"], r["file_ord"]) for r in found.collect()}
     assert state == {"a.jsonl": ("claude-code", "ok", 0), "b.jsonl": ("codex", "ok", 1), "empty.jsonl": ("codex", "no_conversation", 2), "bad.txt": (None, "failed", 3)}
-    assert scan.threads(found).count() == 2 and scan.warnings(found).count() == 3
+    assert scan.conversations(found).count() == 2 and scan.warnings(found).count() == 3
     by_lines = scan.import_lines(scan.read_lines(spark, str(folder / "a.jsonl")), "claude-code", now_ms=3).first()
     assert by_lines["messages"] == found.where("file like '%/a.jsonl'").first()["messages"]
     with pytest.raises(Exception, match="not recognized"):
@@ -210,7 +211,7 @@ def test_stream_ends_where_a_batch_does(spark, tmp_path):
     now = streaming.upserts(spark.createDataFrame(changes, streaming.UPSERT)).orderBy("file", "seq").collect()
     docs = spark.createDataFrame([("a.jsonl", 0, "\n".join(CODEX)), ("b.jsonl", 0, "\n".join(CODEX[:7]))], "file string, file_ord int, content string")
     want = scan.messages(scan.import_docs(docs, "codex", now_ms=3)).orderBy("file", "seq").collect()
-    keep = ("file", "seq", "message_id", "thread_id", "role", "ts_ms", "model", "usage", "content", "tool_results", "metadata")
+    keep = ("file", "seq", "message_id", "conversation_id", "role", "ts_ms", "model", "usage", "content", "tool_results", "metadata")
     assert [[r[k] for k in keep] for r in now] == [[r[k] for k in keep] for r in want]
     replayed = streaming.replay(docs, "codex", batches=4, now_ms=3).orderBy("file", "seq").collect()
     assert [[r[k] for k in keep] for r in replayed] == [[r[k] for k in keep] for r in want]
