@@ -141,6 +141,9 @@ def test_exec_scrape_is_careful():
     assert derive_exec("""tools.a({"cmd": ["ls", "-l"], 'cmd': 'one'}); cmd: `two`""")["commands"] == ["ls -l", "one", "two"]
     many = derive_exec("tools.a();" + 'cmd: "x" ' * 40)
     assert len(many["commands"]) == 32 and many["commandsTruncated"]
+    assert derive_exec("""tools.a({my_cmd: "no", "x-cmd": "no", "cmd': "no", cmd : "a\\"b\\n", cmd: [bad], cmd: "open""")["commands"] == ['a"b\n']
+    assert derive_exec("tools.a({cmd: 'it\\'s', cmd: ``, cmd: [1, \"x]\"]})")["commands"] == ["it\\'s"]
+    assert "commandsTruncated" not in derive_exec("tools.a();" + 'cmd: "x" ' * 32)
     assert derive_exec('tools.a({cmd: "' + "y\\n" * 100_000 + '"})')["commands"][0].startswith("y\ny")
 
 
