@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions.columns import day
+from colloquy.schema import CANONICAL
 
 DIMENSIONS = ("model", "day", "conversation", "source")
 COUNTS = ("messages", "messages_without_usage", "input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens")
@@ -32,6 +33,7 @@ def usage(messages: DataFrame, by: str = "model", since: int | None = None) -> D
     its own key. Only messages from since on (inclusive) take part. reasoning_tokens and reasoning_messages are null
     where no message of the key reports reasoning. The key column is named key.
     """
+    by = "conversation" if by == CANONICAL else by
     if by not in DIMENSIONS:
         raise ValueError(f"cannot group usage by {by!r} (one of: {', '.join(DIMENSIONS)})")
     key = {"model": F.coalesce("model", F.lit("unknown")), "day": day(F.col("ts_ms")), "conversation": F.col("conversation_id"), "source": F.coalesce("source", F.lit("(no source)"))}[by]

@@ -85,17 +85,23 @@ def openai_messages(messages: Column) -> Column:
 # --- merging neighbours ---------------------------------------------------------------------------------------
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with value evaluated once however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def merged(turns: Column) -> Column:
-    """turns (role, items) with neighbours of one role as one; turns without items neither appear nor separate."""
-    turns = F.filter(turns, lambda t: F.size(t["items"]) > 0)
-    kind = "array<struct<role:string,items:array<string>>>"
+    """turns (role, items) with neighbours of one role as one; turns without items neither appear nor separate. Each
+    run of a role is cut out by where it and the next begin: work grows with the turns, not with their square."""
+    none = F.array().cast("array<int>")
 
-    def add(done: Column, t: Column) -> Column:
-        last = F.element_at(done, -1)
-        joined = F.array(F.struct(last["role"].alias("role"), F.concat(last["items"], t["items"]).alias("items")))
-        return F.when((F.size(done) > 0) & (F.get(done, F.size(done) - 1)["role"] == t["role"]), F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), joined)).otherwise(F.concat(done, F.array(t)))
+    def runs(ts: Column) -> Column:
+        differs = lambda i: (i == 0) | (F.get(ts, i)["role"] != F.get(ts, i - 1)["role"])
+        begins = F.when(F.size(ts) > 0, F.filter(F.sequence(F.lit(0), F.size(ts) - 1), differs)).otherwise(none)
+        run = lambda at, i, k: F.struct(F.get(ts, i)["role"].alias("role"), F.flatten(F.transform(F.slice(ts, i + 1, F.coalesce(F.get(at, k + 1), F.size(ts)) - i), lambda t: t["items"])).alias("items"))
+        return _let(begins, lambda at: F.transform(at, lambda i, k: run(at, i, k)))
 
-    return F.aggregate(turns, F.array().cast(kind), add)
+    return _let(F.filter(turns, lambda t: F.size(t["items"]) > 0), runs)
 
 
 def _turns(messages: Column, assistant: str, items) -> Column:
@@ -156,9 +162,15 @@ def _gemini_part(p: Column, spoken: Column) -> Column:
 
 def gemini_contents(messages: Column) -> Column:
     """A result without a name takes that of the last call with its id before it."""
+    own = lambda m, i: F.transform(F.filter(m["content"], lambda p: p["type"] == "tool_call"), lambda p: F.struct(i.alias("i"), p["tool_call"]["id"].alias("id"), p["tool_call"]["name"].alias("name")))
+    called = F.flatten(F.transform(messages, lambda m, i: F.when((m["role"] == "assistant") & m["content"].isNotNull(), own(m, i)).otherwise(F.array().cast("array<struct<i:int,id:string,name:string>>"))))
+    return _let(called, lambda calls: _gemini_turns(messages, calls))
+
+
+def _gemini_turns(messages: Column, calls: Column) -> Column:
     def name(r: Column, i: Column) -> Column:
-        before = F.flatten(F.transform(F.slice(messages, F.lit(1), i), lambda m: F.when(m["role"] == "assistant", F.transform(F.filter(m["content"], lambda p: (p["type"] == "tool_call") & (p["tool_call"]["id"] == r["tool_call_id"])), lambda p: p["tool_call"]["name"])).otherwise(F.array().cast("array<string>"))))
-        return F.coalesce(F.nullif(r["name"], F.lit("")), F.nullif(F.get(before, F.size(before) - 1), F.lit("")), F.lit("unknown"))
+        before = F.filter(calls, lambda c: (c["i"] < i) & (c["id"] == r["tool_call_id"]))
+        return F.coalesce(F.nullif(r["name"], F.lit("")), F.nullif(F.get(before, F.size(before) - 1)["name"], F.lit("")), F.lit("unknown"))
 
     response = lambda r, i: _obj(("functionResponse", _obj(("name", json_text(name(r, i))), ("response", _obj(("content", json_text(result_text(r["content"]))))))))
     turns = F.transform(messages, lambda m, i: F.struct(
