@@ -13,9 +13,10 @@ from colloquy.functions.columns import iso, json_text
 from colloquy.operators import inspect as summaries
 from colloquy.operators import sequence
 from colloquy.operators import tool_calls as calls
-from colloquy.operators.usage import DIMENSIONS, usage
+from colloquy.operators.usage import DIMENSIONS, UsageFold, usage
 from colloquy.plans import export
 from colloquy.schema import CANONICAL, CONVERSATION_DDL, MESSAGE_DDL
+from colloquy.shared import new_folder
 from colloquy.sources import scan
 from colloquy.sources.detect import FORMATS
 from colloquy.streaming import importer as streaming
@@ -375,14 +376,47 @@ def derive_exec(spark: SparkSession, sf_dir: str) -> DataFrame:
 _EXEC_SQL = "select event_id, 'exec' as tool, case when event_id % 2 = 0 then 'exec_command' else 'write_stdin' end as operation, 'run ' || event_id as command from events where event_type = 'click'"
 
 
+def _streamed(spark: SparkSession, sf_dir: str, form: str, parts: int = 3) -> DataFrame:
+    """Transcripts by lines through Structured Streaming, in several batches: what they changed."""
+    folder = new_folder(spark, "stream")
+    docs = transcripts(spark, sf_dir, form).select("file", F.split("content", "\n").alias("lines"))
+    rows = docs.select("file", F.size("lines").alias("n"), F.posexplode(F.concat("lines", F.array(F.lit(None).cast("string")))).alias("line_no", "value"))
+    for k in range(parts):  # the lines of a file arrive in order
+        own = rows.where(F.floor(F.col("line_no") * parts / (F.col("n") + 1)) == k)
+        own.select("file", F.col("line_no").cast("long").alias("line_no"), "value").repartition("file").write.parquet(f"{folder}/lines/{k}")
+    lines = spark.readStream.schema("file string, line_no long, value string").option("recursiveFileLookup", "true").parquet(f"{folder}/lines")
+    return streaming.import_stream(lines, form, folder)
+
+
 def stream_import(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same transcripts by lines, as a stream would read them; the state after the last line."""
-    return streaming.replay(transcripts(spark, sf_dir, "claude-code"), "claude-code").select("conversation_id", F.col("seq").cast("long").alias("seq"), "role", "ts_ms", F.array_join(F.transform("content", lambda p: p["text"]), "\n").alias("text"))
+    """The messages that stand after the last line."""
+    return streaming.upserts(_streamed(spark, sf_dir, "claude-code")).select("conversation_id", F.col("seq").cast("long").alias("seq"), "role", "ts_ms", F.array_join(F.transform("content", lambda p: p["text"]), "\n").alias("text"))
 
 
 _STREAM_SQL = f"select cast(conv_id as varchar) as conversation_id, row_number() over (partition by conv_id order by turn) - 1 as seq, role, {BASE_MS} + turn * 1000 as ts_ms, text from conversations where role <> 'system'"
 
 
+def stream_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations themselves, as the stream gives them."""
+    return streaming.heads(_streamed(spark, sf_dir, "codex")).select("conversation_id", "source", "cwd", "created_at", "updated_at", F.size("warnings").cast("long").alias("n_warnings"))
+
+
+_STREAM_HEADS_SQL = f"select cast(conv_id as varchar) as conversation_id, 'codex' as source, '/w' as cwd, {BASE_MS} + min(turn) * 1000 as created_at, {BASE_MS} + max(turn) * 1000 as updated_at, cast(0 as bigint) as n_warnings from conversations group by conv_id"
+
+
+def stream_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Usage folded batch by batch over a stream of messages: first those of one file, then copies in another."""
+    folder = new_folder(spark, "usage")
+    m = usage_messages(spark, sf_dir)
+    for k in (0, 1):
+        m.where(F.col("file_ord") == k).write.parquet(f"{folder}/messages/{k}")
+    fold = UsageFold(spark, f"{folder}/fold")
+    arriving = spark.readStream.schema(m.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 4).parquet(f"{folder}/messages")
+    write = arriving.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{folder}/checkpoint")
+    write.foreachBatch(lambda df, n: fold.add(df, n)).start().awaitTermination()
+    return fold.result()
+
+
 QUERIES = {
     **{f"usage_by_{d}": _usage_query(d) for d in DIMENSIONS},
     "usage_since": _usage_query("model", SINCE),
@@ -404,6 +438,8 @@ QUERIES = {
     "consumed_names": consumed_names,
     "derive_exec": derive_exec,
     "stream_import": stream_import,
+    "stream_conversations": stream_conversations,
+    "stream_usage": stream_usage,
 }
 
 ORACLES = {
@@ -429,4 +465,6 @@ ORACLES = {
     **_SEQUENCE_SQL,
     "derive_exec": _EXEC_SQL,
     "stream_import": _STREAM_SQL,
+    "stream_conversations": _STREAM_HEADS_SQL,
+    "stream_usage": _usage_sql("model"),
 }

@@ -2,6 +2,7 @@
 
 A later line can change a message that was announced (a split record, a token count, a model learnt late), so what
 comes out is not append-only: each row is the message's present form with a version, and upserts() keeps the last.
+A conversation's own columns come the same way, as row HEAD, with its warnings; heads() keeps the last.
 An end row (value null) finalizes its file, as a time-out could not know that no line will come.
 """
 
@@ -11,18 +12,18 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from colloquy.functions.values import clean
-from colloquy.schema import MESSAGE_DDL
+from colloquy.schema import CONVERSATION_DDL, MESSAGE_DDL
 from colloquy.sources.jsonl import LINE_IMPORTERS, NoConversation
 from colloquy.sources.scan import stem
 
+HEAD = -1  # in the place of a message's number
+
 #: A row a changed message: its JSON form, so that the state's schema need not follow the canonical one.
 UPSERT = T.StructType([T.StructField("file", T.StringType()), T.StructField("conversation_id", T.StringType()), T.StructField("seq", T.IntegerType()), T.StructField("version", T.LongType()), T.StructField("message", T.StringType())])
 
@@ -32,12 +33,12 @@ class Session:
 
     def __init__(self, form: str, file: str, now_ms: int, saved: str | None = None):
         self.form, self.file, self.now_ms = form, file, now_ms
-        held = json.loads(saved) if saved else {"state": None, "sent": [], "version": 0}
+        held = json.loads(saved) if saved else {"state": None, "sent": [], "version": 0, "head": ""}
         self.reader = LINE_IMPORTERS[form](now_ms, stem(file), state=held["state"])
-        self.sent, self.version = held["sent"], held["version"]
+        self.sent, self.version, self.head = held["sent"], held["version"], held["head"]
 
     def save(self) -> str:
-        return json.dumps({"state": self.reader.state(), "sent": self.sent, "version": self.version})
+        return json.dumps({"state": self.reader.state(), "sent": self.sent, "version": self.version, "head": self.head})
 
     def push(self, lines: list[str | None]) -> list[tuple]:
         """Rows of UPSERT for the messages that these lines, in order, add or change. None among them is the end."""
@@ -50,6 +51,10 @@ class Session:
             return []
         self.version += 1
         out = []
+        text = clean(json.dumps({"conversation": head, "warnings": self.reader.warnings()}, ensure_ascii=False, default=str))
+        if str(hash_text(text)) != self.head:
+            self.head = str(hash_text(text))
+            out.append((self.file, head["conversation_id"], HEAD, self.version, text))
         for i, m in enumerate(messages):
             text = clean(json.dumps(m, ensure_ascii=False, default=str))
             mark = str(hash_text(head["conversation_id"] + text))
@@ -96,30 +101,35 @@ def stream_messages(lines: DataFrame, form: str, now_ms: int = 0) -> DataFrame:
     return lines.groupBy("file").transformWithStateInPandas(Importer(form, now_ms), outputStructType=UPSERT, outputMode="Update", timeMode="None")
 
 
-def upserts(changes: DataFrame) -> DataFrame:
-    """The present messages of accumulated UPSERT rows: conversation_id, seq and a message's columns."""
-    last = Window.partitionBy("file", "seq").orderBy(F.desc("version"))
-    now = changes.withColumn("_n", F.row_number().over(last)).where("_n = 1")
-    return now.select("file", "seq", F.from_json("message", MESSAGE_DDL).alias("m")).select("file", "seq", "m.*")
-
-
-def replay(docs: DataFrame, form: str, batches: int = 3, now_ms: int = 0) -> DataFrame:
-    """Whole files (file, content) through the streaming importer in several batches, saved and restored between
-    them: what a stream would hold at its end."""
-    schema = T.StructType([*UPSERT.fields])
-
-    def run(it):
-        for b in it:
-            for file, content in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                lines = (content or "").split("\n")
-                step, saved, rows = max(1, -(-len(lines) // batches)), None, []
-                for i in range(0, len(lines), step):
-                    session = Session(form, file, now_ms, saved)
-                    rows += session.push(lines[i : i + step])
-                    saved = session.save()
-                rows += Session(form, file, now_ms, saved).push([None])
-                yield pa.RecordBatch.from_pylist([dict(zip(UPSERT.names, r, strict=True)) for r in rows], to_arrow_schema(schema))
-
-    return upserts(docs.select("file", "content").mapInArrow(run, schema))
+def _last(changes: DataFrame) -> DataFrame:
+    return changes.withColumn("_n", F.row_number().over(Window.partitionBy("file", "seq").orderBy(F.desc("version")))).where("_n = 1")
 
 
+def upserts(changes: DataFrame) -> DataFrame:
+    """The present messages of accumulated UPSERT rows, in the columns of scan.messages: what usage() reads. The
+    stream's files have no order among them: their names stand for it."""
+    now = _last(changes.where(F.col("seq") > HEAD)).select("file", "seq", F.from_json("message", MESSAGE_DDL).alias("m"))
+    source = heads(changes).select(F.col("file").alias("_file"), "source")
+    now = now.join(source, F.col("file") == F.col("_file"), "left")
+    return now.select("file", F.lit(0).alias("file_ord"), F.lit(0).alias("conversation_ord"), "seq", "source", "m.*")
+
+
+def heads(changes: DataFrame) -> DataFrame:
+    """The present conversations of accumulated UPSERT rows, a row a file: file, warnings and a conversation's columns."""
+    head = F.from_json("message", f"struct<conversation:{CONVERSATION_DDL},warnings:array<string>>").alias("h")
+    return _last(changes.where(F.col("seq") == HEAD)).select("file", head).select("file", "h.warnings", "h.conversation.*")
+
+
+def import_stream(lines: DataFrame, form: str, folder: str, now_ms: int = 0) -> DataFrame:
+    """All that a streaming (file, line_no, value) has now, imported: the UPSERT rows in folder. A batch that runs
+    again after a failure overwrites what it wrote."""
+    spark = lines.sparkSession
+    name, rocks = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rocks)
+    try:
+        write = stream_messages(lines, form, now_ms).writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", f"{folder}/checkpoint")
+        write.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{folder}/changes/batch={n}")).start().awaitTermination()
+    finally:
+        spark.conf.set(name, before)
+    return spark.read.schema(UPSERT).parquet(f"{folder}/changes")

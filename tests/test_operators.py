@@ -213,5 +213,22 @@ def test_stream_ends_where_a_batch_does(spark, tmp_path):
     want = scan.messages(scan.import_docs(docs, "codex", now_ms=3)).orderBy("file", "seq").collect()
     keep = ("file", "seq", "message_id", "conversation_id", "role", "ts_ms", "model", "usage", "content", "tool_results", "metadata")
     assert [[r[k] for k in keep] for r in now] == [[r[k] for k in keep] for r in want]
-    replayed = streaming.replay(docs, "codex", batches=4, now_ms=3).orderBy("file", "seq").collect()
-    assert [[r[k] for k in keep] for r in replayed] == [[r[k] for k in keep] for r in want]
+    heads = {r["file"]: r for r in streaming.heads(spark.createDataFrame(changes, streaming.UPSERT)).collect()}
+    for r in scan.conversations(scan.import_docs(docs, "codex", now_ms=3)).collect():
+        assert all(heads[r["file"]][k] == r[k] for k in ("conversation_id", "source", "cwd", "git", "title", "custom", "created_at", "updated_at"))
+    rolled = lambda m: [tuple(r) for r in usage.usage(m).collect()]
+    assert rolled(streaming.upserts(spark.createDataFrame(changes, streaming.UPSERT))) == rolled(scan.messages(scan.import_docs(docs, "codex", now_ms=3)))
+
+
+def test_usage_folds_batches_as_if_they_were_one(spark, tmp_path):
+    say = lambda conv, message, model, tokens, source="s": (conv, source, message, "assistant", 5, model, None if tokens is None else (tokens, 1, None, None, None), 0, 0, 0)
+    kind = f"conversation_id string, source string, message_id string, role string, ts_ms long, model string, usage {schema.USAGE_DDL}, file_ord int, conversation_ord int, seq int"
+    batches = [[say("a", "1", "m", 10), say("a", "2", None, None), say("a", None, "m", 1)], [say("a", "1", "other", 99), say("b", "1", "m", 5)], [], [say("b", "1", "m", 5), say("a", None, "m", 1), say("c", "9", "m", 7)]]
+    fold = usage.UsageFold(spark, f"file://{tmp_path}/fold")
+    assert fold.result().collect() == []
+    for n, rows in enumerate(batches):
+        fold.add(spark.createDataFrame(rows, kind), n)
+    fold.add(spark.createDataFrame(batches[3], kind), 3)  # again, as after a failure
+    whole = spark.createDataFrame([(*r[:-3], n, 0, i) for n, rows in enumerate(batches) for i, r in enumerate(rows)], kind)
+    assert [tuple(r) for r in fold.result().collect()] == [tuple(r) for r in usage.usage(whole).collect()]
+    assert {r["key"]: (r["messages"], r["duplicates_skipped"]) for r in fold.result().collect()} == {"m": (4, 2), "other": (0, 1), "unknown": (0, 0)}
