@@ -88,27 +88,43 @@ def _now(now_ms: int | None) -> int:
 
 
 _LOCAL = "^file:/+"
+WHOLE_FILE = 256 << 20  # bytes; files beyond are read by lines
+SAMPLE = 20  # lines that tell the format of such a file
 
 
-def _ordered(spark: SparkSession, files: DataFrame, paths: list[str]) -> DataFrame:
-    """files (file, ...) with file_ord, the first position in paths of the file, of a pattern it fits or of its folder."""
+def listed(spark: SparkSession, paths: list[str]) -> list[tuple[str, int, int]]:
+    """(file, position, bytes) of the files that paths (files, folders and patterns) name: the first position counts."""
     jvm, conf, found = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), {}
     for i, p in enumerate(paths):
         at = jvm.org.apache.hadoop.fs.Path(p)
         fs = at.getFileSystem(conf)
         for status in fs.globStatus(at) or ():
             for own in fs.listStatus(status.getPath()) if status.isDirectory() else (status,):
-                found.setdefault(re.sub(_LOCAL, "file:/", own.getPath().toUri().toString()), i)
-    order = spark.createDataFrame(list(found.items()), "_path string, file_ord int")
+                if own.isFile() and own.getPath().getName()[0] not in "_.":
+                    found.setdefault(re.sub(_LOCAL, "file:/", own.getPath().toUri().toString()), (i, own.getLen()))
+    return [(f, i, n) for f, (i, n) in found.items()]
+
+
+def _ordered(spark: SparkSession, files: DataFrame, found: list[tuple[str, int, int]]) -> DataFrame:
+    """files (file, ...) with file_ord, each file's position in the list."""
+    order = spark.createDataFrame([(f, i) for f, i, _ in found], "_path string, file_ord int")
     return files.join(F.broadcast(order), F.regexp_replace("file", _LOCAL, "file:/") == F.col("_path"), "left").withColumn("file_ord", F.coalesce("file_ord", F.lit(0)))
 
 
+def _as_list(paths: str | list[str]) -> list[str]:
+    return [paths] if isinstance(paths, str) else list(paths)
+
+
 def read_docs(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(file, file_ord, content), one row a file. file_ord is the position in a list of paths, else 0."""
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 64)
+    paths = _as_list(paths)
     out = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("content"))
-    return _ordered(spark, out, paths).select("file", "file_ord", "content")
+    return _ordered(spark, out, listed(spark, paths)).select("file", "file_ord", "content")
+
+
+def sampled_format(spark: SparkSession, file: str) -> str | None:
+    """The format of a large file, from its first SAMPLE lines."""
+    return detect("\n".join(r["value"] for r in spark.read.text(file, lineSep="\n").limit(SAMPLE).collect()))
 
 
 def import_docs(docs: DataFrame, form: str = "auto", now_ms: int | None = None, include_sidechains: bool = False) -> DataFrame:
@@ -126,10 +142,10 @@ def import_docs(docs: DataFrame, form: str = "auto", now_ms: int | None = None,
 
 def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(file, file_ord, line_no, value) of line files of any size; lines end at \\n only, and line_no ascends."""
-    paths = [paths] if isinstance(paths, str) else list(paths)
+    paths = _as_list(paths)
     lines = spark.read.text(paths, lineSep="\n").select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"), "value")
     # within a file blocks follow each other; within a block ids ascend in reading order (and never reach 2**33)
-    return _ordered(spark, lines, paths).select("file", "file_ord", (F.col("_block") * F.lit(1 << 20) + F.col("_id") % F.lit(1 << 33)).alias("line_no"), "value")
+    return _ordered(spark, lines, listed(spark, paths)).select("file", "file_ord", (F.col("_block") * F.lit(1 << 20) + F.col("_id") % F.lit(1 << 33)).alias("line_no"), "value")
 
 
 def import_lines(lines: DataFrame, form: str, now_ms: int | None = None, include_sidechains: bool = False) -> DataFrame:
@@ -162,11 +178,43 @@ def import_lines(lines: DataFrame, form: str, now_ms: int | None = None, include
     return dealt.mapInArrow(run, IMPORTED)
 
 
-def read_transcripts(spark: SparkSession, paths: str | list[str], form: str = "auto", now_ms: int | None = None, include_sidechains: bool = False, by_lines: bool = False, mode: str = "PERMISSIVE") -> DataFrame:
-    """The imported table of files. by_lines is for line files beyond 256 MB and needs their format. mode FAILFAST
-    raises at the first file that cannot be read."""
+def _refused(file: str, order: int, form: str | None) -> list[dict]:
+    why = f"{file}: format not recognized" if form is None else f"{file}: a {form} export is one document, and too large to be read as one"
+    return _rows(file, order, form, None, why, "failed")
+
+
+def _by_size(spark: SparkSession, paths: list[str], form: str, now_ms: int | None, include_sidechains: bool, limit: int) -> DataFrame:
+    """Files of up to limit bytes as documents; larger ones by lines, in the format that their first lines tell."""
+    found = listed(spark, paths)
+    large = [(f, i) for f, i, n in found if n > limit]
+    if not large:
+        return import_docs(read_docs(spark, paths), form, now_ms, include_sidechains)
+    order = lambda df: _ordered(spark, df.drop("file_ord"), found)
+    small = [f for f, _, n in found if n <= limit]
+    parts = [import_docs(order(read_docs(spark, small)), form, now_ms, include_sidechains)] if small else []
+    forms: dict[str | None, list[tuple[str, int]]] = {}
+    for f, i in large:
+        forms.setdefault(sampled_format(spark, f) if form == "auto" else form, []).append((f, i))
+    refused = []
+    for own, files in forms.items():
+        if own in LINE_IMPORTERS:
+            parts.append(import_lines(order(read_lines(spark, [f for f, _ in files])), own, now_ms, include_sidechains))
+        else:
+            refused += [r for f, i in files for r in _refused(f, i, own)]
+    if refused:
+        parts.append(spark.createDataFrame(refused, IMPORTED))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def read_transcripts(spark: SparkSession, paths: str | list[str], form: str = "auto", now_ms: int | None = None, include_sidechains: bool = False, by_lines: bool = False, mode: str = "PERMISSIVE", limit: int = WHOLE_FILE) -> DataFrame:
+    """The imported table of files. Those beyond limit bytes are read by lines; by_lines, with a line format, has all
+    read so. mode FAILFAST raises at the first file that cannot be read."""
     _check(form)
-    imported = import_lines(read_lines(spark, paths), form, now_ms, include_sidechains) if by_lines else import_docs(read_docs(spark, paths), form, now_ms, include_sidechains)
+    paths = _as_list(paths)
+    imported = import_lines(read_lines(spark, paths), form, now_ms, include_sidechains) if by_lines else _by_size(spark, paths, form, now_ms, include_sidechains, limit)
     if mode == "FAILFAST":
         bad = F.raise_error(F.coalesce("error", F.lit("unreadable file")))
         return imported.withColumn("status", F.when(F.col("status") == "failed", bad).otherwise(F.col("status")))

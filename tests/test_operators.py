@@ -196,6 +196,17 @@ def test_command_line(spark, folder, capsys):
     assert "claude-code" in run("formats")[1].out and run("convert", str(folder / "empty.jsonl"))[0] == 1
 
 
+def test_large_files_are_read_by_lines(spark, folder):
+    (folder / "doc.json").write_text('{"mapping": {}, "x": 1}')
+    paths = [str(folder / n) for n in ("doc.json", "b.jsonl", "a.jsonl") if (folder / n).exists()]
+    whole = {r["file"]: r for r in scan.read_transcripts(spark, paths, now_ms=3).collect()}
+    parts = {r["file"]: r for r in scan.read_transcripts(spark, paths, now_ms=3, limit=20).collect()}
+    assert whole.keys() == parts.keys()
+    for f, r in parts.items():
+        assert r["file_ord"] == whole[f]["file_ord"] and r["format"] == whole[f]["format"]
+        assert "too large" in r["error"] if f.endswith("doc.json") else (r["conversation"], r["messages"]) == (whole[f]["conversation"], whole[f]["messages"])
+
+
 def test_stream_ends_where_a_batch_does(spark, tmp_path):
     source, out = tmp_path / "in", tmp_path / "out"
     rows = [(f, i, x) for f, ls in (("a.jsonl", CODEX), ("b.jsonl", CODEX[:7])) for i, x in enumerate([*ls, None])]
