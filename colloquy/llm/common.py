@@ -5,8 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -16,33 +14,18 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.functions import ArrowUDFType, arrow_udf
 from pyspark.sql.pandas.types import to_arrow_type
 
+from colloquy.shared import new_folder
+
 #: ASCII white space that separates words: space, tab, newline, vertical tab, form feed, carriage return.
 SPACE = " \t\n\x0b\x0c\r"
 
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="colloquy-")
-    return _own[app]
-
 
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage ends here, and lost executors cost
     no recomputation. The files go when the session ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{new_folder(df.sparkSession, name)}/rows"
     df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
