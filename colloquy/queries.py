@@ -376,6 +376,136 @@ def derive_exec(spark: SparkSession, sf_dir: str) -> DataFrame:
 _EXEC_SQL = "select event_id, 'exec' as tool, case when event_id % 2 = 0 then 'exec_command' else 'write_stdin' end as operation, 'run ' || event_id as command from events where event_type = 'click'"
 
 
+# --- transcripts with tool calls ----------------------------------------------------------------------------------
+
+
+def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as turns of one session a user, with the click that comes last before each."""
+    e = _t(spark, sf_dir, "events").select(F.col("user_id").alias("conv_id"), F.col("event_id").alias("turn"), "event_type")
+    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return e.withColumn("call", F.coalesce(F.concat(F.lit("c"), F.max(F.when(F.col("event_type") == "click", F.col("turn"))).over(before).cast("string")), F.lit("none")))
+
+
+def tool_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claude Code sessions: clicks think, speak and call; views are results with an image and a word of the user;
+    errors are sidechains; the rest are prompts."""
+    turn, kind = F.col("turn"), F.col("event_type")
+    line = lambda role, body, *rest: _cat(f'{{"type":"{role}","sessionId":"', F.col("conv_id"), '"', *rest, f',"message":{{"role":"{role}",', *body, "}}")
+    calls_ = line("assistant", ('"id":"a', turn, '","usage":{"input_tokens":', turn % 100, ',"output_tokens":2},"content":[{"type":"thinking","thinking":"t', turn, '","signature":"g"},{"type":"text","text":"x', turn, '"},{"type":"tool_use","id":"c', turn, '","name":"Run","input":{"n":', turn, "}}]"))
+    gave = line("user", ('"content":[{"type":"tool_result","tool_use_id":"', F.col("call"), '","is_error":', F.when(turn % 2 == 0, "true").otherwise("false"), ',"content":[{"type":"text","text":"r', turn, '"},{"type":"image","source":{"type":"base64","media_type":"image/gif","data":"AAAA"}}]},{"type":"text","text":"u', turn, '"}]'))
+    asked = line("user", ('"content":"p', turn, '"'), F.when(kind == "error", ',"isSidechain":true').otherwise(""))
+    return _doc(_sessions(spark, sf_dir), F.when(kind == "click", calls_).when(kind == "view", gave).otherwise(asked))
+
+
+_SESSIONS_SQL = """
+with e as (select cast(user_id as varchar) as conv, event_id, event_type, max(case when event_type = 'click' then event_id end) over (partition by user_id order by event_id rows unbounded preceding) as click from events),
+v as (select *, coalesce('c' || click, 'none') as call_id, row_number() over (partition by conv, event_type, click order by event_id) as nth from e),
+"""
+_TOOLS_SQL = _SESSIONS_SQL + """
+m as (
+  select conv, event_id, 0 as sub, 'assistant' as role, 'reasoning,text,tool_call' as kinds, 't' || event_id as thought, 'x' || event_id as text, 'c' || event_id as call_id, 'Run' as tool, '{"n":' || event_id || '}' as arguments, null as is_error, event_id % 100 as input_tokens from v where event_type = 'click'
+  union all select conv, event_id, 0, 'tool', 'text,image', null, 'r' || event_id, call_id, case when nth = 1 and click is not null then 'Run' else '' end, null, event_id % 2 = 0, null from v where event_type = 'view'
+  union all select conv, event_id, 1, 'user', 'text', null, 'u' || event_id, null, null, null, null, null from v where event_type = 'view'
+  union all select conv, event_id, 0, 'user', 'text', null, 'p' || event_id, null, null, null, null, null from v where event_type not in ('click', 'view', 'error'))
+"""
+
+
+def import_tools(spark: SparkSession, sf_dir: str, form: str = "claude-code", docs=tool_transcripts) -> DataFrame:
+    """Messages with calls, results, images, reasoning and usage, a row each."""
+    m = scan.messages(scan.import_docs(docs(spark, sf_dir), form, now_ms=1))
+    parts = F.coalesce(F.get("tool_results", F.lit(0))["content"], F.col("content"))
+    joined = lambda c: F.nullif(F.array_join(c, ","), F.lit(""))
+    call = F.get(F.filter("content", lambda p: p["type"] == "tool_call"), F.lit(0))["tool_call"]
+    given = F.get("tool_results", F.lit(0))
+    return m.select(
+        "conversation_id", F.col("seq").cast("long").alias("seq"), "role", joined(F.transform(parts, lambda p: p["type"])).alias("kinds"), joined(F.transform(parts, lambda p: p["reasoning"]["text"])).alias("thought"), joined(F.transform(parts, lambda p: p["text"])).alias("text"),
+        F.coalesce(call["id"], given["tool_call_id"]).alias("call_id"), F.coalesce(call["name"], given["name"]).alias("tool"), call["arguments"].alias("arguments"), given["is_error"].alias("is_error"), F.col("usage.input_tokens").alias("input_tokens"),
+    )
+
+
+_IMPORT_TOOLS_SQL = _TOOLS_SQL + "select conv as conversation_id, row_number() over (partition by conv order by event_id, sub) - 1 as seq, role, kinds, thought, text, call_id, tool, arguments, is_error, input_tokens from m"
+
+
+def codex_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rollouts: clicks reason, run programs of two tools and report tokens twice; views are outputs; the rest are
+    prompts with an image. Errors are not written."""
+    turn, kind = F.col("turn"), F.col("event_type")
+    item = lambda *body: _cat('{"type":"response_item","payload":{', *body, "}}")
+    spent = lambda i, cached, o: _cat('{"type":"event_msg","payload":{"type":"token_count","info":{"last_token_usage":{"input_tokens":', i, f',"cached_input_tokens":{cached},"output_tokens":{o}}}}}}}}}')
+    program = _cat('await tools.write_stdin({cmd: "run ', turn, """"}); tools.exec_command({'cmd': `two`, "cmd": `${x}`})""")
+    ran = F.concat_ws("\n", item('"type":"reasoning","summary":[{"text":"t', turn, '"}]'), item('"type":"custom_tool_call","name":"exec","call_id":"c', turn, '","input":', json_text(program)), spent(turn % 100 + 10, 4, 1), spent(F.lit(7), 0, 3))
+    gave = item('"type":"custom_tool_call_output","call_id":"', F.col("call"), '","output":"r', turn, '"')
+    asked = item('"type":"message","role":"user","content":[{"type":"input_text","text":"p', turn, '"},{"type":"input_image","image_url":"https://x/', turn, '"}]')
+    rows = _sessions(spark, sf_dir).where(kind != "error")
+    return _doc(rows, F.when(kind == "click", ran).when(kind == "view", gave).otherwise(asked), head=_cat('{"type":"session_meta","payload":{"id":"', F.col("conv_id"), '"}}\n'))
+
+
+def import_codex_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return import_tools(spark, sf_dir, "codex", codex_transcripts).drop("arguments", "is_error")
+
+
+# the second count of a message finds none without usage: it waits for the next, whose own first count is lost
+_CODEX_TOOLS_SQL = _SESSIONS_SQL + """
+c as (select *, row_number() over (partition by conv order by event_id) as n from v where event_type = 'click'),
+m as (
+  select conv, event_id, 'assistant' as role, 'reasoning,tool_call' as kinds, 't' || event_id as thought, null as text, 'c' || event_id as call_id, 'exec' as tool, case when n = 1 then event_id % 100 + 6 else 7 end as input_tokens from c
+  union all select conv, event_id, 'tool', 'text', null, 'r' || event_id, call_id, case when nth = 1 and click is not null then 'exec' else '' end, null from v where event_type = 'view'
+  union all select conv, event_id, 'user', 'text,image', null, 'p' || event_id, null, null, null from v where event_type not in ('click', 'view', 'error'))
+select conv as conversation_id, row_number() over (partition by conv order by event_id) - 1 as seq, role, kinds, thought, text, call_id, tool, input_tokens from m
+"""
+
+
+def derive_exec_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Programs of two tools and three literals, one of them a template."""
+    t = calls.tool_call_rows(scan.import_docs(codex_transcripts(spark, sf_dir), "codex", now_ms=1))
+    derived = lambda path: F.get_json_object("derived", f"$.codexExec.{path}")
+    return t.select(F.substring(F.col("toolCallId"), F.lit(2), F.lit(20)).cast("long").alias("event_id"), derived("operation").alias("operation"), derived("operations").alias("operations"), derived("commands").alias("commands"), calls.command().alias("command"), F.col("resultChars").cast("long").alias("chars"))
+
+
+_MIXED_SQL = _SESSIONS_SQL + """
+r as (select conv, click, max(event_id) as last from v where event_type = 'view' and click is not null group by conv, click)
+select event_id, 'mixed' as operation, '["exec_command","write_stdin"]' as operations, '["run ' || event_id || '","two"]' as commands, 'run ' || event_id as command, cast(length('r' || last) as bigint) as chars
+from e left join r on r.conv = e.conv and r.click = e.event_id where event_type = 'click'
+"""
+
+
+def export_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each format keeps of sessions with tools: how often its marks stand in a conversation's body."""
+    found = store_once(scan.import_docs(tool_transcripts(spark, sf_dir), "claude-code", now_ms=1))
+    marks = {
+        "openai-chat": {"openai_calls": '"type":"function"', "openai_results": '"tool_call_id"', "openai_users": '{"role":"user"'},
+        "anthropic-messages": {"thoughts": '"type":"thinking"', "uses": '"type":"tool_use"', "results": '"type":"tool_result"', "failed": '"is_error":true', "images": '"type":"image"'},
+        "gemini": {"gemini_calls": '"functionCall"', "gemini_results": '"functionResponse":{"name":"Run"'},
+        "markdown": {"folded": "<details>", "arrows": "**← Run result", "errors": "(error)**"},
+        CANONICAL: {"canonical_calls": '"toolCall":', "canonical_thoughts": '"signature":"g"'},
+    }
+    out = None
+    for form, names in marks.items():
+        n = lambda mark: ((F.length("body") - F.length(F.replace("body", F.lit(mark), F.lit("")))) / len(mark)).cast("long")
+        part = export.export(found, form).select("conversation_id", *(n(mark).alias(name) for name, mark in names.items()))
+        out = part if out is None else out.join(part, "conversation_id")
+    return out
+
+
+def store_once(df: DataFrame) -> DataFrame:
+    """df written down, as it is read several times."""
+    path = f"{new_folder(df.sparkSession, 'once')}/rows"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+# a result without a name of its own takes the call's before it, if there is one
+_EXPORT_TOOLS_SQL = _SESSIONS_SQL + """
+k as (select conv, count(*) filter (event_type = 'click') as c, count(*) filter (event_type = 'view') as v, count(*) filter (event_type = 'view' and click is not null) as known, count(*) filter (event_type = 'view' and click is not null and nth = 1) as named,
+  count(*) filter (event_type = 'view' and event_id % 2 = 0) as bad, count(*) filter (event_type not in ('click', 'view', 'error')) as p from v group by conv)
+select conv as conversation_id, c as openai_calls, v as openai_results, v + p as openai_users, c as thoughts, c as uses, v as results, bad as failed, v as images, c as gemini_calls, known as gemini_results, c as folded, named as arrows, bad as errors, c as canonical_calls, c as canonical_thoughts
+from k where c + v + p > 0
+"""
+
+
+# --- streams ------------------------------------------------------------------------------------------------------
+
+
 def _streamed(spark: SparkSession, sf_dir: str, form: str, parts: int = 3) -> DataFrame:
     """Transcripts by lines through Structured Streaming, in several batches: what they changed."""
     folder = new_folder(spark, "stream")
@@ -437,6 +567,10 @@ QUERIES = {
     "model_backfill": model_backfill,
     "consumed_names": consumed_names,
     "derive_exec": derive_exec,
+    "import_tools": import_tools,
+    "import_codex_tools": import_codex_tools,
+    "derive_exec_mixed": derive_exec_mixed,
+    "export_tools": export_tools,
     "stream_import": stream_import,
     "stream_conversations": stream_conversations,
     "stream_usage": stream_usage,
@@ -464,6 +598,10 @@ ORACLES = {
     "role_merge": _ISLAND_SQL,
     **_SEQUENCE_SQL,
     "derive_exec": _EXEC_SQL,
+    "import_tools": _IMPORT_TOOLS_SQL,
+    "import_codex_tools": _CODEX_TOOLS_SQL,
+    "derive_exec_mixed": _MIXED_SQL,
+    "export_tools": _EXPORT_TOOLS_SQL,
     "stream_import": _STREAM_SQL,
     "stream_conversations": _STREAM_HEADS_SQL,
     "stream_usage": _usage_sql("model"),
