@@ -8,6 +8,7 @@ average, a trained table scores with one number a bucket.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections import Counter
 from dataclasses import dataclass
@@ -177,10 +178,10 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus
     score 0.5. Columns named like the results are replaced, others pass through.
     """
     margins, bias = fit(sample(docs, labels, label, modulus, held_out, per_label, doc_id, text))
-    sent = docs.sparkSession.sparkContext.broadcast((margins, bias))
+    sent, own = docs.sparkSession.sparkContext.broadcast((margins, bias)), uuid.uuid4().hex
 
     def score(texts):
-        s = keep("quality", bias, lambda: Scorer(*sent.value))
+        s = keep("quality", own, lambda: Scorer(*sent.value))
         return pa.array(s.score_all(texts), pa.float64())
 
     rest = without(docs, "held_out", "score", "predicted")

@@ -7,6 +7,8 @@ what is sent to the workers are the few indices and weights that are not.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -115,11 +117,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus:
     results are replaced, others pass through.
     """
     model = fit(sample(docs, labels, label, modulus, held_out, per_label, doc_id, text))
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    bias = model[2]
+    sent, own = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def score(texts):
-        s = keep("toxicity", bias, lambda: Scorer(*sent.value))
+        s = keep("toxicity", own, lambda: Scorer(*sent.value))
         return pa.array([s.score(t) for t in texts], pa.float64())
 
     rest = without(docs, "held_out", "score", "predicted")

@@ -93,3 +93,33 @@ def test_nulls_repeats_long_texts_empty_tables_and_clashing_columns(spark, run,
     assert len(got) == len(rows) and got[100, None]["score"] == got[100, ""]["score"] and got[None, "x"]["held_out"] is False
     assert got[29, "good " * 9]["score"] > got[28, "bad " * 9]["score"]
     assert {r["score"] for r in run(spark.createDataFrame(rows, schema), none).collect()} == {0.5}
+
+
+@pytest.mark.parametrize(("query", "label", "modulus", "remainder"), [("op4_subword_quality", "quality", 4, 2), ("op6_ftrl_toxicity", "toxic", 3, 1)])
+def test_queries_equal_one_plain_program(spark, query, label, modulus, remainder):
+    """All labelled rows outside the fold, in the order of their texts, one training, and each text's score by its
+    formula."""
+    sf = f"{DATA}/sf0.001"
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    known = {}
+    for r in spark.read.parquet(f"{sf}/labels.parquet").collect():
+        if r[label] in (0, 1) and r["doc_id"] in texts and zlib.crc32(str(r["doc_id"]).encode()) % modulus != remainder:
+            known[r["doc_id"]] = max(r[label], known.get(r["doc_id"], 0))
+    rows = sorted((texts[i] or "", y, texts[i]) for i, y in known.items())
+    if query == "op4_subword_quality":
+        m = quality_classifier.train([t for _, _, t in rows], [y for _, y, _ in rows])
+
+        def logit(t):
+            at, n = quality_classifier.counted(t)
+            mean = n @ m.vectors[at] / max(1, n.sum()) if len(at) else np.zeros(quality_classifier.DIM)
+            return np.diff(m.weights @ mean + m.bias)[0]
+    else:
+        at, w, bias = toxicity.train([t for _, _, t in rows], [y for _, y, _ in rows])
+        weights = dict(zip(at.tolist(), w.tolist(), strict=True))
+
+        def logit(t):
+            return bias + sum(weights.get(f, 0.0) for f in set(toxicity.features(t).tolist()))
+    got = {r["doc_id"]: r for r in QUERIES[query](spark, sf).collect()}
+    assert got.keys() == texts.keys() and len(rows) > 20
+    for i, t in texts.items():
+        assert got[i]["score"] == pytest.approx(1 / (1 + np.exp(-np.clip(logit(t), -35, 35))), abs=1e-5)

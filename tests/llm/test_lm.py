@@ -72,6 +72,32 @@ def test_probabilities_of_all_words_sum_to_one(n):
     assert np.allclose(p, (counts + 1) / (counts.sum() + len(counts) + 1), rtol=1e-4)  # untrained it is the unigram
 
 
+def test_scores_equal_those_of_a_slow_program():
+    """One text's log probability, token by token and class by class, from a table of random weights."""
+    paths, hashes, counts = some_paths(300)
+    table = np.random.default_rng(5).standard_normal((999, lm.WIDTH)).astype(np.float32)
+    model = lm.Model(paths, table)
+    words = np.random.default_rng(6).integers(0, 2000, 60)
+    b = lm.Block([60], lm._planes(np.arange(60)), hashes[words].tobytes())
+    path, steps, leaf = paths.find(b.hashes)
+    got = model.log_probabilities(lm.feature_hashes(*b.contexts()), path, steps)
+    k, mask = [int(x) for x in lm._K], (1 << 64) - 1
+    for i in range(60):
+        one, two = (int(b.hashes[i - n]) if i >= n else int(lm._START) for n in (1, 2))
+        features = [(one * k[0] & mask) ^ k[4], ((one * k[1] + two * k[2]) & mask) ^ k[5], (two * k[3] & mask) ^ k[6]]
+        total, prefix = 0.0, 0
+        for step in range(int(steps[i])):
+            digit = int(path[i]) >> lm.DIGIT * (int(steps[i]) - step - 1) & lm.WIDTH - 1
+            z = paths.logs[step][prefix].astype(float)
+            for f in features if step < lm.DEEP else features[:1]:
+                x = (f + (prefix + (1 << lm.DIGIT * step)) * k[2]) * k[3] & mask
+                x ^= x >> 29
+                z = z + table[((x * k[1] & mask) >> 32) * 999 >> 32]
+            total += z[digit] - np.log(np.exp(z).sum())
+            prefix = prefix * lm.WIDTH + digit
+        assert got[i] == pytest.approx(total, abs=1e-3)
+
+
 def test_contexts_stop_at_documents():
     hashes = np.array([10, 20, 30], np.uint64)
     b = lm.Block([1, 3, 2], lm._planes(np.array([0, 1, 2, 0, 2, 1])), hashes.tobytes())
