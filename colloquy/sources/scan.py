@@ -89,6 +89,7 @@ def _now(now_ms: int | None) -> int:
 
 _LOCAL = "^file:/+"
 WHOLE_FILE = 256 << 20  # bytes; files beyond are read by lines
+TOGETHER = 1000  # messages that leave a worker in one batch, about
 SAMPLE = 20  # lines that tell the format of such a file
 
 
@@ -133,9 +134,17 @@ def import_docs(docs: DataFrame, form: str = "auto", now_ms: int | None = None,
     now = _now(now_ms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for b in batches:
-            for file, order, content in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                yield _batch(import_text(content or "", file or "", order or 0, form, now, include_sidechains))
+            for file, order, content in zip(*b.columns, strict=True):  # one text at a time becomes a Python string
+                found = import_text(content.as_py() or "", file.as_py() or "", order.as_py() or 0, form, now, include_sidechains)
+                held += found
+                size += sum(1 + len(r["messages"] or ()) for r in found)
+                if size >= TOGETHER:
+                    yield _batch(held)
+                    held, size = [], 0
+        if held:
+            yield _batch(held)
 
     return docs.select("file", "file_ord", "content").mapInArrow(run, IMPORTED)
 
