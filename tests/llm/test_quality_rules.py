@@ -35,6 +35,14 @@ def test_hosts_that_fail_take_their_documents_along(spark):
     assert {r["base_failed"] for r in got if r["doc_id"] == 100} == {False}
 
 
+def test_large_host_tables_are_joined_by_shuffle(spark, monkeypatch):
+    good = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(i, f"h{i % 7}" if i % 11 else None, "x" if i % 7 < 3 else good) for i in range(200)], "doc_id long, source string, text string")
+    want = sorted((r["doc_id"], r["kept"], round(r["host_rate"], 12)) for r in q.quality_rules(docs).collect())
+    monkeypatch.setattr(q, "SMALL", 0)
+    assert sorted((r["doc_id"], r["kept"], round(r["host_rate"], 12)) for r in q.quality_rules(docs).collect()) == want and len(want) == 200
+
+
 def test_prior():
     assert q.beta_prior(0, 0, 0, 0, 0) == (1e6, 0.0)
     assert q.beta_prior(1, 10, 5, 100, 2.5) == (1e6, 0.5)  # one host is the corpus
