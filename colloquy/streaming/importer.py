@@ -28,42 +28,81 @@ HEAD = -1  # in the place of a message's number
 UPSERT = T.StructType([T.StructField("file", T.StringType()), T.StructField("conversation_id", T.StringType()), T.StructField("seq", T.IntegerType()), T.StructField("version", T.LongType()), T.StructField("message", T.StringType())])
 
 
+class Paged:
+    """A list of messages that are read when they are asked for."""
+
+    def __init__(self, n: int, load):
+        self.n, self.load, self.held = n, load, {}
+
+    def __len__(self) -> int:
+        return self.n
+
+    def append(self, m: dict) -> None:
+        self.held[self.n] = m
+        self.n += 1
+
+    def __getitem__(self, i):
+        if isinstance(i, slice):
+            return [self[k] for k in range(*i.indices(self.n))]
+        i += self.n if i < 0 else 0
+        if not 0 <= i < self.n:
+            raise IndexError(i)
+        if i not in self.held:
+            self.held[i] = json.loads(self.load(i)[0])
+        return self.held[i]
+
+
 class Session:
-    """One file's importer with what it last emitted; save() and load() are text."""
+    """One file's importer between batches. save() is text without messages; load(i) gives what push() said is to be
+    kept of message i: its JSON and a mark of what was emitted. Only messages that lines touch are read and written."""
 
-    def __init__(self, form: str, file: str, now_ms: int, saved: str | None = None):
-        self.form, self.file, self.now_ms = form, file, now_ms
-        held = json.loads(saved) if saved else {"state": None, "sent": [], "version": 0, "head": ""}
+    def __init__(self, form: str, file: str, now_ms: int, saved: str | None = None, load=None):
+        held = json.loads(saved) if saved else {"state": None, "n": 0, "version": 0, "head": "", "open": [-1, ""]}
+        self.file, self.load = file, load
         self.reader = LINE_IMPORTERS[form](now_ms, stem(file), state=held["state"])
-        self.sent, self.version, self.head = held["sent"], held["version"], held["head"]
+        self.kept = held["n"]
+        self.reader.s["messages"] = Paged(self.kept, load)
+        self.version, self.head, self.open = held["version"], held["head"], held["open"]
 
     def save(self) -> str:
-        return json.dumps({"state": self.reader.state(), "sent": self.sent, "version": self.version, "head": self.head})
-
-    def push(self, lines: list[str | None]) -> list[tuple]:
-        """Rows of UPSERT for the messages that these lines, in order, add or change. None among them is the end."""
-        self.reader.push([x for x in lines if x is not None])
+        state = {k: v for k, v in self.reader.s.items() if k != "messages"}
+        return json.dumps({"state": state, "n": self.kept, "version": self.version, "head": self.head, "open": self.open})
+
+    def push(self, lines: list[str | None]) -> tuple[list[tuple], dict[int, tuple[str, str]]]:
+        """Rows of UPSERT for the messages that these lines, in order, add or change, and what to keep by number. None
+        among the lines is the end."""
+        r = self.reader
+        r.push([x for x in lines if x is not None])
         if None in lines:
-            self.reader.finalize()
+            r.finalize()
         try:
-            head, messages = self.reader.conversation()
+            r.ready()
         except NoConversation:
-            return []
+            return [], {}
+        n, own = r.count(), r.conversation_id()
+        head = r.head([r.present(0), r.present(n - 1)])
         self.version += 1
-        out = []
-        text = clean(json.dumps({"conversation": head, "warnings": self.reader.warnings()}, ensure_ascii=False, default=str))
-        if str(hash_text(text)) != self.head:
-            self.head = str(hash_text(text))
-            out.append((self.file, head["conversation_id"], HEAD, self.version, text))
-        for i, m in enumerate(messages):
-            text = clean(json.dumps(m, ensure_ascii=False, default=str))
-            mark = str(hash_text(head["conversation_id"] + text))
-            if i == len(self.sent):
-                self.sent.append("")
-            if self.sent[i] != mark:
-                self.sent[i] = mark
-                out.append((self.file, head["conversation_id"], i, self.version, text))
-        return out
+        out: list[tuple] = []
+
+        def emit(i: int, value, before: str) -> str:
+            text = clean(json.dumps(value, ensure_ascii=False, default=str))
+            mark = str(hash_text(own + text))
+            if mark != before:
+                out.append((self.file, own, i, self.version, text))
+            return mark
+
+        self.head = emit(HEAD, {"conversation": head, "warnings": r.warnings()}, self.head)
+        keep, unsent = {}, self.open
+        for i in sorted(r.touched | {n - 1}):
+            before = unsent[1] if i == unsent[0] else self.load(i)[1] if i < self.kept else ""
+            mark = emit(i, r.present(i), before)
+            if i < len(r.s["messages"]):
+                keep[i] = json.dumps(r.s["messages"][i]), mark
+                self.open = [-1, ""] if i == self.open[0] else self.open
+            else:
+                self.open = [i, mark]
+        self.kept = len(r.s["messages"])
+        return out, keep
 
 
 def hash_text(text: str) -> int:
@@ -80,12 +119,15 @@ class Importer(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.saved = handle.getValueState("importer", T.StructType([T.StructField("json", T.StringType())]))
+        self.messages = handle.getMapState("messages", "i int", "json string, mark string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         held = self.saved.get()[0] if self.saved.exists() else None
-        session = Session(self.form, key[0], self.now_ms, held)
+        session = Session(self.form, key[0], self.now_ms, held, lambda i: tuple(self.messages.getValue((i,))))
         batch = pd.concat(list(rows)).sort_values("line_no", kind="stable")
-        out = session.push([None if v is None or v is pd.NA or v != v else v for v in batch["value"]])
+        out, keep = session.push([None if v is None or v is pd.NA or v != v else v for v in batch["value"]])
+        for i, kept in keep.items():
+            self.messages.updateValue((i,), kept)
         self.saved.update((session.save(),))
         yield pd.DataFrame(out, columns=UPSERT.names)
 

@@ -10,6 +10,7 @@ from colloquy.sources.detect import detect
 from colloquy.sources.documents import canonical, chatgpt, muse, opencode
 from colloquy.sources.jsonl import LINE_IMPORTERS, ClaudeCode, Codex, Kiro, NoConversation, Pi, derive_exec
 from colloquy.sources.scan import import_text, read_docs, read_lines
+from colloquy.streaming.importer import Session
 
 
 def lines(*records):
@@ -281,3 +282,51 @@ def test_files_keep_the_order_they_are_given_in(spark, tmp_path):
         for rows in (read_docs(spark, paths).withColumnRenamed("content", "value"), read_lines(spark, paths)):
             got = {r["value"]: r["file_ord"] for r in rows.collect()}
             assert (got["b"], got["a"], got.get("x", 2)) == (0, 1, 2)
+
+
+def turns(form, n):
+    """A long transcript of one format: prompts, answers, calls and results, the header late."""
+    out = []
+    for i in range(n):
+        if form == "claude-code":
+            out += lines(said("user", f"q{i}", uuid=f"u{i}"), said("assistant", [{"type": "text", "text": f"a{i}"}], id=f"m{i}", usage={"input_tokens": i, "output_tokens": 1}), said("assistant", [{"type": "tool_use", "id": f"c{i}", "name": "N", "input": {}}], id=f"m{i}"), said("user", [{"type": "tool_result", "tool_use_id": f"c{i}", "content": "r"}]))
+        elif form == "codex":
+            item = lambda **p: {"type": "response_item", "payload": p}
+            out += lines(item(type="message", role="user", content=[{"type": "input_text", "text": f"q{i}"}]), item(type="message", role="assistant", content=[{"type": "output_text", "text": f"a{i}"}]), item(type="function_call", name="f", call_id=f"c{i}", arguments="{}"), item(type="function_call_output", call_id=f"c{i}", output="r"), {"type": "event_msg", "payload": {"type": "token_count", "info": {"last_token_usage": {"input_tokens": i, "output_tokens": 2}}}})
+            out += lines({"type": "turn_context", "payload": {"model": "m"}}) if i == 3 else lines({"type": "session_meta", "payload": {"id": "late"}}) if i == 5 else []
+        elif form == "kiro":
+            out += lines({"kind": "Prompt", "data": {"meta": {"timestamp": i + 1}, "content": [{"kind": "text", "data": f"q{i}"}]}}, {"kind": "AssistantMessage", "data": {"message_id": f"a{i}", "content": [{"kind": "text", "data": f"a{i}"}]}})
+        else:
+            turn = lambda role, text: {"type": "message", "id": f"{role}{i}", "parentId": None, "message": {"role": role, "content": [{"type": "text", "text": text}]}}
+            out += lines(turn("user", f"q{i}"), turn("assistant", f"a{i}")) + (lines({"type": "session", "id": "late", "cwd": "/", "version": 3}) if i == 5 else [])
+    return out
+
+
+@pytest.mark.parametrize("form", list(LINE_IMPORTERS))
+def test_sessions_read_and_write_only_what_lines_touch(form):
+    own, saved, kept, now, heads = turns(form, 40), None, {}, {}, None
+    read, written = [], []
+    for k in range(0, len(own) + 1, 3):
+        part = own[k : k + 3] if k + 3 <= len(own) else [*own[k:], None]
+        loads = []
+        session = Session(form, "f.jsonl", 3, saved, lambda i, loads=loads, kept=kept: loads.append(i) or kept[i])
+        rows, keep = session.push(part)
+        kept.update(keep)
+        saved = session.save()
+        assert len({r[2] for r in rows}) == len(rows)
+        for _, conversation, seq, _, text in rows:
+            now[seq] = (conversation, json.loads(text))
+        if k > 60:  # a late header names all that came before
+            read.append(len(set(loads)))
+            written.append(len(keep))
+        whole = LINE_IMPORTERS[form](3, "f")
+        whole.push([x for x in own[: k + 3]])
+        if part[-1] is None:
+            whole.finalize()
+        try:
+            head, messages = whole.conversation()
+        except NoConversation:
+            continue
+        assert now[-1][1]["conversation"] == head
+        assert [now[i][1] for i in range(len(messages))] == messages and len(now) == len(messages) + 1
+    assert max(read) <= 12 and max(written) <= 12 and len(now) > 80 - 2
