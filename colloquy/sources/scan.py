@@ -94,18 +94,29 @@ SAMPLE = 20  # lines that tell the format of such a file
 
 
 def listed(spark: SparkSession, paths: list[str]) -> list[tuple[str, int, int]]:
-    """(file, position, bytes) of the files that paths (files, folders and patterns) name: the first position counts."""
-    jvm, conf, found = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), {}
+    """(file, position, bytes) of the files that paths (files, folders and patterns) name: the first position counts.
+    The files are listed once, by Spark; only folders and patterns are looked up one by one after that."""
+    plain = lambda path: re.sub(_LOCAL, "/", path)
+    files = spark.read.format("binaryFile").load(paths).select("path", "_metadata.file_path", "length")
+    known = {plain(r["path"]): (re.sub(_LOCAL, "file:/", r["file_path"]), r["length"]) for r in files.collect()}
+    found: dict[str, tuple[int, int]] = {}
     for i, p in enumerate(paths):
-        at = jvm.org.apache.hadoop.fs.Path(p)
-        fs = at.getFileSystem(conf)
-        for status in fs.globStatus(at) or ():
-            for own in fs.listStatus(status.getPath()) if status.isDirectory() else (status,):
-                if own.isFile() and own.getPath().getName()[0] not in "_.":
-                    found.setdefault(re.sub(_LOCAL, "file:/", own.getPath().toUri().toString()), (i, own.getLen()))
+        own = [plain(p)] if plain(p) in known else _matches(spark, p)
+        for file, n in (known[x] for x in own if x in known):
+            found.setdefault(file, (i, n))
     return [(f, i, n) for f, (i, n) in found.items()]
 
 
+def _matches(spark: SparkSession, path: str) -> list[str]:
+    """What a folder holds, or a pattern fits."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = []
+    for status in fs.globStatus(at) or ():
+        out += [own.getPath().toString() for own in (fs.listStatus(status.getPath()) if status.isDirectory() else (status,))]
+    return [re.sub(_LOCAL, "/", x) for x in out]
+
+
 def _ordered(spark: SparkSession, files: DataFrame, found: list[tuple[str, int, int]]) -> DataFrame:
     """files (file, ...) with file_ord, each file's position in the list."""
     order = spark.createDataFrame([(f, i) for f, i, _ in found], "_path string, file_ord int")

@@ -282,6 +282,12 @@ def test_files_keep_the_order_they_are_given_in(spark, tmp_path):
         for rows in (read_docs(spark, paths).withColumnRenamed("content", "value"), read_lines(spark, paths)):
             got = {r["value"]: r["file_ord"] for r in rows.collect()}
             assert (got["b"], got["a"], got.get("x", 2)) == (0, 1, 2)
+    for i in range(1500):  # more than a few
+        (tmp_path / f"{i}.txt").write_text(str(i))
+    given = [str(tmp_path / f"{i}.txt") for i in reversed(range(1500))]
+    assert {r["content"]: r["file_ord"] for r in read_docs(spark, given).collect()} == {str(i): 1499 - i for i in range(1500)}
+    mixed = read_docs(spark, [str(tmp_path / "[12]5.txt"), str(tmp_path / "a"), f"file://{tmp_path}/7.txt", str(tmp_path / "b")])
+    assert {r["content"]: r["file_ord"] for r in mixed.collect()} == {"15": 0, "25": 0, "a": 1, "7": 2, "b": 3}
 
 
 def turns(form, n):
