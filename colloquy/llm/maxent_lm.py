@@ -189,15 +189,22 @@ class Model:
 
     def steps(self, f: np.ndarray, path: np.ndarray, steps: np.ndarray):
         """For each step the positions that take it (None: all), their rows, what to predict, and where logits start."""
-        for k in range(int(steps.max()) if len(steps) else 0):
-            which = None if k == 0 else np.flatnonzero(steps > k)
-            own, left = (path, steps) if which is None else (path[which], steps[which])
+        least, most = (int(steps.min()), int(steps.max())) if len(steps) else (0, 0)
+        for k in range(most):
+            which = None if k < least else np.flatnonzero(steps > k)
+            own, left = (path, steps) if which is None else (path.take(which), steps.take(which))
             left = (left - k) * DIGIT
             node = own >> left
             used = f if k < DEEP else f[:1]
-            mixed = ((used if which is None else used[:, which]) + (node + (1 << DIGIT * k)).astype(np.uint64) * _K[2]) * _K[3]
+            mixed = (used if which is None else used.take(which, axis=1)) + (node + (1 << DIGIT * k)).view(np.uint64) * _K[2]
+            mixed *= _K[3]
             mixed ^= mixed >> np.uint64(29)
-            yield which, ((mixed * _K[1] >> np.uint64(32)) * self.size >> np.uint64(32)).astype(np.int64), own >> left - DIGIT & WIDTH - 1, self.paths.logs[k].take(node, axis=0)
+            mixed *= _K[1]
+            mixed >>= np.uint64(32)
+            mixed *= self.size
+            mixed >>= np.uint64(32)
+            left -= DIGIT
+            yield which, mixed.view(np.int64), own >> left & WIDTH - 1, self.paths.logs[k].take(node, axis=0)
 
     def shares(self, rows: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """exp of the logits, and their sums. start is used up."""
@@ -224,7 +231,7 @@ class Learner:
     def __init__(self, model: Model):
         self.m = model
         self.sq = np.full_like(model.w, START_SQ)
-        self.n = np.zeros(len(model.w), np.float32)
+        self.n = np.zeros(len(model.w), np.int32)
         self.last = np.zeros(len(model.w), np.int32)
 
     def learn(self, f: np.ndarray, path: np.ndarray, steps: np.ndarray) -> None:
@@ -237,17 +244,16 @@ class Learner:
 
     def _move(self, rows: np.ndarray, g: np.ndarray) -> None:
         """Each of rows, which are those of g once for each feature, gets the gradients of all its places."""
-        n = len(g)
-        self.last[rows] = np.arange(len(rows), dtype=np.int32)
-        last = self.last[rows]
-        own = last == np.arange(len(rows))
-        used, number = rows[own], np.cumsum(own) - 1
-        sums, seen = g.take(np.flatnonzero(own) % n, axis=0), np.ones(len(used), np.float32)
-        more = np.flatnonzero(~own)
-        if len(more):  # places of rows that stand again later, added column by column
-            to = number[last[more]]
-            sums += np.stack([np.bincount(to, c, len(used)) for c in g.take(more % n, axis=0).T.astype(np.float64)], axis=1)
-            seen += np.bincount(to, minlength=len(used))
+        position = np.tile(np.arange(len(g)), len(rows) // len(g))
+        places = np.arange(len(rows), dtype=np.int32)
+        self.last[rows] = places
+        own = self.last.take(rows) == places
+        at, more = np.flatnonzero(own), np.flatnonzero(~own)
+        used, sums = rows.take(at), g.take(position.take(at), axis=0)
+        if len(more):  # places of rows that stand again later
+            self.last[used] = places[: len(used)]
+            _add(sums, self.last.take(rows.take(more)), g.take(position.take(more), axis=0))
+        np.add.at(self.n, rows, np.int32(1))
         w, sq = self.m.w, self.sq
         new = sq.take(used, axis=0)
         new += sums * sums
@@ -256,7 +262,12 @@ class Learner:
         sums /= np.sqrt(new, out=new)
         np.subtract(w.take(used, axis=0), sums, out=sums)
         _put(w, used, sums)
-        self.n[used] += seen
+
+
+def _add(table: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """np.add.at(table, at, rows), by pairs of numbers as complex ones: add.at is fast on flat arrays alone."""
+    pairs = table.shape[1] // 2
+    np.add.at(table.view(np.complex64).ravel(), (at[:, None] * np.int64(pairs) + np.arange(pairs)).ravel(), rows.view(np.complex64).ravel())
 
 
 def _put(table: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:

@@ -1,4 +1,5 @@
 import math
+import time
 import zlib
 from collections import Counter
 
@@ -130,6 +131,52 @@ def test_rows_move_by_the_sum_of_their_gradients():
     assert learner.n.tolist() == np.bincount(rows.ravel(), minlength=50).tolist()
 
 
+def columns_added(rows, g, sums, seen):
+    """Gradients and visits by row, one column after the other."""
+    at = rows.ravel()
+    for c, column in enumerate(np.tile(g, (len(rows), 1)).T.astype(np.float64)):
+        sums[:, c] = np.bincount(at, column, len(sums))
+    seen[:] = np.bincount(at, minlength=len(sums))
+
+
+def test_rows_that_repeat_move_in_less_time_than_columns_are_added_in():
+    paths, _, _ = some_paths(5)
+    rng = np.random.default_rng(8)
+    g, rows = rng.standard_normal((lm.BATCH, lm.WIDTH)).astype(np.float32), rng.integers(0, 3000, (lm.FEATURES, lm.BATCH))
+    learner = lm.Learner(lm.Model(paths, np.zeros((3000, lm.WIDTH), np.float32)))
+    sums, seen = np.zeros((3000, lm.WIDTH)), np.zeros(3000)
+    took = {"move": [], "columns": []}
+    for _ in range(15):
+        for name, run in (("move", lambda: learner._move(rows.ravel(), g)), ("columns", lambda: columns_added(rows, g, sums, seen))):
+            start = time.process_time_ns()
+            run()
+            took[name].append(time.process_time_ns() - start)
+    assert min(took["move"]) < 0.85 * min(took["columns"])
+    assert learner.n.tolist() == (15 * seen).tolist()
+    first = lm.Learner(lm.Model(paths, np.zeros((3000, lm.WIDTH), np.float32)))
+    first._move(rows.ravel(), g)
+    assert np.allclose(first.m.w, -lm.RATE * sums / np.sqrt(lm.START_SQ + sums**2), atol=1e-5)
+
+
+def test_visits_of_a_row_are_counted_beyond_what_float32_tells_apart():
+    paths, _, _ = some_paths(5)
+    learner = lm.Learner(lm.Model(paths, np.zeros((50, lm.WIDTH), np.float32)))
+    learner.n[7] = 1 << 24
+    for _ in range(4):
+        learner._move(np.full(1, 7), np.ones((1, lm.WIDTH), np.float32))
+    assert int(learner.n[7]) == (1 << 24) + 4
+
+
+def test_positions_are_listed_only_where_some_words_take_no_further_step():
+    paths, hashes, _ = some_paths(300)
+    model = lm.Model(paths, np.zeros((999, lm.WIDTH), np.float32))
+    path, steps, _ = paths.find(hashes)
+    f = lm.feature_hashes(hashes, hashes[::-1])
+    listed = [which for which, *_ in model.steps(f, path, steps)]
+    assert len(listed) == steps.max() and all((which is None) == (steps > k).all() for k, which in enumerate(listed))
+    assert all((which == np.flatnonzero(steps > k)).all() for k, which in enumerate(listed) if which is not None)
+
+
 def test_states_keep_what_was_updated():
     w, n = np.arange(80, dtype=np.float32).reshape(10, 8), np.array([0, 2, 0, 1, 0, 0, 0, 0, 0, 5], np.float32)
     row = lm._state(3, w, n).to_pylist()[0]
