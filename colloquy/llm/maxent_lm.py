@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -64,12 +65,6 @@ def in_training(doc_id, modulus: int, held_out: int) -> bool:
 _BLOCKS = "block long, doc_ids array<long>, train array<boolean>, lengths array<int>, tokens binary, hashes binary, counts binary, n_words long"
 
 
-class _Numbers(dict):
-    def __missing__(self, word):
-        self[word] = n = len(self)
-        return n
-
-
 def _planes(x: np.ndarray) -> bytes:
     """int32 numbers, compressed byte by byte of each: small numbers have three planes of little."""
     return zstandard.compress(np.ascontiguousarray(x.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
@@ -81,29 +76,36 @@ def _unplaned(raw: bytes) -> np.ndarray:
 
 def _pack(batches, modulus: int, held_out: int) -> Iterator[pa.RecordBatch]:
     """(doc_id, text) rows to blocks: numbers into the block's dictionary of word hashes, and how often each word
-    occurs in training documents."""
+    occurs in training documents. Arrow cuts and numbers the words, as tokens() has them."""
     part, n = TaskContext.get().partitionId(), 0
-    ids, train, lengths, at, size = [], [], [], [], 0
-    known = _Numbers()
+    ids, train, cut, size = [], [], [], 0
 
     def row():
-        flat = np.concatenate(at)
-        words = np.fromiter(map(xxhash.xxh3_64_intdigest, known), np.uint64, len(known))
+        coded = pc.dictionary_encode(pa.chunked_array([pa.array([END], pa.binary()), *(x.flatten().cast(pa.binary()) for x in cut)]))
+        known = coded.chunk(coded.num_chunks - 1).dictionary  # of all chunks; END, and what white space at an end leaves, is 0
+        code = np.concatenate([x.indices.to_numpy() for x in coded.chunks])[1:]
+        doc = np.repeat(np.arange(len(ids)), np.concatenate([pc.list_value_length(x).to_numpy() for x in cut]))
+        doc, code = doc[code > 0], code[code > 0]
+        flat = np.zeros(len(code) + len(ids), np.int32)
+        flat[np.arange(len(code)) + doc] = code
+        lengths = np.bincount(doc, minlength=len(ids)) + 1
+        words = np.fromiter(map(xxhash.xxh3_64_intdigest, known.to_numpy(zero_copy_only=False)), np.uint64, len(known))
         counts = np.bincount(flat[np.repeat(train, lengths)], minlength=len(known))
         return pa.RecordBatch.from_arrays([pa.array([part << 32 | n]), pa.array([ids], pa.list_(pa.int64())), pa.array([train], pa.list_(pa.bool_())), pa.array([lengths], pa.list_(pa.int32())), pa.array([_planes(flat)]), pa.array([words.tobytes()]), pa.array([_planes(counts)]), pa.array([len(words)])], ["block", "doc_ids", "train", "lengths", "tokens", "hashes", "counts", "n_words"])
 
     for batch in batches:
-        for i, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            own = tokens(t)
+        texts = batch.column(1).fill_null("")
+        words, at = pc.ascii_split_whitespace(pc.ascii_lower(texts)), 0
+        for k, (i, chars) in enumerate(zip(batch.column(0).to_pylist(), pc.utf8_length(texts).to_pylist(), strict=True), 1):
             ids.append(i)
             train.append(in_training(i, modulus, held_out))
-            lengths.append(len(own))
-            at.append(np.fromiter(map(known.__getitem__, own), np.int32, len(own)))
-            size += len(t or "")
+            size += chars
             if size >= BLOCK:
+                cut.append(words[at:k])
                 yield row()
-                ids, train, lengths, at, size, n = [], [], [], [], 0, n + 1
-                known = _Numbers()
+                ids, train, cut, size, n, at = [], [], [], 0, n + 1, k
+        if at < len(words):
+            cut.append(words[at:])
     if ids:
         yield row()
 

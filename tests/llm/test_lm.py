@@ -2,9 +2,12 @@ import math
 import time
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 
 from colloquy.llm import maxent_lm as lm
 from colloquy.llm.queries import QUERIES
@@ -131,6 +134,52 @@ def test_rows_move_by_the_sum_of_their_gradients():
     assert learner.n.tolist() == np.bincount(rows.ravel(), minlength=50).tolist()
 
 
+def batches(docs, rows):
+    return pa.table({"doc_id": pa.array([i for i, _ in docs], pa.int64()), "text": pa.array([t for _, t in docs], pa.string())}).to_batches(max_chunksize=rows)
+
+
+@pytest.fixture
+def task(monkeypatch):
+    """As if in partition 3."""
+    monkeypatch.setattr(lm, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 3)))
+
+
+def test_blocks_hold_the_tokens_of_every_text(task, monkeypatch):
+    odd = [None, "", " ", "\n\n", " a  B\tc\x0bD\x0ce\r\nF ", "ÀÉ àé İ ẞ\x1cx\x85y\xa0z\u2003w", "\x00 \x00a", "A a", "日本 語\U0001f600", "word " * 50]
+    docs = [(i if i % 5 else None, odd[i % len(odd)]) for i in range(60)]
+    for block, batch in ((8_000_000, 7), (40, 7), (1, 60), (300, 1)):
+        monkeypatch.setattr(lm, "BLOCK", block)
+        rows, at = [r for b in lm._pack(batches(docs, batch), 7, 2) for r in b.to_pylist()], 0
+        assert [r["block"] for r in rows] == [3 << 32 | k for k in range(len(rows))] and (len(rows) > 1) == (block < 8_000_000)
+        for r in rows:
+            own = docs[at : at + len(r["doc_ids"])]
+            at += len(own)
+            want = [lm.tokens(t) for _, t in own]
+            flat, hashes, flags = lm._unplaned(r["tokens"]), np.frombuffer(r["hashes"], np.uint64), [lm.in_training(i, 7, 2) for i, _ in own]
+            assert (r["doc_ids"], r["train"], r["lengths"], r["n_words"]) == ([i for i, _ in own], flags, [len(w) for w in want], len(hashes))
+            assert hashes[flat].tolist() == [xxhash.xxh3_64_intdigest(x) for w in want for x in w]
+            count = Counter(xxhash.xxh3_64_intdigest(x) for w, learn in zip(want, flags, strict=True) if learn for x in w)
+            assert lm._unplaned(r["counts"]).tolist() == [count[h] for h in hashes.tolist()]
+        assert at == len(docs)
+
+
+def test_blocks_take_less_time_than_numbering_words_one_by_one(task):
+    rng = np.random.default_rng(9)
+    docs = [(i, " ".join(f"w{n}" for n in rng.zipf(1.2, 2000) % 100_000)) for i in range(150)]
+    sent, took = batches(docs, 50), {"pack": [], "one by one": []}
+
+    def one_by_one():
+        known = {}
+        return [np.array([known.setdefault(w, len(known)) for w in lm.tokens(t)], np.int32) for _, t in docs]
+
+    for _ in range(7):
+        for name, run in (("pack", lambda: list(lm._pack(sent, 7, 2))), ("one by one", one_by_one)):
+            start = time.process_time_ns()
+            run()
+            took[name].append(time.process_time_ns() - start)
+    assert min(took["pack"]) < 0.9 * min(took["one by one"])
+
+
 def columns_added(rows, g, sums, seen):
     """Gradients and visits by row, one column after the other."""
     at = rows.ravel()
