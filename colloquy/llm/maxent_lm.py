@@ -232,7 +232,8 @@ class Learner:
 
     def __init__(self, model: Model):
         self.m = model
-        self.sq = np.full_like(model.w, START_SQ)
+        self.sq = _table(len(model.w))
+        self.sq += np.float32(START_SQ)
         self.n = np.zeros(len(model.w), np.int32)
         self.last = np.zeros(len(model.w), np.int32)
 
@@ -289,9 +290,15 @@ def _unpacked(rows: int, at: bytes, w: bytes, n: bytes) -> tuple[np.ndarray, np.
     return np.flatnonzero(np.unpackbits(np.frombuffer(at, np.uint8), count=rows)), np.frombuffer(w, "<f2").reshape(-1, WIDTH).astype(np.float32), np.frombuffer(n, "<f4")
 
 
+def _table(rows: int) -> np.ndarray:
+    """Zeros, no row of which lies in two cache lines."""
+    room = np.zeros(rows * WIDTH + 16, np.float32)
+    return room[-room.ctypes.data % 64 // 4 :][: rows * WIDTH].reshape(rows, WIDTH)
+
+
 def whole(rows: int, packed: tuple[bytes, bytes, bytes] | None) -> np.ndarray:
     """A table of weights from what is sent of it."""
-    table = np.zeros((rows, WIDTH), np.float32)
+    table = _table(rows)
     if packed:
         at, w, _ = _unpacked(rows, *packed)
         table[at] = w

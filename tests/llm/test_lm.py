@@ -226,6 +226,16 @@ def test_positions_are_listed_only_where_some_words_take_no_further_step():
     assert all((which == np.flatnonzero(steps > k)).all() for k, which in enumerate(listed) if which is not None)
 
 
+def test_no_row_of_learned_tables_lies_in_two_cache_lines():
+    paths, _, _ = some_paths(5)
+    for rows in (1000, lm.table_rows(0), lm.table_rows(4_000_000)):
+        model = lm.Model(paths, lm.whole(rows, None))
+        learner = lm.Learner(model)
+        for table, start in ((model.w, 0), (learner.sq, lm.START_SQ)):
+            assert table.shape == (rows, lm.WIDTH) and table.dtype == np.float32 and table.flags.c_contiguous
+            assert table.ctypes.data % 64 == 0 and (table == start).all()
+
+
 def test_states_keep_what_was_updated():
     w, n = np.arange(80, dtype=np.float32).reshape(10, 8), np.array([0, 2, 0, 1, 0, 0, 0, 0, 0, 5], np.float32)
     row = lm._state(3, w, n).to_pylist()[0]
