@@ -32,8 +32,8 @@ def day(ms: Column) -> Column:
 
 def json_text(c: Column) -> Column:
     """c as a JSON string, quotes included; null for null."""
-    whole = F.to_json(F.struct(c.alias("v")))
-    return F.when(c.isNotNull(), F.substring(whole, F.lit(6), F.length(whole) - 6))
+    whole = F.rtrim(F.to_json(F.struct(c.alias("v"))), F.lit("}"))  # a quote comes before the brace, which goes
+    return F.when(c.isNotNull(), F.substr(whole, F.lit(6)))
 
 
 def parts(content: Column, kind: str) -> Column:

@@ -6,6 +6,7 @@ import json
 import math
 import re
 from datetime import UTC, datetime
+from json.encoder import encode_basestring as _quoted
 
 MISSING = object()
 _INDEX = re.compile(r"(0|[1-9][0-9]{0,9})\Z")
@@ -16,10 +17,13 @@ def _refuse(name: str):
     raise ValueError(name)
 
 
+_decode = json.JSONDecoder(parse_constant=_refuse).decode  # made once: importers parse every line
+
+
 def parse_json(text: str):
     """The value of a JSON text; ValueError if it is none (NaN and Infinity are none)."""
     try:
-        return json.loads(text, parse_constant=_refuse)
+        return _decode(text)
     except RecursionError as e:
         raise ValueError("nested too deeply") from e
 
@@ -59,6 +63,8 @@ def rounded(value) -> int:
 
 def clean(text: str) -> str:
     """Lone surrogates cannot be stored; each becomes U+FFFD."""
+    if text.isascii():
+        return text
     try:
         text.encode("utf-8")
         return text
@@ -84,16 +90,17 @@ def _number(x) -> str:
 
 def dump(value) -> str:
     """Compact JSON: keys in order (array-like keys first, ascending), whole numbers without a point."""
+    if isinstance(value, str):
+        return _quoted(clean(value))
     if value is None or isinstance(value, bool):
         return {None: "null", True: "true", False: "false"}[value]
-    if isinstance(value, str):
-        return json.dumps(clean(value), ensure_ascii=False)
     if is_number(value):
         return _number(value)
     if isinstance(value, list):
         return "[" + ",".join(map(dump, value)) + "]"
-    first = sorted((k for k in value if _INDEX.match(k) and int(k) < 4294967295), key=int)
-    return "{" + ",".join(f"{dump(k)}:{dump(value[k])}" for k in [*first, *(k for k in value if k not in set(first))]) + "}"
+    first = sorted([k for k in value if _INDEX.match(k) and int(k) < 4294967295], key=int)
+    keys = [*first, *(k for k in value if not _INDEX.match(k) or int(k) >= 4294967295)] if first else value
+    return "{" + ",".join([f"{_quoted(clean(k))}:{dump(value[k])}" for k in keys]) + "}"
 
 
 def dump_record(value) -> str | None:

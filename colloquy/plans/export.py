@@ -21,7 +21,12 @@ MAX_RESULT = 2000
 def _obj(*pairs: tuple[str, Column]) -> Column:
     """A JSON object of (key, JSON text) pairs in order; null values have no key."""
     fields = [F.concat(F.lit(f'"{k}":'), v) for k, v in pairs]
-    return F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(*fields)), ","), F.lit("}"))
+    return F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}"))
+
+
+def _let(value: Column, body) -> Column:
+    """body(value), with value evaluated once however often body names it: nothing else does so within a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def _arr(items: Column) -> Column:
@@ -48,7 +53,7 @@ def _kept(items: Column) -> Column:
 def system_prompt(messages: Column) -> Column:
     """Texts of system messages, joined by blank lines; null if there are none."""
     texts = F.transform(F.filter(messages, lambda m: m["role"] == "system"), lambda m: text_content(m["content"]))
-    return F.nullif(F.array_join(_kept(texts), "\n\n"), F.lit(""))
+    return _let(F.array_join(_kept(texts), "\n\n"), lambda text: F.nullif(text, F.lit("")))
 
 
 # --- OpenAI chat ----------------------------------------------------------------------------------------------
@@ -61,20 +66,15 @@ def _openai(m: Column) -> Column:
     said = F.array_join(_kept(F.transform(content, lambda p: F.when(p["type"] == "text", p["text"]).when(p["type"] == "image", F.concat(F.lit("[image: "), p["media_type"], F.lit("]"))).otherwise(""))), "\n")
     url = lambda p: F.when(p["data"].rlike("^(https?:|data:|file:)"), p["data"]).otherwise(F.concat(F.lit("data:"), p["media_type"], F.lit(";base64,"), p["data"]))
     images = F.transform(F.filter(content, lambda p: p["type"] == "image"), lambda p: _obj(("type", _lit("image_url")), ("image_url", _obj(("url", json_text(url(p)))))))
-    text_item = F.when(F.length(asked) > 0, F.array(_obj(("type", _lit("text")), ("text", json_text(asked))))).otherwise(F.array().cast("array<string>"))
     calls = F.transform(F.filter(content, lambda p: p["type"] == "tool_call"), lambda p: _obj(("id", json_text(p["tool_call"]["id"])), ("type", _lit("function")), ("function", _obj(("name", json_text(p["tool_call"]["name"])), ("arguments", json_text(p["tool_call"]["arguments"]))))))
     none = F.array().cast("array<string>")
-    asks = (
-        F.when((role == "user") & (F.size(images) > 0), F.array(_obj(("role", _lit("user")), ("content", _arr(F.concat(text_item, images))))))
-        .when(F.length(asked) > 0, F.array(_obj(("role", json_text(role)), ("content", json_text(asked)))))
-        .otherwise(none)
-    )
-    says = (
-        F.when(F.size(calls) > 0, F.array(_obj(("role", _lit("assistant")), ("content", json_text(F.nullif(said, F.lit("")))), ("tool_calls", _arr(calls)))))
-        .when(F.length(said) > 0, F.array(_obj(("role", _lit("assistant")), ("content", json_text(said)))))
-        .otherwise(none)
-    )
-    results = F.transform(m["tool_results"], lambda r: _obj(("role", _lit("tool")), ("content", json_text(result_text(r["content"]))), ("tool_call_id", json_text(r["tool_call_id"]))))
+    text_item = lambda text: F.when(F.length(text) > 0, F.array(_obj(("type", _lit("text")), ("text", json_text(text))))).otherwise(none)
+    pictured = lambda text: F.array(_obj(("role", _lit("user")), ("content", _arr(F.concat(text_item(text), images)))))
+    has_image = F.exists(content, lambda p: p["type"] == "image")
+    asks = _let(asked, lambda text: F.when((role == "user") & has_image, pictured(text)).when(F.length(text) > 0, F.array(_obj(("role", json_text(role)), ("content", json_text(text))))).otherwise(none))
+    called = lambda text, cs: F.array(_obj(("role", _lit("assistant")), ("content", json_text(F.nullif(text, F.lit("")))), ("tool_calls", _arr(cs))))
+    says = _let(said, lambda text: _let(calls, lambda cs: F.when(F.size(cs) > 0, called(text, cs)).when(F.length(text) > 0, F.array(_obj(("role", _lit("assistant")), ("content", json_text(text))))).otherwise(none)))
+    results = F.transform(m["tool_results"], lambda r: _obj(("role", _lit("tool")), ("content", _let(result_text(r["content"]), json_text)), ("tool_call_id", json_text(r["tool_call_id"]))))
     return F.when(role == "assistant", says).when(role == "tool", results).otherwise(asks)
 
 
@@ -85,11 +85,6 @@ def openai_messages(messages: Column) -> Column:
 # --- merging neighbours ---------------------------------------------------------------------------------------
 
 
-def _let(value: Column, body) -> Column:
-    """body(value), with value evaluated once however often body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def merged(turns: Column) -> Column:
     """turns (role, items) with neighbours of one role as one; turns without items neither appear nor separate. Each
     run of a role is cut out by where it and the next begin: work grows with the turns, not with their square."""
@@ -162,17 +157,26 @@ def _gemini_part(p: Column, spoken: Column) -> Column:
 
 def gemini_contents(messages: Column) -> Column:
     """A result without a name takes that of the last call with its id before it."""
-    own = lambda m, i: F.transform(F.filter(m["content"], lambda p: p["type"] == "tool_call"), lambda p: F.struct(i.alias("i"), p["tool_call"]["id"].alias("id"), p["tool_call"]["name"].alias("name")))
-    called = F.flatten(F.transform(messages, lambda m, i: F.when((m["role"] == "assistant") & m["content"].isNotNull(), own(m, i)).otherwise(F.array().cast("array<struct<i:int,id:string,name:string>>"))))
-    return _let(called, lambda calls: _gemini_turns(messages, calls))
+    own = lambda m, i: F.transform(F.filter(m["content"], lambda p: (p["type"] == "tool_call") & p["tool_call"]["id"].isNotNull()), lambda p, k: F.struct(p["tool_call"]["id"].alias("id"), i.alias("i"), k.alias("k"), p["tool_call"]["name"].alias("name")))
+    none = F.array().cast("array<struct<id:string,i:int,k:int,name:string>>")
+    called = F.flatten(F.transform(messages, lambda m, i: F.when((m["role"] == "assistant") & m["content"].isNotNull(), own(m, i)).otherwise(none)))
+    return _let(F.sort_array(called), lambda calls: _let(F.filter(F.array(*(F.lit(1 << b) for b in range(30, -1, -1))), lambda n: n <= F.size(calls)), lambda halves: _gemini_turns(messages, calls, halves)))
+
+
+def _last_before(calls: Column, halves: Column, call_id: Column, i: Column) -> Column:
+    """The last of calls (id, i, k, name), which are in order, with call_id and a smaller i; null if there is none.
+    Found by steps of halves, the powers of two from high to low: work grows with the logarithm of the calls."""
+    ahead = lambda at: _let(F.get(calls, at), lambda c: (c["id"] < call_id) | ((c["id"] == call_id) & (c["i"] < i)))
+    step = lambda at, bit: F.when((at + bit <= F.size(calls)) & ahead(at + bit - 1), at + bit).otherwise(at)
+    before = F.aggregate(halves, F.lit(0), step)
+    return _let(F.when(call_id.isNotNull(), F.get(calls, before - 1)), lambda c: F.when(c["id"] == call_id, c))
 
 
-def _gemini_turns(messages: Column, calls: Column) -> Column:
+def _gemini_turns(messages: Column, calls: Column, halves: Column) -> Column:
     def name(r: Column, i: Column) -> Column:
-        before = F.filter(calls, lambda c: (c["i"] < i) & (c["id"] == r["tool_call_id"]))
-        return F.coalesce(F.nullif(r["name"], F.lit("")), F.nullif(F.get(before, F.size(before) - 1)["name"], F.lit("")), F.lit("unknown"))
+        return F.coalesce(F.nullif(r["name"], F.lit("")), _let(_last_before(calls, halves, r["tool_call_id"], i)["name"], lambda n: F.nullif(n, F.lit(""))), F.lit("unknown"))
 
-    response = lambda r, i: _obj(("functionResponse", _obj(("name", json_text(name(r, i))), ("response", _obj(("content", json_text(result_text(r["content"]))))))))
+    response = lambda r, i: _obj(("functionResponse", _obj(("name", _let(name(r, i), json_text)), ("response", _obj(("content", _let(result_text(r["content"]), json_text)))))))
     turns = F.transform(messages, lambda m, i: F.struct(
         F.when(m["role"] == "assistant", "model").otherwise("user").alias("role"),
         F.when(m["role"] == "system", F.array().cast("array<string>")).when(m["role"] == "tool", F.transform(m["tool_results"], lambda r: response(r, i))).otherwise(F.array_compact(F.transform(m["content"], lambda p: _gemini_part(p, m["role"] == "assistant")))).alias("items"),
@@ -242,17 +246,16 @@ def markdown(conversation: Column, messages: Column, metadata: bool = True, time
         if with_reasoning:
             shown = shown.when((p["type"] == "reasoning") & (F.length(thought) > 0), lines("<details><summary>Reasoning</summary>", "", thought, "", "</details>", ""))
         if with_tools:
-            f = fence(call["arguments"])
-            shown = shown.when(p["type"] == "tool_call", lines(F.concat(F.lit("**→ "), call["name"], F.lit("**")), "", F.concat(f, F.lit("json")), call["arguments"], f, ""))
+            shown = shown.when(p["type"] == "tool_call", _let(fence(call["arguments"]), lambda f: lines(F.concat(F.lit("**→ "), call["name"], F.lit("**")), "", F.concat(f, F.lit("json")), call["arguments"], f, "")))
         return shown.otherwise(none)
 
     def gave(r: Column) -> Column:
-        text = result_text(r["content"])
-        more = F.concat(text_prefix(text, max_result), F.lit("\n… ("), (text_length(text) - max_result).cast("string"), F.lit(" more characters)"))
-        shown = F.when(text_length(text) > max_result, more).otherwise(text)
+        more = lambda text: F.concat(text_prefix(text, max_result), F.lit("\n… ("), (text_length(text) - max_result).cast("string"), F.lit(" more characters)"))
+        shown = _let(result_text(r["content"]), lambda text: F.when(text_length(text) > max_result, more(text)).otherwise(text))
         label = F.when(F.length(r["name"]) > 0, F.concat(r["name"], F.lit(" "))).otherwise("")
         status = F.when(F.coalesce(r["is_error"], F.lit(False)), " (error)").otherwise("")
-        return lines(F.concat(F.lit("**← "), label, F.lit("result"), status, F.lit("**")), "", fence(shown), shown, fence(shown), "")
+        fenced = lambda text, f: lines(F.concat(F.lit("**← "), label, F.lit("result"), status, F.lit("**")), "", f, text, f, "")
+        return _let(shown, lambda text: _let(fence(text), lambda f: fenced(text, f)))
 
     def turn(m: Column) -> Column:
         when = F.concat(F.lit(" — "), iso(m["ts_ms"])) if timestamps else F.lit("")
@@ -266,20 +269,26 @@ def markdown(conversation: Column, messages: Column, metadata: bool = True, time
     return F.array_join(F.concat(head, body) if metadata else body, "\n")
 
 
-def export(imported: DataFrame, form: str, **options) -> DataFrame:
-    """(file, conversation_ord, conversation_id, body) of each conversation in one of FORMATS."""
-    if form not in FORMATS:
-        raise ValueError(f"unknown output format {form!r} (one of: {', '.join(FORMATS)})")
+def exports(imported: DataFrame, forms, **options) -> DataFrame:
+    """(file, conversation_ord, conversation_id) and the body in each of forms, a column of that name, in one pass."""
     t, m = F.col("conversation"), F.col("messages")
-    system = json_text(system_prompt(m))
-    body = {
+    system = lambda body: _let(system_prompt(m), lambda text: _let(json_text(text), body))
+    bodies = {
         CANONICAL: lambda: canonical_json(t, m),
         "openai-chat": lambda: _arr(openai_messages(m)),
-        "anthropic-messages": lambda: _obj(("system", system), ("messages", _arr(anthropic_messages(m)))),
-        "gemini": lambda: _obj(("systemInstruction", F.when(system.isNotNull(), _obj(("parts", _arr(F.array(_obj(("text", system)))))))), ("contents", _arr(gemini_contents(m)))),
+        "anthropic-messages": lambda: system(lambda said: _obj(("system", said), ("messages", _arr(anthropic_messages(m))))),
+        "gemini": lambda: system(lambda said: _obj(("systemInstruction", F.when(said.isNotNull(), _obj(("parts", _arr(F.array(_obj(("text", said)))))))), ("contents", _arr(gemini_contents(m))))),
         "markdown": lambda: markdown(t, m, **options),
-    }[form]()
-    return imported.where("conversation is not null").select("file", "conversation_ord", "conversation.conversation_id", body.alias("body"))
+    }
+    for form in forms:
+        if form not in FORMATS:
+            raise ValueError(f"unknown output format {form!r} (one of: {', '.join(FORMATS)})")
+    return imported.where("conversation is not null").select("file", "conversation_ord", "conversation.conversation_id", *(bodies[form]().alias(form) for form in forms))
+
+
+def export(imported: DataFrame, form: str, **options) -> DataFrame:
+    """(file, conversation_ord, conversation_id, body) of each conversation in one of FORMATS."""
+    return exports(imported, [form], **options).withColumnRenamed(form, "body")
 
 
 def numbered(path: str, i: int, total: int) -> str:

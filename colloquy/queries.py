@@ -237,7 +237,7 @@ def _iso_of_turn() -> Column:
 
 def _doc(df: DataFrame, line: Column, head: Column | None = None, join: str = "\n", wrap: tuple[str, str] = ("", "")) -> DataFrame:
     """(file, file_ord, content): the lines of a conversation's turns in order."""
-    rows = df.select("conv_id", F.struct("turn", line.alias("line")).alias("x")).groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), join).alias("body"))
+    rows = df.select("conv_id", F.struct("turn", line.alias("line")).alias("x")).groupBy("conv_id").agg(F.array_join(F.sort_array(F.collect_list("x"))["line"], join).alias("body"))
     body = F.concat(F.lit(wrap[0]), F.col("body"), F.lit(wrap[1]))
     if head is not None:
         body = F.concat(head, body)
@@ -471,7 +471,7 @@ from e left join r on r.conv = e.conv and r.click = e.event_id where event_type
 
 def export_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each format keeps of sessions with tools: how often its marks stand in a conversation's body."""
-    found = store_once(scan.import_docs(tool_transcripts(spark, sf_dir), "claude-code", now_ms=1))
+    found = scan.import_docs(tool_transcripts(spark, sf_dir), "claude-code", now_ms=1)
     marks = {
         "openai-chat": {"openai_calls": '"type":"function"', "openai_results": '"tool_call_id"', "openai_users": '{"role":"user"'},
         "anthropic-messages": {"thoughts": '"type":"thinking"', "uses": '"type":"tool_use"', "results": '"type":"tool_result"', "failed": '"is_error":true', "images": '"type":"image"'},
@@ -479,19 +479,9 @@ def export_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
         "markdown": {"folded": "<details>", "arrows": "**← Run result", "errors": "(error)**"},
         CANONICAL: {"canonical_calls": '"toolCall":', "canonical_thoughts": '"signature":"g"'},
     }
-    out = None
-    for form, names in marks.items():
-        n = lambda mark: ((F.length("body") - F.length(F.replace("body", F.lit(mark), F.lit("")))) / len(mark)).cast("long")
-        part = export.export(found, form).select("conversation_id", *(n(mark).alias(name) for name, mark in names.items()))
-        out = part if out is None else out.join(part, "conversation_id")
-    return out
-
-
-def store_once(df: DataFrame) -> DataFrame:
-    """df written down, as it is read several times."""
-    path = f"{new_folder(df.sparkSession, 'once')}/rows"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    n = lambda body, mark: ((F.length(body) - F.length(F.replace(body, F.lit(mark), F.lit("")))) / len(mark)).cast("long")
+    bodies = export.exports(found, marks)  # all formats in one pass over what is imported: nothing is written, nothing joined
+    return bodies.select("conversation_id", *(n(F.col(form), mark).alias(name) for form, names in marks.items() for name, mark in names.items()))
 
 
 # a result without a name of its own takes the call's before it, if there is one

@@ -30,6 +30,9 @@ def stem(file: str) -> str:
     return head if dot and tail else base
 
 
+_ARROW = to_arrow_schema(IMPORTED)
+
+
 def _tidy(value):
     """Strings that Arrow can hold."""
     if isinstance(value, str):
@@ -75,7 +78,10 @@ def import_text(content: str, file: str = "", file_ord: int = 0, form: str = "au
 
 
 def _batch(rows: list[dict]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pylist([_tidy(r) for r in rows], to_arrow_schema(IMPORTED))
+    try:
+        return pa.RecordBatch.from_pylist(rows, _ARROW)
+    except UnicodeEncodeError:  # a lone surrogate, which is rare
+        return pa.RecordBatch.from_pylist([_tidy(r) for r in rows], _ARROW)
 
 
 def _check(form: str) -> None:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from colloquy import builders as B
-from colloquy import cli, schema
+from colloquy import cli, queries, schema
 from colloquy.functions import columns as C
 from colloquy.operators import inspect as summaries
 from colloquy.operators import sequence, tool_calls, usage
@@ -13,6 +13,7 @@ from colloquy.plans import export
 from colloquy.schema import CANONICAL
 from colloquy.sources import scan
 from colloquy.streaming import importer as streaming
+from tests.conftest import DATA
 from tests.test_importers import CLAUDE, CODEX
 
 
@@ -79,6 +80,10 @@ def test_rows_pair_calls_with_their_last_result(sample):
     assert tool_calls.tool_call_rows(sample, since=1_700_000_000_003).select("toolCallId").collect() == [("c3",)]
 
 
+def planned(df, step):
+    return df._jdf.queryExecution().executedPlan().toString().count(step)
+
+
 def test_summary_of_a_conversation(sample):
     r = summaries.summaries(sample).first()
     assert [(x["role"], x["n"]) for x in r["by_role"]] == [("system", 1), ("user", 2), ("assistant", 2), ("tool", 2)]
@@ -110,6 +115,27 @@ def test_gemini_names_results_after_earlier_calls(sample):
     assert c[0]["parts"][2] == {"inlineData": {"mimeType": "image/png", "data": "aGk="}} and c[0]["parts"][3] == {"text": "[image: https://x/y.png]"}
 
 
+def test_gemini_finds_the_last_call_before_each_result(spark):
+    rng, m = random.Random(5), []
+    for k in range(300):
+        ids = [rng.choice("abcdefgé") + str(rng.randrange(6)) for _ in range(rng.randrange(1, 4))]
+        said = B.assistant("t", [call(i, f"n{k}-{j}") for j, i in enumerate(ids)]) if rng.random() < 0.4 else B.tool("t", [schema.result(i, "", [schema.text_part(i)]) for i in ids])
+        m.append(said)
+    named, want = {}, []
+    for x in m:
+        named |= {p["tool_call"]["id"]: p["tool_call"]["name"] for p in x["content"] or ()}
+        want += [named.get(r["tool_call_id"], "unknown") for r in x["tool_results"] or ()]
+    c = json.loads(body(frame(spark, B.conversation(m)), "gemini"))["contents"]
+    assert [p["functionResponse"]["name"] for t in c for p in t["parts"] if "functionResponse" in p] == want
+
+
+def test_all_formats_leave_in_one_pass(spark, sample):
+    whole = export.exports(sample, export.FORMATS).first()
+    assert all(whole[form] == body(sample, form) for form in export.FORMATS)
+    found = queries.export_tools(spark, f"{DATA}/sf0.001")
+    assert planned(found, "MapInArrow") == 1 and planned(found, "Join") == 0
+
+
 def test_markdown_cannot_be_broken_out_of(sample):
     text = body(sample, "markdown")
     assert text.startswith('---\ntitle: "a \\"q\\""\nid: "t"\ncreated: 1970-01-01T00:00:00.001Z\n') and "\nbranch: \"main\"\n---\n\n## System" in text
