@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions.columns import text_length
+from colloquy.schema import MESSAGE
 
 COLUMNS = ("source", "sourceVersion", "cwd", "gitBranch", "threadId", "timestamp", "model", "provider", "toolCallId", "tool", "arguments", "parsedArguments", "derived", "isError", "resultChars")
 CSV_COLUMNS = ("source", "threadId", "timestamp", "model", "provider", "tool", "operation", "command", "isError", "resultChars", "cwd", "gitBranch")
@@ -31,18 +32,22 @@ def tool_call_rows(imported: DataFrame, since: int | None = None) -> DataFrame:
     """
     scope = ["_file_ord", "_file", "_conversation_ord"]
     t = imported.where("conversation is not null").select(F.col("file_ord").alias("_file_ord"), F.col("file").alias("_file"), F.col("conversation_ord").alias("_conversation_ord"), "conversation", F.posexplode("messages").alias("_seq", "m"))
-    spoken = t.where("m.role = 'assistant'")
-    if since is not None:
-        # calls of one id stand for their first: filtering must not promote a later one
-        spoken = spoken.withColumn("_in", F.col("m.ts_ms") >= since)
-    else:
-        spoken = spoken.withColumn("_in", F.lit(True))
-    calls = spoken.select(*scope, "_in", "conversation", "m.ts_ms", "m.model", "m.provider", "_seq", F.posexplode("m.content").alias("_part", "p")).where("p.type = 'tool_call'")
-    calls = calls.select(*scope, "_in", "conversation", "ts_ms", "model", "provider", F.col("p.tool_call").alias("c"), F.col("p.tool_call.id").alias("call_id"), F.struct("_seq", "_part").alias("pos"))
-    results = t.where("m.role = 'tool'").select(*scope, "_seq", F.posexplode("m.tool_results").alias("_part", "r"))
-    chars = F.aggregate(F.filter("r.content", lambda p: p["type"] == "text"), F.lit(0).cast("long"), lambda n, p: n + text_length(p["text"]))
-    results = results.select(*scope, F.col("r.tool_call_id").alias("call_id"), F.struct("_seq", "_part").alias("pos"), F.col("r.is_error").alias("is_error"), chars.alias("chars"))
-    rows = pair(calls, results, scope).where("_in")
+    # calls and results leave the importers in one pass, as rows of one shape
+    chars = lambda r: F.aggregate(F.filter(r["content"], lambda p: p["type"] == "text"), F.lit(0).cast("long"), lambda n, p: n + text_length(p["text"]))
+    item = lambda i, call, call_id, r: F.struct(i.alias("part"), call.alias("c"), call_id.alias("call_id"), r.alias("r"))
+    types = {f.name: f.dataType for f in MESSAGE.fields}
+    no_call = F.lit(None).cast(types["content"].elementType["tool_call"].dataType)
+    no_result = F.lit(None).cast("struct<is_error:boolean,chars:bigint>")
+    calls = F.filter(F.transform("m.content", lambda p, i: F.when(p["type"] == "tool_call", item(i, p["tool_call"], p["tool_call"]["id"], no_result))), lambda x: x.isNotNull())
+    results = F.transform("m.tool_results", lambda r, i: item(i, no_call, r["tool_call_id"], F.struct(F.coalesce(r["is_error"], F.lit(False)).alias("is_error"), chars(r).alias("chars"))))
+    # calls of one id stand for their first: filtering must not promote a later one
+    inside = F.lit(True) if since is None else F.col("m.ts_ms") >= since
+    said = t.where("m.role in ('assistant', 'tool')").select(*scope, "conversation", "_seq", F.col("m.ts_ms").alias("ts_ms"), F.col("m.model").alias("model"), F.col("m.provider").alias("provider"), inside.alias("_in"), F.explode(F.when(F.col("m.role") == "tool", results).otherwise(calls)).alias("x"))
+    met = said.select(*scope, "_in", "ts_ms", "model", "provider", F.when(F.col("x.r").isNull(), F.col("conversation")).alias("conversation"), "x.c", "x.call_id", "x.r", F.struct("_seq", F.col("x.part").alias("_part")).alias("pos"))
+    own = Window.partitionBy(*scope, "call_id").orderBy(F.col("r").isNotNull(), "pos")  # calls come before results
+    last = F.last("r").over(own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    paired = met.withColumn("_n", F.row_number().over(own)).withColumn("_last", F.when(F.col("call_id").isNotNull(), last))
+    rows = paired.where("_n = 1 and r is null and _in").select("*", F.col("_last.is_error").alias("is_error"), F.col("_last.chars").alias("chars"))
     return rows.select(
         *scope, F.col("pos").alias("_pos"), "conversation.source", F.col("conversation.source_version").alias("sourceVersion"), "conversation.cwd", F.col("conversation.git.branch").alias("gitBranch"),
         F.col("conversation.conversation_id").alias("threadId"), F.col("ts_ms").alias("timestamp"), "model", "provider", F.col("call_id").alias("toolCallId"), F.col("c.name").alias("tool"),

@@ -84,6 +84,22 @@ def planned(df, step):
     return df._jdf.queryExecution().executedPlan().toString().count(step)
 
 
+def test_rows_of_calls_import_once(spark):
+    docs = spark.createDataFrame([("a.jsonl", 0, "\n".join(CODEX))], "file string, file_ord int, content string")
+    flat = tool_calls.tool_call_rows(scan.import_docs(docs, "codex", now_ms=1))
+    assert planned(flat, "MapInArrow") == 1 and planned(flat, "Join") == 0
+    assert flat.select("tool").collect()[0] == ("exec",)
+
+
+def test_rows_keep_calls_without_an_id_and_the_first_of_one_message(spark):
+    ids = [None, "a", "a", None]
+    spoken = B.assistant("t", [call(i, f"n{k}") for k, i in enumerate(ids)], ts_ms=1)
+    gave = [B.tool("t", [schema.result("a", "", [schema.text_part(text)], failed)], ts_ms=2) for text, failed in (("x", True), ("xyz", None))]
+    lost = B.tool("t", [schema.result(None, "", [schema.text_part("w")])], ts_ms=3)
+    flat = tool_calls.tool_call_rows(frame(spark, B.conversation([*gave, lost, spoken])))
+    assert sorted(flat.select("tool", "isError", "resultChars").collect()) == [("n0", None, None), ("n1", False, 3)]
+
+
 def test_summary_of_a_conversation(sample):
     r = summaries.summaries(sample).first()
     assert [(x["role"], x["n"]) for x in r["by_role"]] == [("system", 1), ("user", 2), ("assistant", 2), ("tool", 2)]
